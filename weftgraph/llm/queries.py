@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, toxicity, url_filter
+from weftgraph.llm import decontamination, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in as few sequences of 1024 tokens as can be found."""
+    return packing.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow or block every page's URL."""
     model = url_filter.train(url_filter.labelled_urls(spark))
@@ -33,7 +38,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All of them by name."""
-    return {f.__name__: f for f in (op3_url_filter, op8_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op3_url_filter, op8_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
