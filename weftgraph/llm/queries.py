@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, packing, simhash, toxicity, url_filter
+from weftgraph.llm import decontamination, packing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), model, url_filter.RULES).drop("url")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated passages removed from every document."""
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.report(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated passages removed from every document."""
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -43,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All of them by name."""
-    return {f.__name__: f for f in (op1_packing, op3_url_filter, op5_simhash, op8_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
