@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, packing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from weftgraph.llm import decontamination, packing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test passages in every document."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All of them by name."""
-    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op6_pii, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
