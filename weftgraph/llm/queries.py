@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, packing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from weftgraph.llm import ann, decontamination, packing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector."""
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test passages in every document."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All of them by name."""
-    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op6_pii, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op6_pii, op7_ann, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
