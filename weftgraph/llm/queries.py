@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import ann, decontamination, packing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from weftgraph.llm import ann, decontamination, packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow or block every page's URL."""
     model = url_filter.train(url_filter.labelled_urls(spark))
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All of them by name."""
-    return {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substring_dedup, op5_simhash, op6_pii, op7_ann, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_url_filter, op4_substring_dedup, op5_simhash, op6_pii, op7_ann, op8_decontamination, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
