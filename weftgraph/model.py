@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODES = T._parse_datatype_string(
+def _schema(text: str) -> T.StructType:
+    """From `name type, ...`; needs no session."""
+    kinds = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType())}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in text.split(","))])
+
+
+NODES = _schema(
     "id string, parent string, type string, name string, file string, is_static boolean, is_abstract boolean, return_type string,"
     " visibility string, scope string, data_type string, start_row int, start_column int, end_row int, end_column int,"
-    " keywords array<string>, description string, workspace string, runtime string, ord bigint"
+    " keywords strings, description string, workspace string, runtime string, ord bigint"
 )
-EDGES = T._parse_datatype_string("id string, from_id string, to_id string, type string, call_type string, via string, argument_index int, confidence double, reason string, ord bigint")
+EDGES = _schema("id string, from_id string, to_id string, type string, call_type string, via string, argument_index int, confidence double, reason string, ord bigint")
 
 
 def tolerant(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import predicates, text
 from weftgraph.model import CodeGraph
 from weftgraph.operators import analyzers, links, lookups, search, traversal
-from weftgraph.plans.fixtures import FX1_WITH, FX2_WITH, FX3_CLIENT, FX3_ROUTE, duck, fx1, fx2, spark_sql
+from weftgraph.plans.fixtures import FX1_WITH, FX2_WITH, FX3_CLIENT, FX3_LINKS, FX3_ROUTE, duck, fx1, fx2, spark_sql
 from weftgraph.plans.registry import register
 from weftgraph.sources import graphs
 
