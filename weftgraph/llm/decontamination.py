@@ -52,17 +52,17 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, n
     if table.count() > max_set:
         return _by_join(docs, keep, table)
     # words are bound once for each document, whatever is asked of them
-    found = docs.select(*map(_named, keep), F.expr(f"transform(array({words_sql('text')}), w -> struct(size(w) AS n_words, {_by_set(table)} AS hits))[0]").alias("_f"))
+    found = docs.select(F.struct(*map(_named, keep)).alias("_keep"), F.expr(f"transform(array({words_sql('text')}), w -> struct(size(w) AS n_words, {_by_set(table)} AS hits))[0]").alias("_f"))
     found = found.select(
-        *map(_named, keep),
+        "_keep",
         F.col("_f.n_words").cast("long").alias("n_words"),
         F.expr("transform(_f.hits, h -> struct(h.at AS at, h.len AS len))").alias("hits"),
         F.expr("array_distinct(transform(_f.hits, h -> h.gram))").alias("_grams"),
         F.monotonically_increasing_id().alias("_row"),
     )
     one = found.select("*", F.explode_outer("_grams").alias("gram")).join(table.select("gram", "item_ids"), "gram", "left")
-    first = [F.first(_named(c)).alias(c) for c in [*keep, "n_words", "hits"]]
-    return one.groupBy("_row").agg(*first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")).drop("_row")
+    first = [F.first(c).alias(c) for c in ("_keep", "n_words", "hits")]
+    return one.groupBy("_row").agg(*first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")).select("_keep.*", "n_words", "hits", "items")
 
 
 def _named(c: str) -> Column:
@@ -95,14 +95,14 @@ def _by_set(table: DataFrame) -> str:
 def _by_join(docs: DataFrame, keep: list[str], table: DataFrame) -> DataFrame:
     """The same result where the windows are too many for the plan: documents' windows are joined with them."""
     sizes = [r["len"] for r in table.select("len").distinct().collect()]  # N of them at most
-    rows = written(docs.select(*map(_named, dict.fromkeys([*keep, "text"])), F.monotonically_increasing_id().alias("_row")))
+    rows = written(docs.select(F.struct(*map(_named, keep)).alias("_keep"), F.col("text"), F.monotonically_increasing_id().alias("_row")))
     cut = rows.select("_row", words_of(F.col("text")).alias("w"))
     each = ", ".join(f"CASE WHEN size(w) >= {s} THEN transform(sequence(1, size(w) - {s} + 1), i -> struct(i AS at, {s} AS len, concat_ws(' ', slice(w, i, {s})) AS gram)) ELSE cast(array() AS array<struct<at:int,len:int,gram:string>>) END" for s in sizes)
     own = cut.select("_row", F.explode(F.expr(f"concat({each})")).alias("h")).select("_row", F.col("h.at").alias("at"), F.col("h.len").alias("len"), F.col("h.gram").alias("gram"))
     hits = own.join(table.select("gram", "item_ids"), "gram").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
     none = F.expr("cast(array() AS array<struct<at:int,len:int>>)")
     return rows.join(hits, "_row", "left").select(
-        *map(_named, keep),
+        "_keep.*",
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
         F.coalesce("hits", none).alias("hits"),
         F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"),

@@ -166,12 +166,12 @@ def replace(docs: DataFrame, secret: str = SECRET) -> DataFrame:
     found = mentions(docs)
     table = surrogates(found, secret)
     put = found.join(table, ["kind", "identity"]).select("_id", "_hash", "at", F.expr(_rendered("value", "kind", "surrogate")).alias("new"))
-    by_doc = put.distinct().groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_new"))
-    rows = docs.withColumn("_hash0", F.xxhash64("text"))
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
+    by_doc = put.distinct().groupBy(F.col("_id").alias("_weft_id"), F.col("_hash").alias("_weft_hash")).agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_weft_new"))
+    rows = docs.withColumn("_weft_own", F.xxhash64("text"))
+    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_own") == F.col("_weft_hash")), "left")
     between = F.split(F.col("text"), PATTERN, -1)
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_new")), F.col("_new.new"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1)))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities"))
+    text = F.when(F.col("_weft_new").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_weft_new")), F.col("_weft_new.new"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1)))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], F.coalesce(F.size("_weft_new"), F.lit(0)).cast("long").alias("n_entities"))
 
 
 def report(docs: DataFrame) -> DataFrame:

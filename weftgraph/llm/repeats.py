@@ -32,10 +32,10 @@ BLOB = "part int, chunk int, blob binary"
 
 
 def chunked(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
-    """Columns `keep` and `_id`, `_text`, `_hash`, `chunk` as a table bucketed by chunk; how many chunks."""
+    """`_keep` (a struct of columns `keep`), `_id`, `_text`, `_hash` and `chunk` as a table bucketed by chunk; how many chunks."""
     spark = docs.sparkSession
     n = pieces_for(spark, text_bytes(docs), CHUNK)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_id", "_text")).withColumn("chunk", F.pmod("_hash", F.lit(n)).cast("int"))
     name = f"weft_{uuid.uuid4().hex}"
     rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").saveAsTable(name)

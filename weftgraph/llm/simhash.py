@@ -36,6 +36,8 @@ from weftgraph.llm.common import as_bytes, checkpointed, pieces_for, written
 BITS, SEED = 64, 42
 #: Fingerprints that may share a segment's value before it counts as hot.
 HOT = 1024
+#: Names that input columns give way to.
+RESERVED = ("fp", "component_id", "least", "root", "node", "_text")
 #: Shingles whose bits are counted at once.
 STEP = 1 << 15
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -205,7 +207,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, keep: list[str], shingle: int = 3, distance: int = 2) -> DataFrame:
-    """Columns `keep` of `docs` (doc_id among them), fp, and component_id: the smallest doc_id of the component."""
+    """Columns `keep` of `docs` (doc_id among them; none of RESERVED), fp, and component_id: the smallest doc_id of the component."""
+    keep = [c for c in keep if c not in RESERVED]
     rows = written(fingerprints(docs, keep, shingle))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = checkpointed(distinct)

@@ -75,7 +75,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def grams(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hashes of n consecutive words, from each word on; the last n - 1 are of no use."""
     out = np.zeros(len(words), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         out[: len(words) - k] += words[k:] * np.uint64(pow(_NEXT[which], k, 1 << 64))
     return mixed(out)
 
@@ -188,7 +188,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     segments = table.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_segments(chunks, parts), BLOB)
     gone = segments.groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
     more = T._parse_datatype_string("n_words long, n_removed long, spans array<struct<at:long,end:long>>, kept string").fields
-    schema = T.StructType([*(table.schema[c] for c in keep), *more])
+    schema = T.StructType([*table.schema["_keep"].dataType.fields, *more])
 
     def finish(own: pa.Table, blobs: pa.Table) -> pa.Table:
         chunk = Chunk.of(own)
@@ -202,7 +202,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             kept.append(b" ".join(words))
         lost = [sum(b - a for a, b in some) for some in spans]
         of = pa.list_(pa.struct([("at", pa.int64()), ("end", pa.int64())]))
-        cols = {c: chunk.table[c] for c in keep}
+        cols = dict(zip(keep, chunk.table["_keep"].combine_chunks().flatten(), strict=True))
         return pa.table(cols | {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "spans": pa.array([[{"at": a, "end": b} for a, b in some] for some in spans], of), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)

@@ -147,7 +147,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     segments = table.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_segments(chunks, parts), BLOB)
     gone = segments.groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
     more = T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<at:long,end:long>>, kept binary").fields
-    schema = T.StructType([*(table.schema[c] for c in keep), *more])
+    schema = T.StructType([*table.schema["_keep"].dataType.fields, *more])
 
     def finish(own: pa.Table, blobs: pa.Table) -> pa.Table:
         chunk = Chunk.of(own)
@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         lost = [sum(b - a for a, b in some) for some in spans]
         of = pa.list_(pa.struct([("at", pa.int64()), ("end", pa.int64())]))
-        cols = {c: chunk.table[c] for c in keep}
+        cols = dict(zip(keep, chunk.table["_keep"].combine_chunks().flatten(), strict=True))
         return pa.table(cols | {"n_bytes": pa.array([len(t) for t in chunk.texts], pa.int64()), "n_removed": pa.array(lost, pa.int64()), "spans": pa.array([[{"at": a, "end": b} for a, b in some] for some in spans], of), "kept": pa.array(kept, pa.binary())})
 
     return table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)

@@ -214,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs`, and `toxicity`: the probability that the text is toxic."""
+    """All columns of `docs`, and `toxicity`: the probability that the text is toxic (an input column of that name gives way)."""
+    docs = docs.drop("toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers, whatever the input

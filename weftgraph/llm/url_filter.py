@@ -84,7 +84,7 @@ def train(labelled: DataFrame) -> PipelineModel:
 def judge(pages: DataFrame, model: PipelineModel, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """All columns of `pages`, with host, path, rule, verdict and block_probability."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_probability")]
-    df = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    df = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_keep"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     host, path = F.col("host"), F.col("path")
     rule = verdict = None
     for what, at, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
@@ -94,7 +94,7 @@ def judge(pages: DataFrame, model: PipelineModel, rules: list[tuple[str, str, st
     scored = model.transform(df.withColumn("grams", _grams(host, path)))
     chance = vector_to_array(F.col("probability"))[1]
     return scored.select(
-        *[F.col(f"`{c}`") for c in kept],
+        "_keep.*",
         "host",
         "path",
         (rule if rule is not None else F.lit(None).cast("string")).alias("rule"),
