@@ -1,0 +1,188 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.llm.helpers import edge_docs, empty_docs
+from weftgraph.llm import ann, decontamination, packing, pii
+
+
+def _words(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def _brute_contamination(docs, items, n=10):
+    grams = {}
+    for i, t in items:
+        w = _words(t)
+        if w and i is not None:
+            for k in range(max(1, len(w) - n + 1)):
+                grams.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = []
+    for _, t in docs:
+        w, hit, found = _words(t), set(), set()
+        for size in {len(g) for g in grams}:
+            for k in range(len(w) - size + 1):
+                if (own := grams.get(tuple(w[k : k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    found |= own
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("most", [30_000, 0])
+def test_decontamination(spark, most, monkeypatch):
+    """By the set in the plan, and by the join."""
+    monkeypatch.setattr(decontamination.find, "__defaults__", (None, 10, most))
+    items = [(1, "a b c d e f g h i j k l"), (2, "short item"), (3, "B C D E F G H I J K"), (4, None), (5, ""), (None, "q w e r t"), (2, "short item"), (6, "ünï çödé")]
+    texts = ["x a b c d e f g h i j k l y", "A, B. C! d e f g h i j", "the short item twice: short-item", None, "", "a b c d e f g h i", "Ünï çödé ünï çödé", "short", "short item " * 3000]
+    docs = list(enumerate(texts))
+    got = decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert [found[i] for i, _ in docs] == _brute_contamination(docs, items)
+
+
+def test_decontamination_edge_cases(spark):
+    docs = edge_docs(spark)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    rows = decontamination.find(docs, bench).collect()
+    assert len(rows) == docs.count() and sum(bool(r["items"]) for r in rows) == 3
+    assert decontamination.clean(docs, bench).count() == docs.count() - 3
+    assert decontamination.clean(docs, bench.limit(0)).count() == docs.count()
+    assert decontamination.report(empty_docs(spark), bench).collect() == []
+
+
+def test_ids_equal_those_of_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["Hello  world\n\n it's 1234 äöü 漢字 🙂 don't", " leading", "tabs\tand\r\nlines   ", "a" * 3000, "\u00a0x\u2003y", "it's we'll I'D '1"]:
+        assert packing.encode(text)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.encode(None).tolist() == packing.encode("").tolist() == [2]
+
+
+def _check_packing(rows, docs):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    total = sum(len(packing.encode(t)) for _, t in docs)
+    return len(by), -(-total // 1024)
+
+
+def test_packing(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows = packing.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for i, text in docs:
+        ids = packing.encode(text)
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [(r.start, r.length) for r in own] == packing.cuts(len(ids))
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own]
+    n, least = _check_packing(rows, docs)
+    assert n <= least * 1.02 + 1
+
+
+def test_packing_edge_cases(spark):
+    docs = edge_docs(spark)
+    rows = packing.report(docs).collect()
+    _check_packing(rows, [])
+    assert sum(r.piece == 0 for r in rows) == docs.count()
+    assert packing.report(empty_docs(spark)).collect() == []
+
+
+def test_cuts():
+    assert packing.cuts(1024) == [(0, 1024)] and packing.cuts(1025) == [(0, 1), (1, 1024)] and packing.cuts(2048) == [(0, 1024), (1024, 1024)]
+
+
+def test_crossover_and_mutation_keep_every_piece():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 1024, 500)
+    people = packing.evolve(lengths, [], 1024, rng)
+    for child in [packing.crossover(people[0], people[1], lengths, 1024, rng), packing.mutate(people[0], lengths, 1024, rng), *people]:
+        loads = np.bincount(child, lengths)
+        assert (child >= 0).all() and loads.max() <= 1024 and loads.sum() == lengths.sum() and loads.min() > 0
+    plain = np.full(500, -1, np.int32)
+    packing.best_fit(lengths, [], plain, np.argsort(-lengths), 1024)
+    assert people[0].max() <= plain.max()
+
+
+def test_pii(spark):
+    text = "Mr. John Smith and Frau Erika Muster wrote john.smith@mail.example.com, JOHN.SMITH@mail.example.com; +1 (499) 555-6503 or +1 499 555 6503; 4871316720949013; 10.0.0.1; 123-45-6789; 1eb9c654e721b4f812088970e66a6345cee33dd6"
+    docs = [(1, text), (2, f"again {text} again"), (3, "clean 12 text v1.2.3 (2024)")]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for secret in ("John", "Erika", "john.smith", "555-6503", "4871316720949013", "10.0.0.1", "123-45-6789", "1eb9c654"):
+        assert secret not in got[1]
+    assert got[2] == f"again {got[1]} again" and got[3] == docs[2][1]  # one surrogate everywhere; clean texts stay
+    a, b = re.findall(r"[\w.]+@[\w.]+", got[1])
+    assert a.lower() == b.lower() and b.split("@")[0].isupper()
+    phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1 (\d{3}) (\d{3}) (\d{4})", got[1])
+    assert phones and phones[0][:3] == phones[0][3:]
+    card = re.search(r"; (\d{16});", got[1])[1]
+    assert sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, card))) % 10 == 0
+    assert re.match(r"Mr\. (" + "|".join(pii.NAMES["latin"]["male"]) + ") ", got[1])
+    assert re.search(r"Frau (" + "|".join(pii.NAMES["latin"]["female"]) + ") ", got[1])
+
+
+def test_surrogates_are_distinct(spark):
+    people = spark.createDataFrame([("person", f"male|person {i}") for i in range(1500)] + [("ip", f"1.2.{i}.{j}") for i in range(20) for j in range(20)], "kind string, identity string")
+    rows = pii.surrogates(people).collect()
+    assert len(rows) == 1900 and len({(r.kind, r.surrogate) for r in rows}) == 1900
+    assert not {r.surrogate for r in rows} & {r.identity for r in rows}
+
+
+def test_pii_edge_cases(spark):
+    docs = edge_docs(spark).unionByName(spark.createDataFrame([(None, "a@b.example.com"), (20, "a@b.example.com"), (20, "a@b.example.com")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = pii.replace(docs).collect()
+    assert len(rows) == docs.count()
+    assert len({r.text for r in rows if r.n_entities}) == 1 and sum(r.n_entities for r in rows) == 3
+    assert pii.replace(empty_docs(spark)).collect() == []
+
+
+def _brute_nearest(rows, k=10):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, v in good:
+        if i % 100 == 0:
+            out[i] = sorted((float(np.sqrt(((w - v) ** 2).sum())), j) for j, w in good if j != i)[:k]
+    return out
+
+
+def test_ann_on_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(400)]
+    rows += [(500, rows[0][1]), (501, rows[0][1]), (600, None), (700, [0.0] * 4), (800, [1.0, None, 0.0, 0.0]), (900, [float("nan")] * 4), (1000, [float("inf"), 0.0, 0.0, 0.0]), (1100, [1.0]), (None, rows[1][1])]
+    got = {}
+    for r in ann.search(spark.createDataFrame([(i, v, "c") for i, v in rows], "vec_id long, embedding array<float>, list string")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    want = _brute_nearest(rows)
+    assert got.keys() == want.keys()
+    same = sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want)
+    assert same >= 0.9 * sum(map(len, want.values()))
+    assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    few = ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
+
+
+def test_ann_recall(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        near = [ids[j] for j in np.lexsort((ids, d)) if ids[j] != ids[i]][:10]
+        hit += len(got[ids[i]] & set(near))
+        total += len(near)
+    assert hit >= 0.9 * total

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,13 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    if rows["quality"].nunique() < 2:
+        return counts["good"] / counts["n"]
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(float)
     # mixed order, so that the rows set aside are like the others
     shuffled = np.random.default_rng(5).permutation(len(x))
     x, y = x[shuffled], rows["quality"].to_numpy(float)[shuffled]
     cut, has = 12 + TRIGRAMS, ~np.isnan(y)
-    if pd.Series(y[has]).nunique() < 2:
-        return counts["good"] / counts["n"]
     return co_train(x[has, :cut], x[has, cut:], (y[has] == 1).astype(float), x[~has, :cut], x[~has, cut:])
 
 
