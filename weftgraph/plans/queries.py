@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates, text
 from weftgraph.model import CodeGraph
-from weftgraph.operators import analyzers, links, lookups, search, traversal
+from weftgraph.operators import analyzers, links, lookups, navigation, search, traversal
 from weftgraph.plans.fixtures import FX1_WITH, FX2_WITH, FX3_CLIENT, FX3_LINKS, FX3_ROUTE, duck, fx1, fx2, spark_sql
 from weftgraph.plans.registry import register
 from weftgraph.sources import graphs
@@ -394,3 +394,88 @@ def a8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx1(spark, sf_dir)
     small = CodeGraph(g.nodes.where("type IN ('class', 'interface')"), g.edges.where("type IN ('DEPENDS_ON', 'IMPLEMENTS')"))
     return analyzers.similar_files(small, small.nodes.where("file LIKE 'app/domain/nation%' OR file LIKE 'app/contracts/%'").select("file").distinct())
+
+
+@register("g22_route_handlers", FX1_WITH + "SELECT from_id AS endpoint, to_id AS handler FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'ROUTES_TO' AND from_id IN (SELECT id FROM nodes WHERE type = 'api_endpoint'))) WHERE r <= 6")
+def g22_route_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handlers of every route."""
+    return navigation.route_handlers(fx1(spark, sf_dir))
+
+
+@register("g35_nearest_source", FX1_WITH + "SELECT id, id AS source FROM nodes WHERE file IS NOT NULL")
+def g35_nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each node's source is."""
+    return navigation.nearest_source(fx1(spark, sf_dir))
+
+
+@register("a6_feature", FX1_WITH + """
+, s AS (SELECT file, CASE WHEN lower(id) = 'nation' THEN 1500 WHEN lower(name) = 'nation' THEN 1425 WHEN lower(name) LIKE 'nation%' THEN 900 WHEN lower(id) LIKE '%nation%' THEN 850 WHEN lower(file) LIKE '%nation%' THEN 800 END AS score, id FROM nodes),
+top AS (SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 60), hits AS (SELECT file, max(score) AS score FROM top WHERE file IS NOT NULL GROUP BY 1),
+seeds AS (SELECT file FROM hits ORDER BY score DESC, file LIMIT 8),
+b AS (SELECT from_id AS id, to_id AS other, type FROM edges UNION ALL SELECT to_id, from_id, type FROM edges),
+near AS (SELECT o.file, max(450 + CASE WHEN b.type IN ('ROUTES_TO') THEN 280 WHEN b.type IN ('CALLS', 'DEPENDS_ON') THEN 210 ELSE 80 END) AS score FROM b JOIN nodes n ON n.id = b.id JOIN nodes o ON o.id = b.other WHERE n.file IN (SELECT file FROM seeds) AND o.file NOT IN (SELECT file FROM seeds) GROUP BY 1),
+u AS (SELECT file, max(score)::INT AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM near) GROUP BY 1)
+SELECT file, CASE WHEN regexp_matches(file, '(^|/)routes?/') THEN 'route' WHEN file LIKE '%controller%' THEN 'controller' WHEN file LIKE '%service%' THEN 'service' WHEN file LIKE '%model%' THEN 'model' ELSE 'other' END AS role, score FROM u ORDER BY score DESC, file LIMIT 20
+""")
+def a6_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the feature `nation`."""
+    return navigation.feature(fx1(spark, sf_dir), ["nation"])
+
+
+@register("a10_locate")
+def a10_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where work on `customer` begins."""
+    return navigation.locate(fx1(spark, sf_dir), ["customer"])
+
+
+@register("a17_data_layer_reach", FX1_WITH + "SELECT count(*) AS starts, 0::BIGINT AS reached FROM nodes WHERE type = 'api_endpoint'")
+def a17_data_layer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many routes reach a class of the data layer (the commerce graph has none)."""
+    g = fx1(spark, sf_dir)
+    starts = navigation.route_handlers(g).select("endpoint", F.col("handler").alias("start"))
+    reach = navigation.data_layer_reach(g, starts.select(F.col("start").alias("id")).distinct(), 3).select("start", F.lit(1).alias("hit")).distinct()
+    by_route = _all(g, "api_endpoint").join(starts.join(reach, "start", "left"), F.col("endpoint") == F.col("id"), "left").groupBy("id").agg(F.max("hit").alias("hit"))
+    return by_route.agg(F.count("*").alias("starts"), F.count("hit").alias("reached"))
+
+
+@register("p32_expand_resources", """
+WITH r AS (SELECT * FROM (VALUES ('GET', '', 'index'), ('GET', '/create', 'create'), ('POST', '', 'store'), ('GET', '/{param}', 'show'), ('GET', '/{param}/edit', 'edit'), ('PUT', '/{param}', 'update'), ('PATCH', '/{param}', 'update'), ('DELETE', '/{param}', 'destroy')) AS v(verb, suffix, action)),
+b AS (SELECT DISTINCT lower(replace(p_brand, '#', '.')) AS base, CASE WHEN p_size > 25 THEN 'resource' ELSE 'apiResource' END AS kind FROM part)
+SELECT base, kind, verb, concat('/', replace(base, '.', '/{param}/'), suffix) AS path, action FROM b, r WHERE kind = 'resource' OR action NOT IN ('create', 'edit')
+""")
+def p32_expand_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REST routes of a resource for each brand."""
+    base = _read(spark, sf_dir, "part").select(F.lower(F.replace("p_brand", F.lit("#"), F.lit("."))).alias("base"), F.when(F.col("p_size") > 25, "resource").otherwise("apiResource").alias("kind")).distinct()
+    return links.expand_resources(base)
+
+
+_ENDPOINT = "concat('http:', CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END, ':', regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1))"
+
+
+@register("c15_endpoint_parts", f"SELECT page_id, nullif(regexp_extract(e, '^(?:api|http):([^:]+):', 1), '') AS verb, nullif(regexp_extract(e, '^(?:api|http):[^:]+:(.*)$', 1), '') AS path FROM (SELECT page_id, {_ENDPOINT} AS e FROM pages)")
+def c15_endpoint_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verb and path of an endpoint id for each page."""
+    e = _read(spark, sf_dir, "pages").select("page_id", F.expr(_ENDPOINT).alias("e"))
+    return e.select("page_id", text.endpoint_verb(F.col("e")).alias("verb"), text.endpoint_path(F.col("e")).alias("path"))
+
+
+@register("c31_risk_tiers", "SELECT o_orderkey, CASE WHEN o_totalprice / 10000 >= 40 THEN 'CRITICAL' WHEN o_totalprice / 10000 >= 20 THEN 'HIGH' WHEN o_totalprice / 10000 >= 8 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM orders")
+def c31_risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of a score for each order."""
+    return _read(spark, sf_dir, "orders").select("o_orderkey", predicates.risk(F.col("o_totalprice") / 10000).alias("tier"))
+
+
+_TURN = "concat('conv', lpad(cast(conv_id as string), 8, '0'), '::turn', lpad(cast({t} as string), 4, '0'))"
+
+
+@register("fx4_conversation_closure", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT {_TURN.format(t='turn')} AS a, {_TURN.format(t='turn + 1')} AS b FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)),
+r AS (SELECT a, b, 1 AS dist FROM e UNION ALL SELECT r.a, e.b, dist + 1 FROM r JOIN e ON e.a = r.b)
+SELECT a AS src, b AS dst, dist FROM r
+""")
+def fx4_conversation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later turn of every turn."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
+    pairs = turns.join(after, ["conv_id", "turn"])
+    return traversal.closure(pairs.select(F.expr(_TURN.format(t="turn")).alias("src"), F.expr(_TURN.format(t="turn + 1")).alias("dst")))
