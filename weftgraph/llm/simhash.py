@@ -24,7 +24,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,7 +39,6 @@ HOT = 1024
 RESERVED = ("fp", "component_id", "least", "root", "node", "_text")
 #: Shingles whose bits are counted at once.
 STEP = 1 << 15
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes([32, *range(9, 14)])
 _TO_SPACE = bytes(32 if b in _SPACES else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
