@@ -11,6 +11,7 @@ from weftgraph.functions.predicates import ENTRY_TYPES, LAYERS, feature_file_rol
 from weftgraph.functions.text import divergent_terms, jaccard, split_terms
 from weftgraph.model import CodeGraph
 from weftgraph.operators.traversal import ancestors, bfs_levels
+from weftgraph.sources.storage import cut
 
 # What an edge adds to the impact on its source, and on its target.
 WEIGHTS_IN = {"CALLS": 5, "DEPENDS_ON": 4, "EXTENDS": 3, "IMPLEMENTS": 2, "ROUTES_TO": 5, "BLADE_USES_ACTION": 4}
@@ -28,7 +29,7 @@ def traffic(graph: CodeGraph, include_resolved: bool = False, include_depends_on
 
 def hotspots(graph: CodeGraph, limit: int = 10, include_resolved: bool = False, include_depends_on: bool = False) -> DataFrame:
     """(list, id, incoming, outgoing, score): the busiest methods, classes, classes by dependency, and nodes by fan-out."""
-    all_ = traffic(graph, include_resolved, include_depends_on)
+    all_ = cut(traffic(graph, include_resolved, include_depends_on))  # a row for each node, read by three lists
     depend = traffic(CodeGraph(graph.nodes, graph.edges.where("type = 'DEPENDS_ON'")), False, True)
     lists = [
         ("method", all_.where("type = 'method'"), F.desc("score")),
@@ -64,7 +65,7 @@ def change_impact(graph: CodeGraph, targets: DataFrame, depth: int = 2, decay: s
     Each edge into a node that is reached at level l adds its weight times decay ** l to its source, so nodes are
     expanded once and edges counted once. Scores are exact decimals until the end.
     """
-    e = impact_edges(graph, include_resolved, include_depends_on)
+    e = cut(impact_edges(graph, include_resolved, include_depends_on))  # read once for each level, and for both directions
     seeds = targets.select(F.col("id").alias("batch"), F.col("id").alias("node"))
     levels = bfs_levels(e.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), seeds, depth - 1)
     factor = F.lit(0).cast("decimal(18,6)")
@@ -97,6 +98,7 @@ def impact_summary(impact: DataFrame) -> DataFrame:
 def risk_ranking(graph: CodeGraph, pool: int = 100, depth: int = 2, include_resolved: bool = False) -> DataFrame:
     """(id, hotspot_score, impact_score, combined, risk, rank): the busiest nodes by impact and traffic."""
     busy = hotspots(graph, pool, include_resolved).where("list IN ('method', 'class', 'fan_out')").groupBy("id").agg(F.max("score").alias("hotspot_score"))
+    busy = cut(busy)
     impact = impact_summary(change_impact(graph, busy, depth, include_resolved=include_resolved)).select(F.col("target").alias("id"), F.col("score").alias("impact_score"))
     both = busy.join(impact, "id", "left").withColumn("impact_score", F.coalesce("impact_score", F.lit(0.0)))
     both = both.withColumn("combined", F.col("impact_score") * 3 + F.col("hotspot_score")).withColumn("risk", risk(F.col("impact_score")))
@@ -189,7 +191,7 @@ def similar_files(graph: CodeGraph, seeds: DataFrame, limit: int = 10) -> DataFr
     A score of 30 needs shared path or symbol terms, or a direct link: candidates come from an equality join on those,
     not from all pairs.
     """
-    p = file_profiles(graph).cache()
+    p = cut(file_profiles(graph))
     own = p.join(seeds.select("file"), "file", "left_semi").select(F.col("file").alias("seed"), F.col("types").alias("s_types"), F.col("terms").alias("s_terms"), F.col("role").alias("s_role"))
     keys = lambda df, file: df.select(file, F.explode(F.array_union(split_terms(F.col(file)), F.col("s_terms" if file == "seed" else "terms"))).alias("k"))
     f = graph.nodes.where("file IS NOT NULL").select("id", "file")

@@ -11,6 +11,7 @@ from weftgraph.model import CodeGraph
 from weftgraph.operators.search import find
 from weftgraph.operators.traversal import call_chain
 from weftgraph.sources.graphs import top_per_group
+from weftgraph.sources.storage import cut
 
 
 def endpoint_aliases(graph: CodeGraph) -> DataFrame:
@@ -113,21 +114,21 @@ def confidence(rows: DataFrame) -> DataFrame:
 
 def feature(graph: CodeGraph, variants: list[str], limit: int = 20) -> DataFrame:
     """(file, role, score): files of a feature: those of matches, and their neighbours by strength of the edge."""
-    hits = find(graph, variants, 60).where("file IS NOT NULL").groupBy("file").agg(F.max("score").alias("score"))
-    seeds = hits.orderBy(F.desc("score"), "file").limit(8).select("file")
+    hits = cut(find(graph, variants, 60).where("file IS NOT NULL").groupBy("file").agg(F.max("score").alias("score")))
+    seeds = cut(hits.orderBy(F.desc("score"), "file").limit(8).select("file"))
     f = graph.nodes.where("file IS NOT NULL").select("id", "file")
     e = graph.edges.select("from_id", "to_id", "type")
     both = e.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), "type").unionByName(e.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), "type"))
     near = both.join(f.join(seeds, "file", "left_semi").select("id"), "id", "left_semi").join(f.select(F.col("id").alias("other"), "file"), "other").join(seeds, "file", "left_anti")
     more = near.groupBy("file").agg(F.max(F.lit(450) + edge_bonus(F.col("type"))).alias("score"))
-    types = f.join(graph.nodes.select("id", "type"), "id").groupBy("file").agg(F.collect_set("type").alias("types"))
+    types = graph.nodes.where("file IS NOT NULL").groupBy("file").agg(F.collect_set("type").alias("types"))
     both = hits.unionByName(more).groupBy("file").agg(F.max("score").alias("score")).join(types, "file")
     return both.select("file", feature_file_role(F.col("file"), F.col("types")).alias("role"), "score").orderBy(F.desc("score"), "file").limit(limit)
 
 
 def locate(graph: CodeGraph, variants: list[str], depth: int = 3, limit: int = 12, files: int = 5) -> DataFrame:
     """(file, score, id): the files where work on a feature begins: matches, their callees by distance and layer, their handlers."""
-    match = find(graph, variants, 3).select("id", "file", (F.lit(1400) + F.lit(0)).alias("base"))
+    match = cut(find(graph, variants, 3)).select("id", "file", (F.lit(1400) + F.lit(0)).alias("base"))
     chain = call_chain(graph, match.select("id"), depth, limit).join(graph.nodes.select("id", "file"), "id").select("id", "file", (F.lit(870) - F.col("depth") * 10).alias("base"))
     routes = route_handlers(graph).join(match.select(F.col("id").alias("endpoint")), "endpoint", "left_semi").select(F.col("handler").alias("id")).join(graph.nodes.select("id", "file"), "id").select("id", "file", F.lit(1250).alias("base"))
     penalty = F.when(F.col("base") == 1400, 0).otherwise(file_role_penalty(F.col("file")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.model import EDGES, NODES, CodeGraph, tolerant
+from weftgraph.model import EDGES, NODES, CodeGraph
 
 # Directories that a scan skips, and those of tests.
 IGNORED_DIRS = "node_modules vendor .git .idea .vscode dist build coverage storage cache tmp public .nuxt .output .next bootstrap/cache logs".split()
