@@ -227,3 +227,47 @@ def test_source_files(spark, tmp_path):
         (tmp_path / name).write_text(f"<?php // {name}")
     got = lambda **k: sorted(r.file for r in graphs.source_files(spark, str(tmp_path), ["php"], **k).collect())
     assert got() == ["a.php", "sub/b.php", "tests/e.php"] and got(exclude_tests=True) == ["a.php", "sub/b.php"]
+
+
+def test_field_edges(spark):
+    edges = spark.createDataFrame(
+        [("m", "request_field:a", "READS_FIELD", None), ("m", "request_field:b", "READS_FIELD", None), ("request_field:a", "v", "ASSIGNS", None), ("v", "K::m", "FLOWS_TO", "x"), ("w", "K::m", "FLOWS_TO", None), ("v", "K::m::$p", "ARGUMENT_TO", "x")],
+        "from_id string, to_id string, type string, via string",
+    )
+    assert {(r.from_id, r.to_id) for r in lookups.field_intake(edges).collect()} == {("request_field:a", "v"), ("m", "request_field:b")}
+    assert {(r.from_id, r.type) for r in lookups.field_flow(edges).where("type LIKE '%TO'").collect()} == {("w", "FLOWS_TO"), ("v", "ARGUMENT_TO")}
+
+
+def test_arguments_and_views(spark):
+    g = CodeGraph.of(
+        spark.createDataFrame([("K::Run", "method", "Run", "public"), ("ref:run", "blade_method_ref", "run", None)], "id string, type string, name string, visibility string"),
+        spark.createDataFrame([("v", "K::Run", "FLOWS_TO", 1), ("K::Run", "K::Run::$b", "HAS_PARAMETER", 1), ("K::Run", "K::Run::$a", "HAS_PARAMETER", 0), ("view", "ref:run", "BLADE_METHOD_CALL", None)], "from_id string, to_id string, type string, argument_index int"),
+    )
+    assert [tuple(r) for r in links.argument_edges(g).collect()] == [("v", "K::Run::$b", 1)]
+    assert [tuple(r) for r in links.blade_calls(g).collect()] == [("view", "K::Run")]
+
+
+def test_pruning_and_ties(spark):
+    g = graph(spark, [("js:a", "method")], [("x", "js:a", "CALLS"), ("x", "js:b", "CALLS"), ("x", "P::b", "CALLS")])
+    assert sorted(r.to_id for r in links.prune_dangling(g, "CALLS", "js:").edges.collect()) == ["P::b", "js:a"]
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 0)], "k string, s int")
+    assert sorted(tuple(r) for r in links.best_by_group(df, "k", "s").collect()) == [("a", 2), ("a", 2), ("b", 0)]
+
+
+def test_architecture(spark):
+    g = graph(spark, [], [("App\\Domain\\A::m", "App\\Http\\B::m", "CALLS"), ("App\\Services\\A", "App\\Http\\B", "DEPENDS_ON"), ("App\\Http\\B::m", "App\\Domain\\A::m", "CALLS"), ("App\\Repository\\R::x", "App\\Services\\Q::query", "CALLS")])
+    got = {(r.from_layer, r.to_layer, r.severity, r.reason) for r in analyzers.architecture(g).collect()}
+    assert got == {("Domain", "Http", "HIGH", "Domain code should not call Http code."), ("Services", "Http", "MEDIUM", "Services code should not depend on Http code.")}
+    assert analyzers.architecture(g, ignore=[text.glob_pattern("App\\Domain\\*")]).count() == 1
+
+
+def test_every_oracle_has_a_query():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0

@@ -114,6 +114,18 @@ def file_role(file: Column) -> Column:
     )
 
 
+# Patterns of test files in a stored graph, whatever their case.
+TEST_PATTERNS = ("%/tests/%", "tests/%", "%/test/%", "test/%", "%/__tests__/%", "%Test.php", "%Cest.php", "%.test.%", "%.spec.%")
+
+
+def test_file(file: Column) -> Column:
+    """Whether a path looks like that of a test."""
+    out = F.lit(False)
+    for pattern in TEST_PATTERNS:
+        out = out | file.ilike(pattern)
+    return F.coalesce(out, F.lit(False))
+
+
 def file_role_penalty(file: Column) -> Column:
     """How much a file's role takes off its score."""
     role = file_role(file)

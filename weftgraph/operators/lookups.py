@@ -97,3 +97,36 @@ def field_flow(edges: DataFrame) -> DataFrame:
     arguments = edges.where(F.col("type") == "ARGUMENT_TO").select("from_id", F.coalesce("via", F.lit("")).alias("_via"))
     flows = edges.where(F.col("type") == "FLOWS_TO").withColumn("_via", F.coalesce("via", F.lit("")))
     return edges.where(F.col("type") != "FLOWS_TO").unionByName(flows.join(arguments, ["from_id", "_via"], "left_anti").select(*edges.columns))
+
+
+def relations(graph: CodeGraph) -> DataFrame:
+    """(id, direction, kind, n): how many edges of each kind (a call's own type, else the edge's) every node has, either way."""
+    kind = F.coalesce("call_type", "type")
+    ends = graph.edges.select(F.explode(F.array(F.struct(F.col("to_id").alias("id"), F.lit("in").alias("direction")), F.struct(F.col("from_id").alias("id"), F.lit("out").alias("direction")))).alias("e"), kind.alias("kind"))
+    counts = ends.groupBy("e.id", "e.direction", "kind").agg(F.count("*").alias("n"))
+    return counts.join(graph.nodes.select("id"), "id", "left_semi").select("id", "direction", "kind", "n")
+
+
+def unresolved_calls(graph: CodeGraph) -> DataFrame:
+    """(from_id, to_id, n): calls of what is no node, by nodes."""
+    e = graph.edges.where("type = 'CALLS'")
+    missing = e.join(graph.nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti").join(graph.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    return missing.groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+
+
+def file_fan_in(graph: CodeGraph, type_: str) -> DataFrame:
+    """(id, files): from how many files each target of an edge type is used."""
+    f = graph.nodes.select(F.col("id").alias("from_id"), "file")
+    return graph.edges.where(F.col("type") == type_).join(f, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("file").alias("files"))
+
+
+def code_location(files: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(file, directory, workspace, runtime) of the longest scope directory that holds each file.
+
+    Every directory above a file is looked up by equality; files under no scope have nulls.
+    """
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = files.select("file").distinct().select("file", F.explode(above).alias("directory"))
+    best = each.join(scopes.select("directory", "workspace", "runtime"), "directory").groupBy("file").agg(F.max_by(F.struct("directory", "workspace", "runtime"), F.length("directory")).alias("s"))
+    return files.select("file").distinct().join(best, "file", "left").select("file", "s.directory", "s.workspace", "s.runtime")

@@ -291,14 +291,43 @@ def f18_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx1(spark, sf_dir).nodes.select("id", predicates.layer_strict(F.col("id")).alias("layer"), predicates.layer_priority(F.col("id")).alias("weight"))
 
 
-_DOCFILE = "concat(source, '/', lang, '/doc', cast(doc_id as string), '.txt')"
+_DOCFILE = "concat(CASE source WHEN 'src1' THEN 'app/Tests/' WHEN 'src2' THEN 'db/migrations/' WHEN 'src3' THEN 'Fixtures/' WHEN 'src4' THEN 'app/Services/' WHEN 'src5' THEN 'routes/' ELSE 'src/' END, lang, '/doc', cast(doc_id as string), CASE WHEN lang = 'de' THEN 'Test.php' WHEN lang = 'fr' THEN '.spec.ts' WHEN source = 'src6' THEN 'Controller.php' ELSE '.php' END)"
+_FILES = f"SELECT {_DOCFILE} AS file FROM @documents"
+_ROLE = "CASE WHEN regexp_matches(lower(file), '(^|/)tests/') OR regexp_matches(file, '(Test\\.php|[.]spec[.]ts)$') THEN 'test' WHEN file LIKE '%/migrations/%' THEN 'migration' WHEN file LIKE 'Fixtures/%' THEN 'fixture' ELSE 'source' END"
 
 
-@register("f10_file_roles", f"SELECT file, 'source' AS role, 0 AS penalty FROM (SELECT {_DOCFILE} AS file FROM documents)")
+@register("f10_file_roles", f"SELECT file, {_ROLE} AS role, CASE {_ROLE} WHEN 'test' THEN 900 WHEN 'fixture' THEN 700 WHEN 'migration' THEN 450 ELSE 0 END AS penalty FROM ({duck(_FILES)})")
 def f10_file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role and penalty of each document as a file."""
-    files = _read(spark, sf_dir, "documents").selectExpr(f"{_DOCFILE} AS file")
-    return files.select("file", predicates.file_role(F.col("file")).alias("role"), predicates.file_role_penalty(F.col("file")).alias("penalty"))
+    return spark_sql(spark, sf_dir, _FILES).select("file", predicates.file_role(F.col("file")).alias("role"), predicates.file_role_penalty(F.col("file")).alias("penalty"))
+
+
+@register("f9_test_files", f"SELECT file, coalesce({' OR '.join(f'file ILIKE {chr(39)}{p}{chr(39)}' for p in predicates.TEST_PATTERNS)}, false) AS test FROM ({duck(_FILES)})")
+def f9_test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document as a file looks like a test."""
+    return spark_sql(spark, sf_dir, _FILES).select("file", predicates.test_file(F.col("file")).alias("test"))
+
+
+@register("c27_feature_roles", f"""
+SELECT file, CASE WHEN regexp_matches(lower(file), '(^|/)(test|tests|__tests__)/|[.](spec|test|stories)[.][^.]+$') THEN 'test' WHEN regexp_matches(lower(file), '(^|/)routes?/') THEN 'route'
+  WHEN lower(file) LIKE '%controller%' THEN 'controller' WHEN lower(file) LIKE '%service%' THEN 'service' ELSE 'other' END AS role FROM ({duck(_FILES)})
+""")
+def c27_feature_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role in a feature of each document as a file."""
+    return spark_sql(spark, sf_dir, _FILES).select("file", predicates.feature_file_role(F.col("file"), F.array(F.lit("class"))).alias("role"))
+
+
+_SCOPES = [("app", "back", "php"), ("app/Services", "services", "php"), ("db/migrations", "back", "sql"), ("src/en", "web", "node")]
+
+
+@register("f14_code_location", f"""
+WITH s AS (SELECT * FROM (VALUES {', '.join(map(str, _SCOPES))}) AS v(directory, workspace, runtime)), f AS (SELECT DISTINCT file FROM ({duck(_FILES)})),
+m AS (SELECT f.file, s.*, row_number() OVER (PARTITION BY f.file ORDER BY length(s.directory) DESC) AS r FROM f LEFT JOIN s ON starts_with(f.file, concat(s.directory, '/')))
+SELECT file, directory, workspace, runtime FROM m WHERE r = 1
+""")
+def f14_code_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project scope of each document as a file."""
+    return lookups.code_location(spark_sql(spark, sf_dir, _FILES), spark.createDataFrame(_SCOPES, "directory string, workspace string, runtime string"))
 
 
 @register("c1_route_paths", f"SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, {NORMAL.format(p=chr(39).join(['regexp_extract(url, ', '^[a-z]+://[^/?#]*(.*)$', ', 1)']))} AS p FROM pages)")
@@ -479,3 +508,52 @@ def fx4_conversation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
     pairs = turns.join(after, ["conv_id", "turn"])
     return traversal.closure(pairs.select(F.expr(_TURN.format(t="turn")).alias("src"), F.expr(_TURN.format(t="turn + 1")).alias("dst")))
+
+
+@register("a13_relations", FX1_WITH + """
+SELECT id, direction, kind, count(*) AS n FROM (SELECT to_id AS id, 'in' AS direction, coalesce(call_type, type) AS kind FROM edges UNION ALL SELECT from_id, 'out', coalesce(call_type, type) FROM edges) AS e SEMI JOIN nodes USING (id) GROUP BY 1, 2, 3
+""")
+def a13_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each kind that every node has, either way."""
+    return lookups.relations(fx1(spark, sf_dir))
+
+
+@register("a13_unresolved_calls", FX1_WITH + "SELECT from_id, to_id, count(*) AS n FROM edges WHERE type = 'CALLS' AND to_id NOT IN (SELECT id FROM nodes) AND from_id IN (SELECT id FROM nodes) GROUP BY 1, 2")
+def a13_unresolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of missing nodes."""
+    return lookups.unresolved_calls(fx1(spark, sf_dir))
+
+
+@register("ga2_file_fan_in", FX1_WITH + "SELECT e.to_id AS id, count(DISTINCT n.file) AS files FROM edges e JOIN nodes n ON n.id = e.from_id WHERE e.type = 'CALLS' GROUP BY 1")
+def ga2_file_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From how many files each method is called."""
+    return lookups.file_fan_in(fx1(spark, sf_dir), "CALLS")
+
+
+@register("j10_impact_edges", FX1_WITH + "SELECT type, count(*) AS n FROM edges e SEMI JOIN nodes a ON a.id = e.from_id SEMI JOIN nodes b ON b.id = e.to_id WHERE (type = 'CALLS' AND call_type IS NULL) OR type IN ('EXTENDS', 'IMPLEMENTS', 'ROUTES_TO', 'BLADE_USES_ACTION', 'DEPENDS_ON') GROUP BY 1")
+def j10_impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose ends are both nodes, by type."""
+    return analyzers.impact_edges(fx1(spark, sf_dir), include_depends_on=True).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@register("d3_layer_loose", FX1_WITH + "SELECT id, CASE " + " ".join(f"WHEN contains(split_part(id, '::', 1), '{k}') THEN '{k}'" for k in ("Controller", "Http", "Presentation", "UseCase", "Service", "Repository", "Repositories", "Domain", "Infrastructure")) + " END AS layer FROM nodes")
+def d3_layer_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer of every node by the first word contained."""
+    return fx1(spark, sf_dir).nodes.select("id", predicates.layer_loose(F.col("id")).alias("layer"))
+
+
+_TERMS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), '\\s+'), lambda w: len(w) > 1 AND NOT list_contains([" + ", ".join(f"'{t}'" for t in text.GENERIC_TERMS) + "], w)))"
+
+
+@register("c25_jaccard", f"SELECT p_partkey, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END::DOUBLE AS jaccard FROM (SELECT p_partkey, {_TERMS.format(c='p_name')} AS a, {_TERMS.format(c='p_type')} AS b FROM part)")
+def c25_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How similar each part's name and type are."""
+    a, b = text.split_terms(F.col("p_name")), text.split_terms(F.col("p_type"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.jaccard(a, b).alias("jaccard"))
+
+
+@register("c2_strip_api", "SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, rtrim(ltrim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/'), '/') AS p FROM pages)")
+def c2_strip_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path of every page as a mounted route, without the mount."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return _read(spark, sf_dir, "pages").select("page_id", text.strip_api_prefix(F.concat(F.lit("/api/v2"), path)).alias("path"))
