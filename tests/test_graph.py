@@ -176,9 +176,9 @@ def test_budget():
 
 
 def test_search_and_features(spark, flow):
-    assert search.query_variants("useOrderList")[:3] == ["useOrderList", "use-order-list", "use_order_list"]
-    assert search.find(flow, ["query::load"]).first().id == "Query::load"
-    files = [r.file for r in navigation.locate(flow, search.query_variants("Service")).collect()]
+    assert search.query_variants("useOrderList") == [("useOrderList", "raw"), ("use-order-list", "kebab"), ("use_order_list", "snake"), ("use order list", "spaced"), ("use", "token"), ("Order", "token"), ("List", "token")]
+    assert search.find(flow, "query::load").first().id == "Query::load"
+    files = [r.file for r in navigation.locate(flow, "Service").collect()]
     assert files[0] == "src/Service.php" and "src/Query.php" in files
 
 

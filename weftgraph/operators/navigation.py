@@ -112,9 +112,9 @@ def confidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.when(penalty == 0, "high").when(penalty <= 2, "medium").otherwise("low"))
 
 
-def feature(graph: CodeGraph, variants: list[str], limit: int = 20) -> DataFrame:
+def feature(graph: CodeGraph, query: str, limit: int = 20) -> DataFrame:
     """(file, role, score): files of a feature: those of matches, and their neighbours by strength of the edge."""
-    hits = cut(find(graph, variants, 60).where("file IS NOT NULL").groupBy("file").agg(F.max("score").alias("score")))
+    hits = cut(find(graph, query, 60).where("file IS NOT NULL").groupBy("file").agg(F.max("score").alias("score")))
     seeds = cut(hits.orderBy(F.desc("score"), "file").limit(8).select("file"))
     f = graph.nodes.where("file IS NOT NULL").select("id", "file")
     e = graph.edges.select("from_id", "to_id", "type")
@@ -126,9 +126,9 @@ def feature(graph: CodeGraph, variants: list[str], limit: int = 20) -> DataFrame
     return both.select("file", feature_file_role(F.col("file"), F.col("types")).alias("role"), "score").orderBy(F.desc("score"), "file").limit(limit)
 
 
-def locate(graph: CodeGraph, variants: list[str], depth: int = 3, limit: int = 12, files: int = 5) -> DataFrame:
+def locate(graph: CodeGraph, query: str, depth: int = 3, limit: int = 12, files: int = 5) -> DataFrame:
     """(file, score, id): the files where work on a feature begins: matches, their callees by distance and layer, their handlers."""
-    match = cut(find(graph, variants, 3)).select("id", "file", (F.lit(1400) + F.lit(0)).alias("base"))
+    match = cut(find(graph, query, 3)).select("id", "file", (F.lit(1400) + F.lit(0)).alias("base"))
     chain = call_chain(graph, match.select("id"), depth, limit).join(graph.nodes.select("id", "file"), "id").select("id", "file", (F.lit(870) - F.col("depth") * 10).alias("base"))
     routes = route_handlers(graph).join(match.select(F.col("id").alias("endpoint")), "endpoint", "left_semi").select(F.col("handler").alias("id")).join(graph.nodes.select("id", "file"), "id").select("id", "file", F.lit(1250).alias("base"))
     penalty = F.when(F.col("base") == 1400, 0).otherwise(file_role_penalty(F.col("file")))

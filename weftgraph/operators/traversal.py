@@ -70,7 +70,7 @@ def call_chain(graph: CodeGraph, starts: DataFrame, depth: int = 1, limit: int =
     known = graph.nodes.select(F.col("id").alias("to_id"))
     calls = graph.edges.where(visible_call(include_resolved) & ~framework_noise(F.col("to_id"))).join(known, "to_id", "left_semi").select("from_id", "to_id").distinct()
     calls = cut(top_per_group(calls, ["from_id"], ["to_id"], per_hop))
-    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
     front = seen
     for lvl in range(1, depth + 1):
         step = front.select("start", F.col("id").alias("from_id")).join(calls, "from_id").join(seen.select("start", F.col("id").alias("to_id")), ["start", "to_id"], "left_anti")

@@ -408,13 +408,17 @@ def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.keep_last(_read(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("ord")), ["user_id"])
 
 
-@register("a9_find", FX1_WITH + """
-, s AS (SELECT id, type, file, CASE WHEN lower(id) = 'part' THEN 1500 WHEN lower(name) = 'part' THEN 1425 WHEN lower(name) LIKE 'part%' THEN 900 WHEN lower(id) LIKE '%part%' THEN 850 WHEN lower(file) LIKE '%part%' THEN 800 END AS score FROM nodes)
-SELECT id, type, file, score::INT AS score FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 20
+_FIND = "CASE WHEN id = '{q}' THEN 1530 WHEN lower(id) = '{q}' OR suffix(lower(id), concat(chr(92), '{q}')) THEN 1480 WHEN suffix(lower(id), '::{q}') THEN 1455 WHEN lower(name) = '{q}' THEN 1430 WHEN contains(lower(id), '{q}') THEN 930 WHEN contains(lower(name), '{q}') THEN 880 WHEN contains(lower(file), '{q}') THEN 830 END"
+
+
+@register("a9_find", FX1_WITH + f"""
+, s AS (SELECT id, type, file, {_FIND.format(q='part')} AS score FROM nodes)
+SELECT id, type, file, score::INT AS score, CASE score WHEN 1430 THEN 'exact name' WHEN 930 THEN 'id contains query' WHEN 880 THEN 'name contains query' ELSE 'file path contains query' END || ' via raw:part' AS reason
+FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 20
 """)
 def a9_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best matches for `part`."""
-    return search.find(fx1(spark, sf_dir), ["part"], 20)
+    return search.find(fx1(spark, sf_dir), "part", 20)
 
 
 @register("a8_similar")
@@ -437,8 +441,8 @@ def g35_nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.nearest_source(fx1(spark, sf_dir))
 
 
-@register("a6_feature", FX1_WITH + """
-, s AS (SELECT file, CASE WHEN lower(id) = 'nation' THEN 1500 WHEN lower(name) = 'nation' THEN 1425 WHEN lower(name) LIKE 'nation%' THEN 900 WHEN lower(id) LIKE '%nation%' THEN 850 WHEN lower(file) LIKE '%nation%' THEN 800 END AS score, id FROM nodes),
+@register("a6_feature", FX1_WITH + f"""
+, s AS (SELECT file, {_FIND.format(q='nation')} AS score, id FROM nodes),
 top AS (SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 60), hits AS (SELECT file, max(score) AS score FROM top WHERE file IS NOT NULL GROUP BY 1),
 seeds AS (SELECT file FROM hits ORDER BY score DESC, file LIMIT 8),
 b AS (SELECT from_id AS id, to_id AS other, type FROM edges UNION ALL SELECT to_id, from_id, type FROM edges),
@@ -448,13 +452,13 @@ SELECT file, CASE WHEN regexp_matches(file, '(^|/)routes?/') THEN 'route' WHEN f
 """)
 def a6_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the feature `nation`."""
-    return navigation.feature(fx1(spark, sf_dir), ["nation"])
+    return navigation.feature(fx1(spark, sf_dir), "nation")
 
 
 @register("a10_locate")
 def a10_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where work on `customer` begins."""
-    return navigation.locate(fx1(spark, sf_dir), ["customer"])
+    return navigation.locate(fx1(spark, sf_dir), "customer")
 
 
 @register("a17_data_layer_reach", FX1_WITH + "SELECT count(*) AS starts, 0::BIGINT AS reached FROM nodes WHERE type = 'api_endpoint'")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.model import EDGES, NODES, CodeGraph
 
 # Directories that a scan skips, and those of tests.
-IGNORED_DIRS = "node_modules vendor .git .idea .vscode dist build coverage storage cache tmp public .nuxt .output .next bootstrap/cache logs".split()
-TEST_DIRS = "test tests __tests__ spec specs e2e cypress playwright fixtures __fixtures__".split()
+IGNORED_DIRS = "vendor node_modules cache logs bin bootstrap build docker docs storage artisan composer.json composer.lock package.json package-lock.json boost.json certs".split()
+TEST_DIRS = "test tests __tests__ __test__ spec specs e2e cypress playwright k6".split()
 
 
 def write_parquet(graph: CodeGraph, path: str) -> None:
