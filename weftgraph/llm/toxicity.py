@@ -34,6 +34,8 @@ MAX_PER_CLASS = 1500
 GRAMS, BITS, DIM = (3, 4, 5, 6), 17, 8
 #: Words in a passage.
 WINDOW = 8
+#: UTF-8 bytes of text that are cut into n-grams at once.
+PART = 1 << 17
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.3, 7
 #: Documents score toxic from here on.
 THRESHOLD = 0.3
@@ -119,7 +121,7 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of the toxic class for each text."""
         worst = np.full(len(texts), -np.inf)
-        for lo, hi in slices(np.array([len(t) for t in texts])):
+        for lo, hi in slices(np.array([len(t) for t in texts]), PART):
             p = passages(texts[lo:hi])
             np.maximum.at(worst, p.doc + lo, _logits(p, self.by_gram, self.bias))
         worst = np.where(np.isfinite(worst), worst, self.bias)
@@ -133,23 +135,24 @@ def train(texts: list[bytes], labels: np.ndarray, share: float) -> Model:
     weights = rng.normal(0, 1, (DIM, 2))
     bias = np.zeros(2)
     squares, w_squares, b_squares = np.full(1 << BITS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    cut = [passages([t]) for t in texts]
+    lengths = np.array([len(t) for t in texts])
     for _ in range(EPOCHS):
         for some in np.array_split(order := rng.permutation(len(texts)), max(1, len(order) // BATCH)):
             gap = weights[:, 1] - weights[:, 0]
             by_gram = table @ gap
             ids, shares, errors, sizes = [], [], [], []
-            for d in some:
-                p = cut[d]
-                if not len(p.first):
-                    continue
+            # cut anew each time: n-grams of all texts at once would take twenty times the memory of the texts
+            for lo, hi in slices(lengths[some], PART):
+                p = passages([texts[d] for d in some[lo:hi]])
                 z = _logits(p, by_gram, bias[1] - bias[0])
-                k = int(np.argmax(z))
-                g, s = _grams_of(p, k)
-                ids.append(g)
-                shares.append(s)
-                errors.append(1 / (1 + np.exp(-np.clip(z[k], -30, 30))) - labels[d])
-                sizes.append(len(g))
+                first = np.flatnonzero(np.diff(p.doc, prepend=-1))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(z)], strict=True):
+                    k = a + int(np.argmax(z[a:b]))
+                    g, s = _grams_of(p, k)
+                    ids.append(g)
+                    shares.append(s)
+                    errors.append(1 / (1 + np.exp(-np.clip(z[k], -30, 30))) - labels[some[lo + p.doc[a]]])
+                    sizes.append(len(g))
             if not ids:
                 continue
             g, s, e = np.concatenate(ids), np.concatenate(shares), np.repeat(errors, sizes)
