@@ -161,3 +161,45 @@ def test_near_copies(spark):
     ids = [r.doc_id for r in got.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 6, 8, 9] and ids.count(None) == 1
     assert near_copies.keep_one(empty_docs(spark)).collect() == []
+
+
+def _brute_kept(rows):
+    """The smallest id of each component of texts whose exact sets of shingles have a Jaccard similarity of 0.8 or more."""
+    sets = [set(near_copies.shingles((t or "").encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= near_copies.SIMILARITY * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
+def _edited(rng, text, edits):
+    """`text` with words changed at places at least a shingle apart."""
+    out = text.copy()
+    for i in rng.choice(len(text) // 6, edits, replace=False).tolist():
+        out[i * 6] = f"edit{rng.integers(10**9)}"
+    return out
+
+
+def test_near_copies_of_a_common_original(spark):
+    """Groups of many more than 8 whose members are near their original and too far from each other, with chains of two behind them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(600)]
+        group = [base] + [_edited(rng, base, 9) for _ in range(150)]
+        group += [_edited(rng, x, 9) for x in group[1:6]]
+        rows += [" ".join(group[k]) for k in rng.permutation(len(group)).tolist()]
+    rows = list(enumerate(rows))
+    want = _brute_kept(rows)
+    assert len(want) < len(rows) // 4
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want

@@ -1,14 +1,20 @@
-"""Near copies by SimHash at a similarity of 0.8: wide fingerprints, one-bit-deleted segments, exact verification.
+"""Near copies by SimHash at a similarity of 0.8: wide fingerprints, one-bit-deleted segments, exact verification, exact rest.
 
 At a Jaccard similarity of 0.8 over word shingles two SimHashes differ in about 15 % of their bits, far more than 64-bit
 fingerprints can be searched for by segments. So the fingerprint has `BANDS` segments of `WIDTH` bits: a segment of such a pair
-differs in at most one bit with a probability of about 0.2, and of sixteen segments one does in 98 cases of 100 (and in
+differs in at most one bit with a probability of about 0.17, and of sixteen segments one does in 95 cases of 100 (and in
 more than 99.9 at 0.9). Segments meet by their exact half and are compared with each bit of the other half deleted;
 fingerprints that are near enough become candidates, and candidates are verified on their exact sets of shingles.
 
 Exact copies are one document throughout. In a bucket of many near copies each text is compared with leaders only (a text
 that no leader is near becomes one), in another order in each segment, so that a large group gives no pairs. Verified links
-are joined to components, of which the document with the smallest id stays.
+are joined to components.
+
+Fingerprints only find most links cheaply; what they miss is found exactly. Two sets of a similarity of 0.8 share one of the
+first fifth of their shingles in any common order, so the texts of different components that share one there, and that
+sizes and sketches (parities of the shingles by hash, which bound how many two sets share) leave possible, are verified too.
+Common shingles come last in that order; which are common is taken from a sample and decides the speed only. Of each
+component over all links the document with the smallest id stays.
 
 Null and empty texts are copies of each other. Documents with a null id stay only if no copy has an id. An empty table gives an
 empty result.
@@ -35,6 +41,10 @@ BANDS, WIDTH, WORDS = 16, 20, 5
 FAR = 67
 HALF = WIDTH // 2
 STEP = 1 << 13
+#: Texts of the sample (or one of as many, if more) that tells common shingles, and how many of those come last in the order.
+SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
+#: Bits of a sketch; members of a token's group that are compared at once.
+SKETCH, GROUP = 2048, 16
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -57,10 +67,55 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, common ones last: sets of SIMILARITY share one of them. An empty set has 0."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    often = common[at] == hashes if len(common) else np.zeros(n, bool)
+    ordered = np.concatenate([hashes[~often], hashes[often][np.argsort(rank[at[often]])]]) if often.any() else hashes
+    return ordered[: n - least_shared(n) + 1]
+
+
+def least_shared(n: int) -> int:
+    """How many of n hashes a set of SIMILARITY has at least (one less where that is not sure in floating point)."""
+    return max(1, int(np.ceil(SIMILARITY * n - 1e-9)))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each bit: two sets differ in at least as many hashes as their sketches in bits."""
+    return np.packbits(np.bincount((mixed(hashes) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").tobytes()
+
+
+def _fingerprints(common: np.ndarray, rank: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in as_bytes(batch.column(2))]
+            cols = [pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            cols += [pa.array([prefix(s, common, rank).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "same", "fp", "size", "first", "sketch"])
+
+    return run
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [wide_fingerprint(shingles(t)).tobytes() for t in as_bytes(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "same", "fp"])
+        for text in as_bytes(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample have, sorted, and the place of each in the order (rarer first)."""
+    one = max(1, min(ONE_OF, texts.count() // SAMPLE))
+    some = texts.where(F.pmod(F.xxhash64("same"), F.lit(one)) == 0).select("_row.text")
+    counts = some.mapInArrow(_hashes, "token long").groupBy("token").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    token, n = rows["token"].to_numpy().view(np.uint64), rows["count"].to_numpy()
+    order = np.argsort(token)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    return token[order], rank[order]
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +164,61 @@ def _near(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of each text's prefix."""
+    for batch in batches:
+        blobs = batch.column(3).to_pylist()
+        at = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), *(batch.column(k).take(at) for k in range(3))], names=["token", "same", "root", "size"])
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Pairs of one part whose texts share a token, are of different components and of near enough sizes."""
+    token, same, root, size = (table[c].to_numpy() for c in ("token", "same", "root", "size"))
+    order = np.lexsort((root, token))
+    token, same, root, size = token[order], same[order], root[order], size[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(token)))
+    several = root[first] != root[first + counts - 1]  # sorted by component: others than one
+    found, held, limit = [np.zeros((0, 2), np.int64)], 0, 1 << 20
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held, limit
+        fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
+        a, b = same[i[fits]], same[j[fits]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        held += len(a)
+        if held > limit:  # pairs that several tokens give are kept once
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+            held = len(found[0])
+            limit = max(limit, 2 * held)
+
+    small = np.repeat(several & (counts <= GROUP), counts)
+    for off in range(1, GROUP):
+        i = np.flatnonzero(small[:-off] & (token[off:] == token[:-off]))
+        add(i, i + off)
+    large = several & (counts > GROUP)
+    for at, n in zip(first[large].tolist(), counts[large].tolist(), strict=True):
+        end = at + n
+        for i in range(at, end - 1):
+            later = int(np.searchsorted(root[at:end], root[i], "right")) + at
+            if later == end:
+                break
+            j = np.arange(later, end)
+            add(np.full(len(j), i), j)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches and sizes allow SIMILARITY."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, SKETCH // 64) for k in (2, 3))
+        total = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+        both = (total - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2  # at most
+        yield batch.select(["a", "b"]).filter(pa.array(both >= SIMILARITY * (total - both) - 1e-9))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = [shingles(t).tobytes() for t in as_bytes(batch.column(1))]
@@ -140,20 +250,33 @@ def _merged(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of copies and near copies the document with the smallest id; all columns."""
-    spark = docs.sparkSession
-    texts = _merged(docs)
-    prints = written(texts.select("id", "same", "_row.text").mapInArrow(_fingerprints, "id long, same long, fp binary"))
-    parts = pieces_for(spark, 0, 1) * 2
-    spread = prints.select("same", "fp").mapInArrow(_spread, "key long, other int, same long, fp binary").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    links = written(spread.groupBy("part").applyInArrow(_near, "a long, b long").distinct())
+def _verified(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of the distinct links (a, b) whose texts are similar enough."""
     # each text that some link names, once
     asked = links.select(F.col("a").alias("same")).unionByName(links.select(F.col("b").alias("same"))).distinct()
     named = texts.join(asked, "same", "left_semi").select("same", "_row.text")
     sets = written(named.mapInArrow(_sets, "same long, set binary"))
     pairs = links.join(sets.select(F.col("same").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    roots = connected(pairs.mapInArrow(_verify, "a long, b long"))
+    return pairs.mapInArrow(_verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of copies and near copies the document with the smallest id; all columns."""
+    spark = docs.sparkSession
+    texts = _merged(docs)
+    common, rank = _common(texts)
+    prints = written(texts.select("id", "same", "_row.text").mapInArrow(_fingerprints(common, rank), "id long, same long, fp binary, size int, first binary, sketch binary"))
+    parts = pieces_for(spark, 0, 1) * 2
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    spread = prints.select("same", "fp").mapInArrow(_spread, "key long, other int, same long, fp binary").withColumn("part", part)
+    links = written(_verified(texts, written(spread.groupBy("part").applyInArrow(_near, "a long, b long").distinct())))
+    # the rest, exactly: texts of different components that share a token of their prefixes
+    placed = prints.select("same", "size", "first").join(connected(links), F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"), "size", "first")
+    tokens = placed.mapInArrow(_tokens, "token long, same long, root long, size int").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
+    across = tokens.groupBy("part").applyInArrow(_across, "a long, b long").distinct()
+    of = lambda end, blob, size: prints.select(F.col("same").alias(end), F.col("sketch").alias(blob), F.col("size").alias(size))
+    possible = across.join(of("a", "x", "p"), "a").join(of("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_possible, "a long, b long")
+    roots = connected(links.unionByName(_verified(texts, written(possible))))
     grouped = prints.select("same", "id").join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))
     # one text of each component: that of the smallest id, null last
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "same")).alias("least")).select(F.col("least.same").alias("same"))
