@@ -203,3 +203,22 @@ def test_near_copies_of_a_common_original(spark):
     assert len(want) < len(rows) // 4
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_near_copies_at_the_limit(spark):
+    """Pairs with one link only, at a similarity of exactly 0.8."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(274)]
+        rows += [" ".join(base), " ".join(_edited(rng, base[1:-1], 6)) if g % 3 == 2 else " ".join(_inner(rng, base, 6))]
+    rows = list(enumerate(rows))
+    want = _brute_kept(rows)
+    assert 150 <= len(want) <= 200
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def _inner(rng, text, edits):
+    """`_edited`, but each changed word is in five shingles."""
+    return text[:4] + _edited(rng, text[4:-4], edits) + text[-4:]
