@@ -52,6 +52,21 @@ def test_suffix_dedup_is_exact(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(u), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_periods(spark):
+    """A block that only follows itself, also where its period is the number of strings in a window."""
+    rng = np.random.default_rng(85)
+    rows = []
+    for period in (84, 85, 86, 100):
+        for copies in (2, 3, 4):
+            block = bytes(rng.integers(97, 123, period).astype(np.uint8)).decode()
+            rows.append((len(rows), block * copies))
+    got = {r.doc_id: r for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    units = [t.encode() for _, t in rows]
+    for (i, _), u, gone in zip(rows, units, brute_removed(units, 100)):
+        kept = bytes(x for x, g in zip(u, gone) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_dedup_edge_cases(spark, op):
     docs = edge_docs(spark)

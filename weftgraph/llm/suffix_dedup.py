@@ -32,15 +32,15 @@ _END = b"\xff"
 RESULTS = ("n_bytes", "n_removed", "spans", "kept")
 
 
-def anchors(texts: list[bytes], doubles: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Of joined texts: where windows start in the buffer, their anchors, their documents, and if asked for, whether a window holds its anchor twice."""
+def anchors(texts: list[bytes], doubles: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Of joined texts: where windows start in the buffer, their anchors, their documents, and if asked for, whether a window holds its anchor twice, and the anchor's place modulo 128."""
     data = np.frombuffer(_END.join(texts) + _END, np.uint8)
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes + 1) - sizes - 1
     some = sizes >= WIDTH
     counts = sizes[some] - WIDTH + 1
     if not len(counts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
     at = np.repeat(begins[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     h, k = _CODES[data], 1
     while k < GRAM:
@@ -48,12 +48,13 @@ def anchors(texts: list[bytes], doubles: bool = False) -> tuple[np.ndarray, np.n
         k *= 2
     h = mixed(h) >> np.uint64(7)
     least = _smallest(h if not doubles else (h << np.uint64(7)) | _place(len(h)), at)
-    twice = None
+    twice = place = None
     if doubles:  # of equal hashes one pass prefers the smaller place, the other one the larger place
         other = _smallest((h << np.uint64(7)) | (np.uint64(127) - _place(len(h))), at)
-        twice = (least & np.uint64(127)) + (other & np.uint64(127)) != np.uint64(127)
+        place = least & np.uint64(127)
+        twice = place + (other & np.uint64(127)) != np.uint64(127)
         least = least >> np.uint64(7)
-    return at, mixed(least), np.repeat(np.flatnonzero(some), counts), twice
+    return at, mixed(least), np.repeat(np.flatnonzero(some), counts), twice, place
 
 
 def _place(n: int) -> np.ndarray:
@@ -76,8 +77,9 @@ def _chunk_anchors(parts: int):
         chunk = Chunk.of(table)
         found = []
         for _, texts in chunk.slices():
-            at, anchor, _, twice = anchors(texts, doubles=True)
-            first, _ = runs_of(anchor, at)
+            at, anchor, _, twice, place = anchors(texts, doubles=True)
+            # a string at another place is another occurrence, also where it follows itself in each window
+            first, _ = runs_of(place, at)
             found.append(anchor[first])
             if twice.any():  # a passage that repeats itself within a run
                 found.append(anchor[first[np.logical_or.reduceat(twice, first)]])
@@ -110,7 +112,7 @@ def _segments(anchor_parts: int, parts: int):
         chunk = Chunk.of(table)
         known, out = replies(back), Gathered(chunk, parts)
         for lo, texts in chunk.slices() if len(known) else ():
-            at, anchor, doc, _ = anchors(texts)
+            at, anchor, doc, _, _ = anchors(texts)
             first, count = runs_of(anchor, at)
             good = among(code_of(anchor[first], anchor_parts), known)
             first, count = first[good], count[good]
