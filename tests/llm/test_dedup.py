@@ -143,6 +143,22 @@ def test_links_of_close_fingerprints(spark, hot, monkeypatch):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_every_pair_of_bits_links():
+    """Fingerprints that differ in any two bits, the sign bit included, are linked; in three bits they are not."""
+    rng = np.random.default_rng(64)
+    base = int(rng.integers(0, 2**63, dtype=np.uint64)) | 1 << 63
+    signed = lambda x: np.int64(x - 2**64 if x >= 2**63 else x)
+    for a in range(64):
+        for b in range(a):
+            two = np.array([signed(base), signed(base ^ 1 << a ^ 1 << b)])
+            assert len(simhash._linked(np.zeros(2, np.int64), two, 2)[0]) == 1, (a, b)
+            three = np.array([signed(base), signed(base ^ 1 << a ^ 1 << b ^ 1 << ((a + 1) % 64 if (a + 1) % 64 != b else (a + 2) % 64))])
+            assert len(simhash._linked(np.zeros(2, np.int64), three, 2)[0]) == 0, (a, b)
+    many = np.array([signed(base ^ 1 << 63 ^ 1 << b) for b in range(60)] + [signed(base)])  # a group that is compared at once
+    left, right = simhash._linked(np.zeros(61, np.int64), many, 2)
+    assert len(set(right.tolist())) == 60
+
+
 def test_connected_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected(edges).collect()}

@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that a task works on at once.
-SLICE_BYTES = 1 << 20
+#: UTF-8 bytes of text that a task works on at once; slim rows that a task takes at most.
+SLICE_BYTES, TASK_ROWS = 1 << 20, 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="weft-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -50,6 +52,11 @@ def pieces_for(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions of at most about TASK_ROWS slim rows: they grow in number with the data, not in size."""
+    return pieces_for(spark, rows, TASK_ROWS)
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `limit` bytes; a longer text stands alone."""
     ends = np.cumsum(sizes)

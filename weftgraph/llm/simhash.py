@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import as_bytes, checkpointed, pieces_for, written
+from weftgraph.llm.common import as_bytes, checkpointed, parts_for, written
 
 BITS, SEED = 64, 42
 #: Fingerprints that may share a segment's value before it counts as hot.
@@ -93,7 +93,8 @@ def _value(fp: Column, shift: int, width: int) -> Column:
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    """Set bits of 64-bit values; signed ones are taken as they lie in memory."""
+    return np.bitwise_count(x.view(np.uint64))
 
 
 def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +136,7 @@ def _by_segment(fps: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
     widths = F.element_at(F.array(*[F.lit(w) for _, w in parts]), F.col("segment") + 1)
     variants = cold.select("fp", "segment", "value", F.explode(F.sequence(F.lit(0), widths - 1)).alias("bit"))
     key = F.xxhash64("segment", "bit", F.expr("value & ~shiftleft(1L, bit)"))
-    n = pieces_for(fps.sparkSession, 0, 1)
+    n = parts_for(fps.sparkSession, fps.count() * BITS)
 
     def run(table: pa.Table) -> pa.Table:
         a, b = _linked(table["key"].to_numpy(), table["fp"].to_numpy(), distance)
@@ -143,7 +144,7 @@ def _by_segment(fps: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     spread = variants.select(key.alias("key"), "fp").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n * 4)))
-    return spread.groupBy("part").applyInArrow(run, "a long, b long")
+    return spread.repartition(n, "part").groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def _by_deletion(fps: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
