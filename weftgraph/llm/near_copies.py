@@ -1,10 +1,12 @@
 """Near copies by SimHash at a similarity of 0.8: wide fingerprints, one-bit-deleted segments, exact verification, exact rest.
 
 At a Jaccard similarity of 0.8 over word shingles two SimHashes differ in about 15 % of their bits, far more than 64-bit
-fingerprints can be searched for by segments. So the fingerprint has `BANDS` segments of `WIDTH` bits: a segment of such a pair
+fingerprints can be searched for by segments. So the fingerprint has `BANDS` segments of 20 bits: a segment of such a pair
 differs in at most one bit with a probability of about 0.17, and of sixteen segments one does in 95 cases of 100 (and in
-more than 99.9 at 0.9). Segments meet by their exact half and are compared with each bit of the other half deleted;
-fingerprints that are near enough become candidates, and candidates are verified on their exact sets of shingles.
+more than 99.9 at 0.9). Segments are longer where there are more texts (`width_for`), so that unrelated texts don't fill their
+buckets; the exact part below then finds more of the links, and the result is the same. Segments meet by their exact half
+and are compared with each bit of the other half deleted; fingerprints that are near enough become candidates, and
+candidates are verified on their exact sets of shingles.
 
 Exact copies are one document throughout. In a bucket of many near copies each text is compared with leaders only (a text
 that no leader is near becomes one), in another order in each segment, so that a large group gives no pairs. Verified links
@@ -31,15 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, mixed, pieces_for, written
+from weftgraph.llm.common import as_bytes, mixed, parts_for, written
 from weftgraph.llm.simhash import connected, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Segments, bits in each, and 64-bit words of a fingerprint.
-BANDS, WIDTH, WORDS = 16, 20, 5
-#: Bits that candidates may differ in: what 0.8 gives, and three standard deviations.
-FAR = 67
-HALF = WIDTH // 2
+#: Segments of a fingerprint, and their bits at least and at most.
+BANDS, WIDTHS = 16, (20, 24, 28, 32)
+#: Share of bits in which two texts of SIMILARITY differ.
+APART = 0.1515
 STEP = 1 << 13
 #: Texts of the sample (or one of as many, if more) that tells common shingles, and how many of those come last in the order.
 SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
@@ -47,6 +48,17 @@ SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
 SKETCH, GROUP = 2048, 16
 
 
+def width_for(texts: int) -> int:
+    """Bits of a segment, so that few unrelated ones of so many texts share one."""
+    return next((w for w in WIDTHS if texts <= 1 << w), WIDTHS[-1])
+
+
+def far_for(width: int) -> int:
+    """Bits that candidates may differ in: what SIMILARITY gives, and three standard deviations."""
+    n = BANDS * width
+    return int(APART * n + 3 * (APART * (1 - APART) * n) ** 0.5)
+
+
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
     words = words_of(text)
@@ -58,11 +70,11 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS words of SimHash over a set of hashes."""
-    counts = np.zeros(64 * WORDS, np.int64)
+def wide_fingerprint(hashes: np.ndarray, words: int = BANDS * WIDTHS[0] // 64) -> np.ndarray:
+    """64-bit words of SimHash over a set of hashes."""
+    counts = np.zeros(64 * words, np.int64)
     for lo in range(0, len(hashes), STEP):
-        part = np.stack([mixed(hashes[lo : lo + STEP] + np.uint64(k * 0x9E3779B9)) for k in range(WORDS)], 1)
+        part = np.stack([mixed(hashes[lo : lo + STEP] + np.uint64(k * 0x9E3779B9)) for k in range(words)], 1)
         counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
@@ -88,11 +100,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(hashes) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").tobytes()
 
 
-def _fingerprints(common: np.ndarray, rank: np.ndarray):
+def _fingerprints(common: np.ndarray, rank: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in as_bytes(batch.column(2))]
-            cols = [pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            cols = [pa.array([wide_fingerprint(s, BANDS * width // 64).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
             cols += [pa.array([prefix(s, common, rank).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "same", "fp", "size", "first", "sketch"])
 
@@ -105,9 +117,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most texts of a sample have, sorted, and the place of each in the order (rarer first)."""
-    one = max(1, min(ONE_OF, texts.count() // SAMPLE))
+    one = max(1, min(ONE_OF, count // SAMPLE))
     some = texts.where(F.pmod(F.xxhash64("same"), F.lit(one)) == 0).select("_row.text")
     counts = some.mapInArrow(_hashes, "token long").groupBy("token").count().where("count > 1")
     rows = counts.orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
@@ -118,50 +130,60 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rank[order]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(width: int):
     """For each text and segment two rows, by either half of the segment: key, the other half."""
-    for batch in batches:
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-        bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(-1, BANDS, 2, HALF)
-        values = (bits.astype(np.int64) << np.arange(HALF)).sum(3)  # row, band, half
-        keys = (np.arange(BANDS)[:, None] * 2 + np.arange(2))[None] * (1 << HALF) + values
-        n = BANDS * 2
-        at = pa.array(np.repeat(np.arange(len(fps)), n))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(values[:, :, ::-1].ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "other", "same", "fp"])
+    half, words = width // 2, BANDS * width // 64
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, words)
+            bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(-1, BANDS, 2, half)
+            values = (bits.astype(np.int64) << np.arange(half)).sum(3)  # row, band, half
+            keys = (np.arange(BANDS)[:, None] * 2 + np.arange(2))[None] * (1 << half) + values
+            n = BANDS * 2
+            at = pa.array(np.repeat(np.arange(len(fps)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(values[:, :, ::-1].ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "other", "same", "fp"])
 
-def _near(table: pa.Table) -> pa.Table:
+    return run
+
+
+def _near(width: int):
     """Candidate links of one part: its rows share a segment's half where their keys are equal."""
-    key, other, same = (table[c].to_numpy() for c in ("key", "other", "same"))
-    fps = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(-1, WORDS)
-    turn = mixed(same.view(np.uint64) ^ (key.astype(np.uint64) << np.uint64(32)))  # another order in each segment
-    left, right = [], []
-
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= FAR
-        left.append(same[i[near]])
-        right.append(same[j[near]])
-
-    for bit in range(HALF):
-        code = (key << HALF) | (other & ~(1 << bit))
-        order = np.lexsort((turn, code))
-        c = code[order]
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        sizes = np.diff(np.append(first, len(c)))
-        small = np.repeat(sizes, sizes) <= 8
-        for off in range(1, 8):
-            i = np.flatnonzero(small[:-off] & (c[off:] == c[:-off]))
-            link(order[i], order[i + off])
-        for at, n in zip(first[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-            rest = order[at : at + n]
-            while len(rest) > 1:
-                near = np.bitwise_count(fps[rest[1:]] ^ fps[rest[0]]).sum(1) <= FAR
-                left.append(np.full(near.sum(), same[rest[0]]))
-                right.append(same[rest[1:][near]])
-                rest = rest[1:][~near]
-    a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    half, words, far = width // 2, BANDS * width // 64, far_for(width)
+
+    def run(table: pa.Table) -> pa.Table:
+        key, other, same = (table[c].to_numpy() for c in ("key", "other", "same"))
+        fps = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(-1, words)
+        turn = mixed(same.view(np.uint64) ^ (key.astype(np.uint64) << np.uint64(32)))  # another order in each segment
+        left, right = [], []
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= far
+            left.append(same[i[near]])
+            right.append(same[j[near]])
+
+        for bit in range(half):
+            code = (key << half) | (other & ~(1 << bit))
+            order = np.lexsort((turn, code))
+            c = code[order]
+            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            sizes = np.diff(np.append(first, len(c)))
+            small = np.repeat(sizes, sizes) <= 8
+            for off in range(1, 8):
+                i = np.flatnonzero(small[:-off] & (c[off:] == c[:-off]))
+                link(order[i], order[i + off])
+            for at, n in zip(first[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
+                rest = order[at : at + n]
+                while len(rest) > 1:
+                    near = np.bitwise_count(fps[rest[1:]] ^ fps[rest[0]]).sum(1) <= far
+                    left.append(np.full(near.sum(), same[rest[0]]))
+                    right.append(same[rest[1:][near]])
+                    rest = rest[1:][~near]
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,16 +286,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of copies and near copies the document with the smallest id; all columns."""
     spark = docs.sparkSession
     texts = _merged(docs)
-    common, rank = _common(texts)
-    prints = written(texts.select("id", "same", "_row.text").mapInArrow(_fingerprints(common, rank), "id long, same long, fp binary, size int, first binary, sketch binary"))
-    parts = pieces_for(spark, 0, 1) * 2
+    count = texts.count()
+    width = width_for(count)
+    common, rank = _common(texts, count)
+    prints = written(texts.select("id", "same", "_row.text").mapInArrow(_fingerprints(common, rank, width), "id long, same long, fp binary, size int, first binary, sketch binary"))
+    parts = parts_for(spark, 4 * 2 * BANDS * count) * 2
     part = F.pmod(F.xxhash64("key"), F.lit(parts))
-    spread = prints.select("same", "fp").mapInArrow(_spread, "key long, other int, same long, fp binary").withColumn("part", part)
-    links = written(_verified(texts, written(spread.groupBy("part").applyInArrow(_near, "a long, b long").distinct())))
+    spread = prints.select("same", "fp").mapInArrow(_spread(width), "key long, other int, same long, fp binary").withColumn("part", part)
+    links = written(_verified(texts, written(spread.repartition(parts // 2, "part").groupBy("part").applyInArrow(_near(width), "a long, b long").distinct())))
     # the rest, exactly: texts of different components that share a token of their prefixes
     placed = prints.select("same", "size", "first").join(connected(links), F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"), "size", "first")
     tokens = placed.mapInArrow(_tokens, "token long, same long, root long, size int").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
-    across = tokens.groupBy("part").applyInArrow(_across, "a long, b long").distinct()
+    across = tokens.repartition(parts // 2, "part").groupBy("part").applyInArrow(_across, "a long, b long").distinct()
     of = lambda end, blob, size: prints.select(F.col("same").alias(end), F.col("sketch").alias(blob), F.col("size").alias(size))
     possible = across.join(of("a", "x", "p"), "a").join(of("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_possible, "a long, b long")
     roots = connected(links.unionByName(_verified(texts, written(possible))))
