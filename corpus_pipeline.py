@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from weftgraph.llm import decontamination, near_copies, packing, pii, toxicity
 from weftgraph.llm.common import written
 
+#: The key of the demonstration's surrogates; whoever publishes texts takes one of their own.
+PII_KEY = "demonstration"
+
 #: SQL cannot express the learned stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -29,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the new text."""
-    return pii.replace(docs).drop("n_entities").selectExpr(*[f"cast(coalesce(length(text), n_chars) AS {kind}) AS n_chars" if name == "n_chars" else f"`{name}`" for name, kind in docs.dtypes])
+    return pii.replace(docs, PII_KEY).drop("n_entities").selectExpr(*[f"cast(coalesce(length(text), n_chars) AS {kind}) AS n_chars" if name == "n_chars" else f"`{name}`" for name, kind in docs.dtypes])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
