@@ -18,9 +18,10 @@ def _brute_contamination(docs, items, n=10):
     grams = {}
     for i, t in items:
         w = _words(t)
-        if w and i is not None:
-            for k in range(max(1, len(w) - n + 1)):
-                grams.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+        for k in range(max(1, len(w) - n + 1)) if w else ():
+            own = grams.setdefault(tuple(w[k : k + n]), set())
+            if i is not None:
+                own.add(str(i))
     out = []
     for _, t in docs:
         w, hit, found = _words(t), set(), set()
@@ -33,24 +34,43 @@ def _brute_contamination(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("most", [30_000, 0])
+@pytest.mark.parametrize("most", [decontamination.SET_BYTES, 600])
 def test_decontamination(spark, most, monkeypatch):
-    """By the set in the plan, and by the join."""
+    """By one set, and by several."""
     monkeypatch.setattr(decontamination.find, "__defaults__", (None, 10, most))
     items = [(1, "a b c d e f g h i j k l"), (2, "short item"), (3, "B C D E F G H I J K"), (4, None), (5, ""), (None, "q w e r t"), (2, "short item"), (6, "ünï çödé")]
-    texts = ["x a b c d e f g h i j k l y", "A, B. C! d e f g h i j", "the short item twice: short-item", None, "", "a b c d e f g h i", "Ünï çödé ünï çödé", "short", "short item " * 3000]
+    texts = ["x a b c d e f g h i j k l y", "A, B. C! d e f g h i j", "the short item twice: short-item", None, "", "a b c d e f g h i", "Ünï çödé ünï çödé", "short", "short item " * 3000, "so q w e r t and q w e r"]
     docs = list(enumerate(texts))
     got = decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
     assert [found[i] for i, _ in docs] == _brute_contamination(docs, items)
 
 
+def _shape(df):
+    """The operators of a plan, without names and numbers."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [m for m in re.findall(r"(\w*(?:Join|Exchange|Aggregate|Generate|Scan)\w*)", plan)]
+
+
+def test_decontamination_of_many_windows(spark):
+    """With 200,000 windows the plan is the same as with a few, and so is what it finds."""
+    big = [(i, " ".join(f"v{i}x{k}" for k in range(209))) for i in range(1000)]
+    docs = [(i, f"some words {' '.join(f'v{i * 37 % 1500}x{k}' for k in range(i, i + 12))} and others") for i in range(300)]
+    of = lambda items: decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in of(big).collect()}
+    assert [got[i] for i, _ in docs] == _brute_contamination(docs, big)
+    assert 100 < sum(r[4] for r in got.values()) < 300
+    assert _shape(of(big)) == _shape(of(big[:3])) and any("BroadcastHashJoin" in x for x in _shape(of(big)))
+
+
 def test_decontamination_edge_cases(spark):
     docs = edge_docs(spark)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     rows = decontamination.find(docs, bench).collect()
     assert len(rows) == docs.count() and sum(bool(r["items"]) for r in rows) == 3
-    assert decontamination.clean(docs, bench).count() == docs.count() - 3
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    assert decontamination.clean(docs, bench, 1).count() == docs.count() - 3
     assert decontamination.clean(docs, bench.limit(0)).count() == docs.count()
     assert decontamination.report(empty_docs(spark), bench).collect() == []
 
