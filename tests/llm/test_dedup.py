@@ -3,9 +3,10 @@ import hashlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import brute_removed, edge_docs, empty_docs, random_docs, words
-from weftgraph.llm import near_copies, simhash, substring_dedup, suffix_dedup
+from weftgraph.llm import near_copies, repeats, simhash, substring_dedup, suffix_dedup
 from weftgraph.llm.suffix_array import common_prefixes, suffix_array
 
 
@@ -67,6 +68,66 @@ def test_suffix_dedup_of_periods(spark):
         assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def _largest_group(monkeypatch, tmp_path):
+    """Bytes of the largest group that `resolved` gets, as a file that tasks write to."""
+    plain, log = repeats.resolved, tmp_path / "groups"
+
+    def watched(table, repeated):
+        with open(log, "a") as f:
+            f.write(f"{sum(len(b) for b in table['blob'].to_pylist())}\n")
+        return plain(table, repeated)
+
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "resolved", watched)
+    return lambda: [int(x) for x in log.read_text().split()]
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_a_phrase_in_very_many_contexts(spark, op, monkeypatch, tmp_path):
+    """One phrase in 100,000 different contexts, each of which occurs twice: no task gets them all, and the result is exact."""
+    sizes = _largest_group(monkeypatch, tmp_path)
+    phrase = "this phrase of a licence stands in very many texts amid ever other words"
+    n, word = 100_000, lambda k: f"concat('w', hex(xxhash64(i, {k})))"
+    text = F.expr(f"concat_ws(' ', {', '.join(map(word, range(5)))}, '{phrase}', {', '.join(map(word, range(5, 10)))})")
+    docs = spark.range(n * 2).selectExpr("id AS doc_id", f"id % {n} AS i").select("doc_id", text.alias("text"))
+    got = op.report(docs)
+    size = F.size(F.split("text", " ")) if op is substring_dedup else F.length("text")
+    want = docs.agg(F.sum(F.when(F.col("doc_id") >= n, size))).first()[0]
+    total = got.agg(F.sum("n_removed").alias("n"), F.sum(F.when(F.col("doc_id") < n, F.col("n_removed"))).alias("early")).first()
+    assert (total["n"], total["early"]) == (want, 0)
+    found = sizes()
+    assert max(found) < sum(found) // 4
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+@pytest.mark.parametrize("hot", [2, 6])
+def test_hot_anchors_are_exact(spark, op, hot, monkeypatch):
+    """The finer keys of hot anchors change nothing, with every anchor hot and with some."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(hot)
+    phrase = " ".join(f"p{i}" for i in range(40))
+    rows = random_docs(hot, n=40)
+    rows += [(100 + i, f"{' '.join(f'a{rng.integers(3)}' for _ in range(8))} {phrase} {' '.join(f'b{rng.integers(3)}' for _ in range(8))}") for i in range(60)]
+    rows += [(300, "r " * 90), (301, "a b " * 60), (302, "x" * 400), (303, ("q" * 84 + "z") * 4)]
+    got = {r.doc_id: r for r in op.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    units = [words(t) if op is substring_dedup else t.encode() for _, t in rows]
+    for (i, _), u, gone in zip(rows, units, brute_removed(units, op.WIDTH)):
+        kept = [x for x, g in zip(u, gone) if not g]
+        want = " ".join(kept).encode() if op is substring_dedup else bytes(kept)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(want).hexdigest())
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_dedup_of_equal_rows_in_many_chunks(spark, op, monkeypatch):
+    """Rows of one id and text are dealt to many chunks; all but the first go. The tables are dropped."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(400).selectExpr("7L AS doc_id", f"'{text}' AS text").repartition(16)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = sorted(r.n_removed for r in op.report(docs).collect())
+    assert got == [0] + [len(text.split()) if op is substring_dedup else len(text)] * 399
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_dedup_edge_cases(spark, op):
     docs = edge_docs(spark)

@@ -83,3 +83,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def byte_codes(seed: int) -> np.ndarray:
     """A random unsigned 64-bit value for each byte."""
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a number, modulo 2 to the 64th."""
+    had = _POWERS.get(base)
+    if had is None or len(had) < n:
+        had = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), np.uint64(base))]), dtype=np.uint64)
+        if n <= 1 << 22:
+            _POWERS[base] = had
+    return had
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, from prefix sums of a polynomial in `base` (an odd number)."""
+    n = len(data)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[data] * powers(base, n)[:n], dtype=np.uint64)])
+    return mixed((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n)[starts])

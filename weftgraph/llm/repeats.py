@@ -3,11 +3,15 @@
 Both judge windows (a fixed number of consecutive words or bytes): every occurrence but the earliest is removed. Windows
 are given an anchor that their content alone decides, so equal windows have equal anchors. Consecutive windows
 with one anchor form a segment, which goes to the part of its anchor; all equal windows meet there, and
-nothing but the text of repeated passages travels.
+nothing but the text of passages that seem repeated travels.
 
-Documents are dealt by hash of id and text into chunks of bounded size, kept as a bucketed table in the warehouse so that
-each pass finds a chunk's documents together without another shuffle. Within a chunk equal segments are merged before
-they travel: a passage that very many documents share is sent once from each chunk.
+An anchor that occurs more than `HOT` times, counted over the whole corpus, is hot: its windows go to parts by a finer key, which
+nearly their whole content decides, so a phrase in very many contexts is spread over all parts, and equal windows still meet.
+
+Documents are dealt by hash of id, text and place in the input into chunks of bounded size, kept as a bucketed table in the
+warehouse so that each pass finds a chunk's documents together without another shuffle; the table is dropped when the result is
+written. Within a chunk equal segments are merged before they travel: a passage that very many documents share is
+sent once from each chunk.
 """
 
 from __future__ import annotations
@@ -22,45 +26,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_BYTES, as_bytes, pieces_for, slices, text_bytes
+from weftgraph.llm.common import SLICE_BYTES, as_bytes, pieces_for, slices, text_bytes, written
 
 #: UTF-8 bytes of text in a chunk; parts that segments are dealt into, for each chunk.
 CHUNK, PARTS = 16 << 20, 4
-#: Windows in a segment at most: a longer run of one anchor is cut.
-RUN = 256
+#: Windows in a segment at most: a longer run of one anchor is cut. Occurrences beyond which an anchor is hot.
+RUN, HOT = 256, 4096
 BLOB = "part int, chunk int, blob binary"
 
 
-def chunked(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
-    """`_keep` (a struct of columns `keep`), `_id`, `_text`, `_hash` and `chunk` as a table bucketed by chunk; how many chunks."""
+def chunked(docs: DataFrame, keep: list[str]) -> tuple[str, int]:
+    """Name of a table bucketed by chunk with `_keep` (a struct of columns `keep`), `_id`, `_text`, `_hash`, `_number` and `chunk`; how many chunks."""
     spark = docs.sparkSession
     n = pieces_for(spark, text_bytes(docs), CHUNK)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    rows = rows.withColumn("_hash", F.xxhash64("_id", "_text")).withColumn("chunk", F.pmod("_hash", F.lit(n)).cast("int"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_number"))
+    rows = rows.withColumn("_hash", F.xxhash64("_id", "_text")).withColumn("chunk", F.pmod(F.xxhash64("_hash", "_number"), F.lit(n)).cast("int"))
     name = f"weft_{uuid.uuid4().hex}"
     rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), n
+    return name, n
+
+
+def settled(result: DataFrame, name: str) -> DataFrame:
+    """`result` written down, and the table that it was made from dropped."""
+    out = written(result)
+    result.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 @dataclass
 class Chunk:
-    """A chunk's documents in their global order: id (null first), then hash of the text, then equal rows."""
+    """A chunk's documents in their global order: id (null first), then hash of the text, then place in the input."""
 
     table: pa.Table
     texts: list[bytes]
-    keys: np.ndarray  # id, hash, number among equal rows
+    keys: np.ndarray  # id, hash, number
     chunk: int
 
     @staticmethod
     def of(table: pa.Table) -> Chunk:
         ids = table["_id"].to_numpy() if table["_id"].null_count == 0 else table["_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
-        hashes = table["_hash"].to_numpy()
-        order = np.lexsort((hashes, ids))
-        table, ids, hashes = table.take(pa.array(order)), ids[order], hashes[order]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])) if len(ids) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        number = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-        return Chunk(table, as_bytes(table["_text"]), np.stack([ids, hashes, number], 1), int(table["chunk"][0].as_py()) if len(table) else -1)
+        keys = np.stack([ids, table["_hash"].to_numpy(), table["_number"].to_numpy()], 1)
+        order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+        table = table.take(pa.array(order))
+        return Chunk(table, as_bytes(table["_text"]), keys[order], int(table["chunk"][0].as_py()) if len(table) else -1)
 
     def slices(self) -> Iterator[tuple[int, list[bytes]]]:
         """(first row, texts) of about SLICE_BYTES each."""
@@ -98,25 +106,86 @@ def code_of(f: np.ndarray, parts: int) -> np.ndarray:
     return ((f % np.uint64(parts)) << np.uint64(32)) | (f >> np.uint64(32))
 
 
-def replies(table: pa.Table) -> np.ndarray:
-    """The sorted codes that a chunk got back."""
-    rows = sorted(zip(table["part"].to_pylist(), table["blob"].to_pylist(), strict=True))
-    return np.concatenate([(np.uint64(p) << np.uint64(32)) | unpacked(b)[0].astype(np.uint64) for p, b in rows]) if rows else np.zeros(0, np.uint64)
+def counted(f: np.ndarray, parts: int, marks: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) for a chunk's 64-bit values f: each once, with how often it occurs (65,535 at most), and whether any of it is marked."""
+    for p, places in split_by_part(f, parts):
+        v = (f[places] >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(v, kind="stable")
+        v = v[order]
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        counts = np.minimum(np.diff(np.append(first, len(v))), 65535).astype("<u2")
+        more = counts.tobytes() if marks is None else counts.tobytes() + np.packbits(np.logical_or.reduceat(marks[places][order], first)).tobytes()
+        yield p, packed(v[first]) + zlib.compress(more, 1)
+
+
+def repeated_values(marked: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """For a part of `counted` rows: each chunk gets back those of its values that occur more than once in all, with flags (1: marked anywhere, 2: hot)."""
+    hot = HOT
+
+    def run(table: pa.Table) -> pa.Table:
+        values, counts, marks = [], [], []
+        for blob in table["blob"].to_pylist():
+            v, rest = unpacked(blob)
+            rest = zlib.decompress(rest)
+            values.append(v)
+            counts.append(np.frombuffer(rest, "<u2", len(v)).astype(np.int64))
+            marks.append(np.unpackbits(np.frombuffer(rest, np.uint8, offset=2 * len(v)), count=len(v)).astype(bool) if marked else np.ones(len(v), bool))
+        v, count, mark = np.concatenate(values), np.concatenate(counts), np.concatenate(marks)
+        order = np.argsort(v, kind="stable")
+        first = np.flatnonzero(np.append(True, v[order][1:] != v[order][:-1]))
+        sums, sizes = np.add.reduceat(count[order], first), np.diff(np.append(first, len(v)))
+        flag = np.logical_or.reduceat(mark[order], first) * np.uint8(1) + (sums > hot) * np.uint8(2)
+        again, flags = np.zeros(len(v), bool), np.zeros(len(v), np.uint8)
+        again[order], flags[order] = np.repeat(sums > 1, sizes), np.repeat(flag, sizes)
+        ends = np.cumsum([len(x) for x in values])
+        own = []
+        for e, x in zip(ends, values, strict=True):
+            good = again[e - len(x) : e]
+            own.append(packed(x[good]) + zlib.compress(flags[e - len(x) : e][good].tobytes(), 1))
+        return pa.table({"part": table["part"], "chunk": table["chunk"], "blob": pa.array(own, pa.binary())})
+
+    return run
+
+
+def blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Rows (part, chunk, blob)."""
+    cols = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.table({"part": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
 
 
-def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which codes are among the sorted known ones."""
-    if not len(known):
-        return np.zeros(len(codes), bool)
-    at = np.searchsorted(known, codes)
-    return known[np.minimum(at, len(known) - 1)] == codes
+@dataclass
+class Known:
+    """What a chunk got back: sorted codes and their flags."""
 
+    codes: np.ndarray
+    flags: np.ndarray
 
-def runs_of(anchor: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of windows at consecutive places `at` with equal anchors, RUN long at most: (first, count), as indexes into `at`."""
+    @staticmethod
+    def of(table: pa.Table) -> Known:
+        codes, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for p, blob in sorted(zip(table["part"].to_pylist(), table["blob"].to_pylist(), strict=True)):
+            v, rest = unpacked(blob)
+            codes.append((np.uint64(p) << np.uint64(32)) | v.astype(np.uint64))
+            flags.append(np.frombuffer(zlib.decompress(rest), np.uint8))
+        return Known(np.concatenate(codes), np.concatenate(flags))
+
+    def look_up(self, f: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the 64-bit values f are known, and the flags of those."""
+        if not len(self.codes):
+            return np.zeros(len(f), bool), np.zeros(len(f), np.uint8)
+        codes = code_of(f, parts)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[at] == codes
+        return known, np.where(known, self.flags[at], np.uint8(0))
+
+
+def runs_of(key: np.ndarray, at: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows at consecutive places `at` with equal keys, RUN long at most: (first, count), as indexes into `at`; those marked `alone` stay so."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))
+    new = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))
+    if alone is not None:
+        new |= alone
     first = np.flatnonzero(new)
     place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     first = np.flatnonzero(place % RUN == 0)
@@ -133,12 +202,12 @@ class Gathered:
     rows: dict = field(default_factory=dict)  # part -> list of (doc, start, windows, text)
     gone: list = field(default_factory=list)  # (doc, start, windows)
 
-    def add(self, anchor: int, doc: int, start: int, count: int, text: bytes) -> None:
+    def add(self, key: int, doc: int, start: int, count: int, text: bytes) -> None:
         if text in self.seen:
             self.gone.append((doc, start, count))
         else:
             self.seen.add(text)
-            self.rows.setdefault(anchor % self.parts, []).append((doc, start, count, text))
+            self.rows.setdefault(key % self.parts, []).append((doc, start, count, text))
 
     def table(self) -> pa.Table:
         """One row for each part that this chunk has segments for; what is removed already goes along to any part."""
@@ -147,8 +216,7 @@ class Gathered:
             gone = np.array(self.gone, np.int64)
             keys = self.chunk.keys[gone[:, 0]]
             out.append((self.chunk.chunk % self.parts, self.chunk.chunk, b"G" + _zipped(np.column_stack([keys, gone[:, 1:]]))))
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
+        return blobs(out)
 
 
 def _zipped(a: np.ndarray) -> bytes:

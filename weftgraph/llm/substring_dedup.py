@@ -2,28 +2,28 @@
 
 Every document's non-overlapping blocks of `BLOCK` words are indexed, and every rolling window of `BLOCK` words probes that
 index: a passage of `WIDTH` words holds a whole block wherever it begins, so each of its copies has a hit. A window of WIDTH words
-takes the smallest of the hits inside it as its anchor; windows with equal anchors meet and are compared as texts, and
-neighbouring repeated windows together are the maximal exact repeats. The hits are only a screen (hashes of 32 bits within
-each part): a false one costs a comparison and changes nothing.
+that is repeated holds nothing but repeated strings of BLOCK words; of those inside it that are hits, the smallest is its anchor.
+Windows with equal anchors meet and are compared, and neighbouring repeated windows together are the maximal exact
+repeats. The hits are only a screen (hashes of 32 bits within each part): a false one costs a comparison and changes nothing.
+Windows of a hot anchor meet by a hash of the whole window instead. Windows are told apart by two polynomial hashes of 64
+bits (different bases and codes) and then by their text.
 
 Each word covered by a window that also starts earlier (smaller id, or same document and earlier start) is removed; windows are judged
 on the input. Null and empty texts have no words. Rows with a null id come before all others; equal
-ids are ordered by a hash of their text, and equal rows count as separate documents, the first of which
+ids are ordered by a hash of their text, and equal rows count as separate documents, of which the first in the input
 stays. An empty table gives an empty result. Input columns named like results give way to them.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import byte_codes, mixed
-from weftgraph.llm.repeats import BLOB, PARTS, Chunk, Gathered, among, chunked, code_of, packed, removed, replies, resolved, runs_of, split_by_part, unpacked
+from weftgraph.llm.common import byte_codes, mixed, range_hashes
+from weftgraph.llm.repeats import BLOB, PARTS, Chunk, Gathered, Known, blobs, chunked, counted, removed, repeated_values, resolved, runs_of, settled
 
 #: Words in a window, and in a block.
 WIDTH, BLOCK = 20, 10
@@ -51,25 +51,8 @@ def normal(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of a polynomial in its bytes."""
-    n = len(data)
-    base = np.uint64(_BASE[which])
-    inverse = np.uint64(pow(_BASE[which], -1, 1 << 64))
-    powers, back = _powers(base, n), _powers(inverse, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[which][data] * powers[:n], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * back[starts])
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    had = _POWERS.get(int(base))
-    if had is None or len(had) < n:
-        had = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), base)]), dtype=np.uint64)
-        if n <= 1 << 22:
-            _POWERS[int(base)] = had
-    return had
+    """A 64-bit hash of each word."""
+    return range_hashes(data, starts, ends, _CODES[which], _BASE[which])
 
 
 def grams(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
@@ -88,7 +71,7 @@ def _places(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(parts: int):
-    """Each chunk's rolling windows of BLOCK words, with marks for indexed blocks and for repeats within the chunk."""
+    """Each chunk's rolling windows of BLOCK words, with counts, and marks for indexed blocks."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk.of(table)
@@ -96,70 +79,43 @@ def _anchors(parts: int):
         for _, texts in chunk.slices():
             data, starts, ends, doc = normal(texts)
             at, number = _places(doc, BLOCK)
-            g = grams(word_hashes(data, starts, ends), BLOCK)[at]
-            found.append(g)
+            found.append(grams(word_hashes(data, starts, ends), BLOCK)[at])
             blocks.append(number[at] % BLOCK == 0)
-        f, block = np.concatenate(found), np.concatenate(blocks)
-        rows = []
-        for p, places in split_by_part(f, parts):
-            v = (f[places] >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(v)
-            v, b = v[order], block[places][order]
-            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-            many = np.diff(np.append(first, len(v))) > 1
-            marks = np.packbits(np.concatenate([np.logical_or.reduceat(b, first), many])).tobytes()
-            rows.append((p, chunk.chunk, packed(v[first]) + zlib.compress(marks, 1)))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
+        return blobs([(p, chunk.chunk, b) for p, b in counted(np.concatenate(found), parts, np.concatenate(blocks))])
 
     return run
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """For a part: which values are an indexed block and occur again; each chunk gets back those of its own."""
-    values, blocks, many, sizes = [], [], [], []
-    for blob in table["blob"].to_pylist():
-        v, rest = unpacked(blob)
-        marks = np.unpackbits(np.frombuffer(zlib.decompress(rest), np.uint8), count=2 * len(v)).astype(bool)
-        values.append(v)
-        blocks.append(marks[: len(v)])
-        many.append(marks[len(v) :])
-        sizes.append(len(v))
-    v, block, twice = np.concatenate(values), np.concatenate(blocks), np.concatenate(many)
-    order = np.argsort(v)
-    first = np.flatnonzero(np.append(True, v[order][1:] != v[order][:-1]))
-    counts = np.add.reduceat(1 + twice[order].astype(np.int64), first)
-    good = np.logical_or.reduceat(block[order], first) & (counts > 1)
-    hit = np.zeros(len(v), bool)
-    hit[order] = np.repeat(good, np.diff(np.append(first, len(v))))
-    ends = np.cumsum(sizes)
-    own = [v[e - n : e][hit[e - n : e]] for e, n in zip(ends, sizes, strict=True)]
-    return pa.table({"part": table["part"], "chunk": table["chunk"], "blob": pa.array([packed(x) for x in own], pa.binary())})
-
-
 def _segments(anchor_parts: int, parts: int):
-    """Each chunk's windows of WIDTH words that hold a hit, as segments with one anchor each."""
-    spread = WIDTH - BLOCK + 1
+    """Each chunk's windows of WIDTH words that may be repeated, as segments with one anchor each; those of hot anchors one by one."""
+    spread, none = WIDTH - BLOCK + 1, np.uint64(2**64 - 1)
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         chunk = Chunk.of(table)
-        known, out = replies(back), Gathered(chunk, parts)
-        for lo, texts in chunk.slices() if len(known) else ():
+        known, out = Known.of(back), Gathered(chunk, parts)
+        for lo, texts in chunk.slices() if len(known.codes) else ():
             data, starts, ends, doc = normal(texts)
             at, number = _places(doc, WIDTH)
             if not len(at):
                 continue
-            f = grams(word_hashes(data, starts, ends), BLOCK)
-            f = np.where(among(code_of(f, anchor_parts), known), f, np.uint64(2**64 - 1))
-            least = f[at]
+            words = word_hashes(data, starts, ends)
+            f = grams(words, BLOCK)
+            again, flags = known.look_up(f, anchor_parts)
+            f = np.where(flags & 1, f, none)
+            single = np.concatenate([np.zeros(1, np.int64), np.cumsum(~again)])
+            least, hot = f[at], (flags & 2)[at] > 0
             for k in range(1, spread):
-                np.minimum(least, f[at + k], out=least)
-            some = least != np.uint64(2**64 - 1)
-            at, least = at[some], least[some]
-            first, count = runs_of(least, at)
+                smaller = f[at + k] < least
+                least, hot = np.where(smaller, f[at + k], least), np.where(smaller, (flags & 2)[at + k] > 0, hot)
+            some = (least != none) & (single[at + spread] == single[at])
+            at, least, hot = at[some], least[some], hot[some]
+            if not len(at):
+                continue
+            key = np.where(hot, grams(words, WIDTH)[at], least)
+            first, count = runs_of(least, at, hot)
             raw = data.tobytes()
-            begin, end = starts[at[first]], ends[at[first + count - 1] + WIDTH - 1] if len(first) else first
-            for a, d, s, c, b, e in zip(least[first].tolist(), (doc[at[first]] + lo).tolist(), number[at[first]].tolist(), count.tolist(), begin.tolist(), end.tolist(), strict=True):
+            begin, end = starts[at[first]], ends[at[first + count - 1] + WIDTH - 1]
+            for a, d, s, c, b, e in zip(key[first].tolist(), (doc[at[first]] + lo).tolist(), number[at[first]].tolist(), count.tolist(), begin.tolist(), end.tolist(), strict=True):
                 out.add(a, d, s, c, raw[b:e])
         return out.table()
 
@@ -167,7 +123,7 @@ def _segments(anchor_parts: int, parts: int):
 
 
 def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of each window of WIDTH words that an equal one stands before; compared by 128 bits of hash."""
+    """(segment, window) of each window of WIDTH words that an equal one stands before."""
     data, starts, ends, doc = normal(segments)
     at, number = _places(doc, WIDTH)
     a, b = (grams(word_hashes(data, starts, ends, k), WIDTH, k)[at] for k in (0, 1))
@@ -175,18 +131,37 @@ def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np
     new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])) if len(order) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     earliest = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order)))) if len(order) else order
-    later = np.sort(order[order != earliest])
+    again = order != earliest
+    order, earliest, raw = order[again], earliest[again], data.tobytes()
+    begin, end = starts[at], ends[at + WIDTH - 1] if len(at) else starts[at]
+    of = lambda i: raw[begin[i] : end[i]]
+    same = [of(i) == of(j) for i, j in zip(order.tolist(), earliest.tolist(), strict=True)]
+    if not all(same):  # different windows of equal hashes: told apart by text
+        return _by_text([of(i) for i in range(len(at))], doc[at], number[at])
+    later = np.sort(order)
     return doc[at[later]], number[at[later]]
 
 
+def _by_text(texts: list[bytes], segment: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    seen: set[bytes] = set()
+    again = [t in seen or bool(seen.add(t)) for t in texts]
+    return segment[again], window[again]
+
+
 def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of `docs` (all but text, if not given), with n_words, n_removed, spans (runs of removed words: at, end) and kept."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*RESULTS, "text")]
-    table, chunks = chunked(docs, keep)
-    parts = chunks * PARTS
-    back = table.groupBy("chunk").applyInArrow(_anchors(chunks), BLOB).groupBy("part").applyInArrow(_hits, BLOB)
+    name, result = _dedup(docs, keep)
+    return settled(result, name)
+
+
+def _dedup(docs: DataFrame, keep: list[str]) -> tuple[str, DataFrame]:
+    """The result of `dedup`, and the table that it is read from."""
+    name, chunks = chunked(docs, keep)
+    table, parts = docs.sparkSession.table(name), chunks * PARTS
+    back = table.groupBy("chunk").applyInArrow(_anchors(chunks), BLOB).repartition(chunks, "part").groupBy("part").applyInArrow(repeated_values(True), BLOB)
     segments = table.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_segments(chunks, parts), BLOB)
-    gone = segments.groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
+    gone = segments.repartition(chunks, "part").groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
     more = T._parse_datatype_string("n_words long, n_removed long, spans array<struct<at:long,end:long>>, kept string").fields
     schema = T.StructType([*table.schema["_keep"].dataType.fields, *more])
 
@@ -205,7 +180,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         cols = dict(zip(keep, chunk.table["_keep"].combine_chunks().flatten(), strict=True))
         return pa.table(cols | {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "spans": pa.array([[{"at": a, "end": b} for a, b in some] for some in spans], of), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
+    return name, table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 _TO_SPACE = bytes(32 if _SPACE[b] else b for b in range(256))
@@ -213,4 +188,5 @@ _TO_SPACE = bytes(32 if _SPACE[b] else b for b in range(256))
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
-    return dedup(docs, ["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    name, result = _dedup(docs, ["doc_id"])
+    return settled(result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), name)

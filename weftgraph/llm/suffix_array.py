@@ -1,11 +1,13 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in numpy.
 
 Suffixes are classified as smaller or larger than the next one. The leftmost smaller ones (LMS) cut the text into substrings, which one
-round of induction sorts; they are named by rank, and the string of names, a third as long, is sorted in turn: its
-suffixes give the order of the LMS suffixes, and a second round induces all others from them in linear time.
-Induction goes through the buckets of the 257 first symbols; what is known of a bucket is taken at once, so that numpy
-moves whole waves. Names have too many symbols for buckets, so the string of names is sorted by doubling: each round
-doubles the length that the ranks compare.
+round of induction sorts; they are named by rank, and the string of names, at most half as long, is sorted by the same method in
+turn: its suffixes give the order of the LMS suffixes, and a second round induces all others from them in linear time. The recursion
+ends where all names differ.
+
+Induction goes through the suffixes in order. How many larger (smaller) suffixes a symbol has is known beforehand, so it is known which
+places are final; each step takes all suffixes up to the first place that is not, so that numpy moves whole waves, whatever
+the alphabet: bytes, or names.
 
 Permuted common prefixes are computed where they can't follow from the position before (the preceding symbols differ); all
 others are one less than their neighbour's, which a running maximum fills in.
@@ -18,24 +20,28 @@ import numpy as np
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start of each suffix of the bytes `text`, in order; a suffix that is a prefix of another comes first."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n, dtype=np.int32)
-    t = np.append(text.astype(np.int16) + 1, 0).astype(np.int16)  # 0 ends the text and is smaller than all
+    if len(text) < 2:
+        return np.arange(len(text), dtype=np.int32)
+    return _sorted(np.append(text.astype(np.int32) + 1, np.int32(0)))[1:]  # 0 ends the text and is smaller than all
+
+
+def _sorted(t: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of numbers in order; its last symbol is 0, which stands nowhere else."""
+    n = len(t)
+    if n < 3:
+        return np.arange(n, dtype=np.int32)[::-1]
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     sa = _induced(t, small, lms[np.argsort(t[lms], kind="stable")])
-    is_lms = np.zeros(n + 1, bool)
+    is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = sa[is_lms[sa]]
     names = _names(t, lms, by_substring)
-    of = np.empty(n + 1, np.int32)
-    of[by_substring] = names
     if names[-1] + 1 == len(lms):
-        ordered = by_substring
-    else:
-        ordered = lms[_doubled(of[lms])]
-    return _induced(t, small, ordered)[1:]
+        return _induced(t, small, by_substring)
+    of = np.empty(n, np.int32)
+    of[by_substring] = names
+    return _induced(t, small, lms[_sorted(of[lms])])  # the end's name is 0, and no other's
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -50,37 +56,50 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in theirs (or sorted by first symbol: then LMS substrings come out sorted)."""
-    counts = np.bincount(t, minlength=258)
+    n = len(t)
+    counts = np.bincount(t)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sa = np.full(len(t), -1, np.int32)
+    smaller = np.bincount(t[small], minlength=len(counts))
+    sa = np.full(n, -1, np.int32)
     chars = t[lms]
-    own = np.bincount(chars, minlength=258)
+    own = np.bincount(chars, minlength=len(counts))
     before = np.cumsum(own) - own
     sa[ends[chars] - own[chars] + np.arange(len(lms)) - before[chars]] = lms
-    front, symbols = heads.copy(), np.flatnonzero(counts)
-    for c in symbols.tolist():
-        lo = heads[c]
-        while lo < front[c]:  # larger suffixes of this bucket, as far as known
-            hi = front[c]
-            _put(sa, t, small, sa[lo:hi], front, False)
-            lo = hi
-        if own[c]:
-            _put(sa, t, small, sa[ends[c] - own[c] : ends[c]], front, False)
-    back = ends.copy()
-    sa[0] = len(t) - 1
-    for c in symbols[::-1].tolist():
-        hi = ends[c]
-        while hi > back[c]:  # smaller suffixes, from the last on
-            lo = back[c]
-            _put(sa, t, small, sa[lo:hi][::-1], back, True)
-            hi = lo
-        if front[c] > heads[c]:
-            _put(sa, t, small, sa[heads[c] : front[c]][::-1], back, True)
-    sa[0] = len(t) - 1
+    # larger suffixes: each bucket from its head on, until it has all of them
+    front, full, at, bucket = heads.copy(), ends - smaller, 0, 0
+    while at < n:
+        bucket = _open(front, full, bucket, 1)
+        hi = int(front[bucket]) if bucket < len(counts) else n
+        _put(sa, t, small, sa[at:hi], front, False)
+        at = hi
+    # smaller suffixes: each bucket from its end on
+    back, full, at, bucket = ends.copy(), ends - smaller, n, len(counts) - 1
+    sa[0], back[0] = n - 1, 0
+    while at > 0:
+        bucket = _open(back, full, bucket, -1)
+        lo = int(back[bucket]) if bucket >= 0 else 0
+        _put(sa, t, small, sa[lo:at][::-1], back, True)
+        at = lo
     return sa
 
 
+def _open(reached: np.ndarray, full: np.ndarray, bucket: int, step: int) -> int:
+    """The next bucket from `bucket` on, upwards or downwards, that lacks some suffixes; one beyond the last if none does."""
+    size = 16
+    while 0 <= bucket < len(full):
+        if step > 0:
+            lacking = reached[bucket : bucket + size] != full[bucket : bucket + size]
+        else:
+            lo = max(0, bucket - size + 1)
+            lacking = (reached[lo : bucket + 1] != full[lo : bucket + 1])[::-1]
+        if lacking.any():
+            return bucket + step * int(lacking.argmax())
+        bucket += step * len(lacking)
+        size *= 4
+    return bucket
+
+
 def _put(sa: np.ndarray, t: np.ndarray, small: np.ndarray, known: np.ndarray, at: np.ndarray, wanted: bool) -> None:
     """Put the suffixes before the known ones, if of the wanted type, next in their buckets."""
     new = known[known > 0] - 1
@@ -120,23 +139,6 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return np.append(0, np.cumsum(~same)).astype(np.int32)
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of ranks."""
-    n, k = len(s), 1
-    rank = s.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
-
-
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position the common prefix of its suffix with the one before it in order (permuted order: by position)."""
     n = len(text)

@@ -1,30 +1,36 @@
 """Suffix-array deduplication on bytes: passages of `WIDTH` bytes that occur before are removed.
 
 A window of WIDTH bytes takes the smallest hash of the `GRAM`-byte strings in it as its anchor, so that equal windows
-have equal anchors. Only windows whose anchor occurs more than once, counted over the whole corpus, can be repeated; their
-segments go to the part of their anchor. A part is a shard: its segments are joined in global order, its suffix
-array comes from induced sorting, and permuted common prefixes of WIDTH bytes or more group equal windows, of which the
-earliest stays. Windows are compared as bytes; hashes only decide where they meet.
+have equal anchors. Up to `STEP` consecutive windows with an anchor at one place share a core: the bytes that all of them hold. Only
+windows whose anchor occurs more than once, and then only those whose core does too, both counted over the whole corpus, can be
+repeated; their segments go to the part of their anchor (of their core, if the anchor is hot). A part is a shard: its
+segments are joined in global order, its suffix array comes from induced sorting, and permuted common prefixes of
+WIDTH bytes or more group equal windows, of which the earliest stays. Windows are compared as bytes; hashes only decide where they meet.
 
 Texts are their UTF-8 bytes, null is empty; matches never cross documents. Rows with a null id come before all others; equal ids are
-ordered by a hash of their text; equal rows are separate documents, of which the first stays. An empty table gives an empty result.
-Input columns named like results give way to them. What is kept may not be valid UTF-8, so it is binary.
+ordered by a hash of their text; equal rows are separate documents, of which the first in the input stays. An empty table gives
+an empty result. Input columns named like results give way to them. What is kept may not be valid UTF-8, so it is binary.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import byte_codes, mixed
-from weftgraph.llm.repeats import BLOB, PARTS, Chunk, Gathered, among, chunked, code_of, packed, removed, replies, resolved, runs_of, split_by_part, unpacked
+from weftgraph.llm.common import byte_codes, mixed, range_hashes, written
+from weftgraph.llm.repeats import BLOB, PARTS, Chunk, Gathered, Known, blobs, chunked, counted, removed, repeated_values, resolved, runs_of, settled
 from weftgraph.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes in a window, and in the strings whose hashes are anchors (a power of two).
 WIDTH, GRAM = 100, 16
+#: Windows that share a core at most: places of the anchor in them are told apart by this.
+STEP = 8
 _CODES = byte_codes(21)
 _BASE = 0x9E3779B97F4A7C15
 #: No UTF-8 text has this byte.
@@ -32,33 +38,55 @@ _END = b"\xff"
 RESULTS = ("n_bytes", "n_removed", "spans", "kept")
 
 
-def anchors(texts: list[bytes], doubles: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Of joined texts: where windows start in the buffer, their anchors, their documents, and if asked for, whether a window holds its anchor twice, and the anchor's place modulo 128."""
-    data = np.frombuffer(_END.join(texts) + _END, np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    some = sizes >= WIDTH
-    counts = sizes[some] - WIDTH + 1
-    if not len(counts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
-    at = np.repeat(begins[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    h, k = _CODES[data], 1
-    while k < GRAM:
-        h[:-k] += h[k:] * np.uint64(pow(_BASE, k, 1 << 64))
-        k *= 2
-    h = mixed(h) >> np.uint64(7)
-    least = _smallest(h if not doubles else (h << np.uint64(7)) | _place(len(h)), at)
-    twice = place = None
-    if doubles:  # of equal hashes one pass prefers the smaller place, the other one the larger place
-        other = _smallest((h << np.uint64(7)) | (np.uint64(127) - _place(len(h))), at)
-        place = least & np.uint64(127)
-        twice = place + (other & np.uint64(127)) != np.uint64(127)
-        least = least >> np.uint64(7)
-    return at, mixed(least), np.repeat(np.flatnonzero(some), counts), twice, place
-
-
-def _place(n: int) -> np.ndarray:
-    return np.arange(n, dtype=np.uint64) & np.uint64(127)
+@dataclass
+class Windows:
+    """The windows of joined texts: where they start in the buffer, their anchors, the anchor's place in the buffer and (`within`) in the window, and their documents."""
+
+    data: np.ndarray
+    at: np.ndarray
+    anchor: np.ndarray
+    within: np.ndarray
+    doc: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Windows:
+        data = np.frombuffer(_END.join(texts) + _END, np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        some = sizes >= WIDTH
+        counts = sizes[some] - WIDTH + 1
+        none = np.zeros(0, np.int64)
+        if not len(counts):
+            return Windows(data, none, np.zeros(0, np.uint64), none, none)
+        at = np.repeat(begins[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        h, k = _CODES[data], 1
+        while k < GRAM:
+            h[:-k] += h[k:] * np.uint64(pow(_BASE, k, 1 << 64))
+            k *= 2
+        h = mixed(h) >> np.uint64(7)
+        place = np.arange(len(h), dtype=np.uint64) & np.uint64(127)
+        # of equal strings one pass finds the one of the smallest place (modulo 128), the other that of the largest
+        least, last = (_smallest((h << np.uint64(7)) | x, at) for x in (place, np.uint64(127) - place))
+        within = ((least & np.uint64(127)).astype(np.int64) - at) & 127
+        ties = np.flatnonzero((least & np.uint64(127)) + (last & np.uint64(127)) != np.uint64(127))
+        for lo in range(0, len(ties), 4096):  # the first of several, wherever the window stands
+            some = ties[lo : lo + 4096]
+            within[some] = h[at[some][:, None] + np.arange(WIDTH - GRAM + 1)].argmin(1)
+        return Windows(data, at, mixed(least >> np.uint64(7)), within, np.repeat(np.flatnonzero(sizes >= WIDTH), counts))
+
+    def anchored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of windows whose anchor is at one place: (first, count). Each is one occurrence of its anchor."""
+        return runs_of(self.at + self.within, self.at)
+
+    def take(self, some: np.ndarray) -> Windows:
+        """Some of the windows."""
+        return Windows(self.data, self.at[some], self.anchor[some], self.within[some], self.doc[some])
+
+    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows that share a core: (first, count, hash of the core)."""
+        first, count = runs_of((self.at + self.within) * 16 + self.within // STEP, self.at)
+        start = self.at[first] + self.within[first] % STEP
+        return first, count, range_hashes(self.data, start, start + WIDTH - STEP + 1, _CODES, _BASE)
 
 
 def _smallest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,54 +99,66 @@ def _smallest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _chunk_anchors(parts: int):
-    """Each chunk's anchors, for each place where they occur; at most two of each."""
+    """Each chunk's anchors, with counts of the places where they occur."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk.of(table)
         found = []
         for _, texts in chunk.slices():
-            at, anchor, _, twice, place = anchors(texts, doubles=True)
-            # a string at another place is another occurrence, also where it follows itself in each window
-            first, _ = runs_of(place, at)
-            found.append(anchor[first])
-            if twice.any():  # a passage that repeats itself within a run
-                found.append(anchor[first[np.logical_or.reduceat(twice, first)]])
-        f = np.concatenate(found)
-        rows = []
-        for p, places in split_by_part(f, parts):
-            v = np.sort((f[places] >> np.uint64(32)).astype(np.uint32))
-            third = np.zeros(len(v), bool)
-            third[2:] = v[2:] == v[:-2]
-            rows.append((p, chunk.chunk, packed(v[~third])))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
+            w = Windows.of(texts)
+            found.append(w.anchor[w.anchored()[0]])
+        return blobs([(p, chunk.chunk, b) for p, b in counted(np.concatenate(found), parts)])
 
     return run
 
 
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """For a part: the anchors that occur more than once; each chunk gets back those of its own."""
-    values = [unpacked(b)[0] for b in table["blob"].to_pylist()]
-    unique, counts = np.unique(np.concatenate(values), return_counts=True)
-    again = unique[counts > 1]
-    own = [np.unique(v[among(v, again)]) for v in values]
-    return pa.table({"part": table["part"], "chunk": table["chunk"], "blob": pa.array([packed(x) for x in own], pa.binary())})
+def _of_known_anchors(w: Windows, known: Known, parts: int) -> tuple[Windows, np.ndarray]:
+    """Windows with known anchors, and which of these are hot."""
+    first, count = w.anchored()
+    good, flags = known.look_up(w.anchor[first], parts)
+    some = np.repeat(good, count)
+    return w.take(some), np.repeat(flags & 2 > 0, count)[some]
+
+
+def _chunk_cores(parts: int):
+    """The cores of each chunk's windows with repeated anchors, with counts."""
+
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        chunk = Chunk.of(table)
+        known, found = Known.of(back), [np.zeros(0, np.uint64)]
+        for _, texts in chunk.slices() if len(known.codes) else ():
+            found.append(_of_known_anchors(Windows.of(texts), known, parts)[0].cores()[2])
+        return blobs([(p, chunk.chunk, b) for p, b in counted(np.concatenate(found), parts)])
+
+    return run
+
 
+def _segments(counted_parts: int, parts: int):
+    """Each chunk's windows with repeated cores, as segments with one anchor each, those of hot anchors with one core each.
 
-def _segments(anchor_parts: int, parts: int):
-    """Each chunk's windows with repeated anchors, as segments with one anchor each."""
+    What came back has anchors in parts below `counted_parts`, and cores in the parts from there on.
+    """
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         chunk = Chunk.of(table)
-        known, out = replies(back), Gathered(chunk, parts)
-        for lo, texts in chunk.slices() if len(known) else ():
-            at, anchor, doc, _, _ = anchors(texts)
-            first, count = runs_of(anchor, at)
-            good = among(code_of(anchor[first], anchor_parts), known)
-            first, count = first[good], count[good]
+        is_core = pc.greater_equal(back["part"], counted_parts)
+        known = Known.of(back.filter(pc.invert(is_core)))
+        cores = back.filter(is_core)
+        cores = Known.of(cores.set_column(cores.schema.get_field_index("part"), "part", pc.subtract(cores["part"], counted_parts)))
+        out = Gathered(chunk, parts)
+        for lo, texts in chunk.slices() if len(cores.codes) else ():
+            w, hot = _of_known_anchors(Windows.of(texts), known, counted_parts)
+            first, count, core = w.cores()
+            good, _ = cores.look_up(core, counted_parts)
+            some = np.repeat(good, count)
+            opens = np.zeros(len(w.at), bool)
+            opens[first] = True
+            w, hot, key, opens = w.take(some), hot[some], np.repeat(core, count)[some], opens[some]
+            first, count = runs_of(w.anchor, w.at, hot & opens)
+            key = np.where(hot, key, w.anchor)[first]
             begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            raw, own, start = _END.join(texts), doc[first], at[first]
-            for a, d, s, c, b in zip(anchor[first].tolist(), own.tolist(), (start - begins[own]).tolist(), count.tolist(), start.tolist(), strict=True):
+            raw, own, start = w.data.tobytes(), w.doc[first], w.at[first]
+            for a, d, s, c, b in zip(key.tolist(), own.tolist(), (start - begins[own]).tolist(), count.tolist(), start.tolist(), strict=True):
                 out.add(a, d + lo, s, c, raw[b : b + c - 1 + WIDTH])
         return out.table()
 
@@ -143,11 +183,20 @@ def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np
 def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of `docs` (all but text, if not given), with n_bytes, n_removed, spans (runs of removed bytes: at, end) and kept."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*RESULTS, "text")]
-    table, chunks = chunked(docs, keep)
-    parts = chunks * PARTS
-    back = table.groupBy("chunk").applyInArrow(_chunk_anchors(chunks), BLOB).groupBy("part").applyInArrow(_repeated_anchors, BLOB)
+    name, result = _dedup(docs, keep)
+    return settled(result, name)
+
+
+def _dedup(docs: DataFrame, keep: list[str]) -> tuple[str, DataFrame]:
+    """The result of `dedup`, and the table that it is read from."""
+    name, chunks = chunked(docs, keep)
+    table, parts = docs.sparkSession.table(name), chunks * PARTS
+    answered = lambda df: df.repartition(chunks, "part").groupBy("part").applyInArrow(repeated_values(), BLOB)
+    anchors = written(answered(table.groupBy("chunk").applyInArrow(_chunk_anchors(chunks), BLOB)))  # read twice
+    cores = answered(table.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_chunk_cores(chunks), BLOB))
+    back = anchors.unionByName(cores.withColumn("part", F.col("part") + chunks))
     segments = table.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_segments(chunks, parts), BLOB)
-    gone = segments.groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
+    gone = segments.repartition(chunks, "part").groupBy("part").applyInArrow(lambda t: resolved(t, repeated), "chunk int, blob binary")
     more = T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<at:long,end:long>>, kept binary").fields
     schema = T.StructType([*table.schema["_keep"].dataType.fields, *more])
 
@@ -163,9 +212,10 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         cols = dict(zip(keep, chunk.table["_keep"].combine_chunks().flatten(), strict=True))
         return pa.table(cols | {"n_bytes": pa.array([len(t) for t in chunk.texts], pa.int64()), "n_removed": pa.array(lost, pa.int64()), "spans": pa.array([[{"at": a, "end": b} for a, b in some] for some in spans], of), "kept": pa.array(kept, pa.binary())})
 
-    return table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
+    return name, table.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    return dedup(docs, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    name, result = _dedup(docs, ["doc_id"])
+    return settled(result.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), name)
