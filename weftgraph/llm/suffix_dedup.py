@@ -166,9 +166,26 @@ def _segments(counted_parts: int, parts: int):
 
 
 def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of each window of WIDTH bytes that an equal one stands before, by a suffix array of all segments."""
-    text = np.frombuffer(_END.join(segments) + _END, np.uint8)
+    """(segment, window) of each window of WIDTH bytes that an equal one stands before.
+
+    The segments are distinct by now, so cores are counted again among them; a suffix array of all stretches that are left decides.
+    """
+    w = Windows.of(segments)
+    _, count, core = w.cores()
+    _, which, times = np.unique(core, return_inverse=True, return_counts=True)
+    w = w.take(np.repeat(times[which] > 1, count))
+    first, count = runs_of(w.doc, w.at)
+    if not len(first):
+        return first, first
     begins = np.cumsum([0, *(len(s) + 1 for s in segments)])
+    raw, at, own = w.data.tobytes(), w.at[first], w.doc[first]
+    stretch, window = _repeated([raw[b : b + c - 1 + WIDTH] for b, c in zip(at.tolist(), count.tolist(), strict=True)], count)
+    return own[stretch], (at - begins[own])[stretch] + window
+
+
+def _repeated(stretches: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    text = np.frombuffer(_END.join(stretches) + _END, np.uint8)
+    begins = np.cumsum([0, *(len(s) + 1 for s in stretches)])
     whole = np.zeros(len(text), bool)
     whole[np.repeat(begins[:-1] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())] = True
     sa = suffix_array(text)
@@ -176,8 +193,8 @@ def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np
     first = np.flatnonzero(~equal)
     earliest = np.repeat(np.minimum.reduceat(sa, first), np.diff(np.append(first, len(sa))))
     later = np.sort(sa[(sa != earliest) & whole[sa]])
-    segment = np.searchsorted(begins, later, "right") - 1
-    return segment, later - begins[segment]
+    stretch = np.searchsorted(begins, later, "right") - 1
+    return stretch, later - begins[stretch]
 
 
 def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
