@@ -69,12 +69,46 @@ def test_co_training_uses_the_pool():
     truth = rng.integers(0, 2, n).astype(float)
     strong = np.column_stack([np.ones(n), truth * 2 - 1 + rng.normal(0, 0.3, n)])
     weak = np.column_stack([np.ones(n), truth * 2 - 1 + rng.normal(0, 2.0, n)])
-    model = quality.co_train(strong[:60], weak[:60], truth[:60], strong[60:], weak[60:])
+    free = np.ones(n, bool)
+    free[:60] = False
+
+    def choose(weights, bad, good):
+        out, chosen = [], []
+        for x, w in zip((strong, weak), weights):
+            z = np.where(free, x @ w, 0)
+            order = np.argsort(z, kind="stable")
+            rows = np.append(order[:bad], order[::-1][:good])
+            out.append((strong[rows], weak[rows], (z[rows] > 0).astype(float)))
+            chosen.append(rows)
+        free[np.concatenate(chosen)] = False
+        return out
+
+    model = quality.co_train(strong[:60], weak[:60], truth[:60], choose)
     s = model.scores(strong, weak)
     assert ((s[:, 2] >= 0.5) == truth).mean() > 0.97
     assert ((s[:, 1] >= 0.5) == truth).mean() > 0.6
 
 
+def test_pseudo_labels_come_from_all_rows(spark):
+    """Each round takes the surest rows of the whole pool, none twice, against a sort of all rows."""
+    rng = np.random.default_rng(3)
+    n, width = 5000, 12 + quality.TRIGRAMS + 1 + quality.LANGS + quality.SOURCES + quality.SIZES
+    x = rng.normal(size=(n, width)).astype(np.float16)
+    pool = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "key long, x binary")
+    choose, cut, left = quality._chooser(pool), 12 + quality.TRIGRAMS, set(range(n))
+    weights = [rng.normal(size=cut), rng.normal(size=width - cut)]
+    for _ in range(2):
+        got, gone = choose(weights, 30, 20), set()
+        for k, part in enumerate((x[:, :cut].astype(float), x[:, cut:].astype(float))):
+            z = part @ weights[k]
+            order = sorted(left, key=lambda i: (z[i], i))
+            want = set(order[:30]) | set(order[-20:])
+            gone |= want
+            assert sorted(map(bytes, got[k][k].astype(np.float16))) == sorted(part[i].astype(np.float16).tobytes() for i in want)
+            assert got[k][2].sum() == 20
+        left -= gone
+
+
 def test_quality_edge_cases(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(None, 1, 1), (6, None, None)], NO_LABELS)
@@ -108,6 +142,22 @@ def test_url_rules_and_parts(spark):
     assert url_filter.judge(df.limit(0), model, url_filter.RULES).collect() == []
 
 
+def test_url_model_on_unseen_words(spark, tmp_path):
+    """Words that training never saw: misspelt ones, compounds and other endings; and a table from a file."""
+    left_out = ("poker", "casino", "pharm", "lottery", "gamble", "museum", "garden", "poetry", "history")
+    model = url_filter.train(url_filter.labelled_urls(spark, leave_out=left_out))
+    bad = ["jackp0tt", "gambling-slots", "bingos4u", "porno", "cheapviagra", "malwares", "hackers", "xxxvids", "dietpillz", "bonusbets"]
+    good = ["museums-of-art", "gardenclub", "weatherman", "libraries", "historybooks", "schoolnews", "riverside", "poetryschool", "citynews", "scienceweek"]
+    rows = [(i, f"https://www.{w}.example.com/en/{i}", w in bad) for i, w in enumerate(bad + good)]
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), model, []).collect()}
+    assert _f1([r[2] for r in rows], [got[r[0]] for r in rows]) > 0.8
+    path = str(tmp_path / "urls.csv")
+    (tmp_path / "urls.csv").write_text("url,blocked\n" + "".join(f"https://{w}{k}.example.org/p,{int(w == 'spam')}\n" for w in ("spam", "news") for k in range(20)))
+    small = url_filter.train(url_filter.labelled_urls(spark, path))
+    out = url_filter.judge(spark.createDataFrame([(1, "http://spammy.example.org/p"), (2, "http://newsy.example.org/p")], "page_id long, url string"), small, []).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "allow"]
+
+
 def test_url_model(spark, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.1")
     pages = spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.helpers import edge_docs, empty_docs
@@ -80,6 +81,12 @@ def test_ids_equal_those_of_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(9)
+    odd = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u2028", "'s", "'LL", "'", "1", "23", "\u0663", "\u00bd", "a", "Zz", "é", "ß", "\u0130", "漢", "か", "🙂", "👩\u200d🚀", "\u0301", "_", "-", "...", "!?", "<|endoftext|>", "\u0000", "\x1b", "\ufffd", "ﬁ", "и", "ñ", "https://x.y/z?q=1"]
+    for _ in range(3000):
+        text = "".join(odd[i] for i in rng.integers(0, len(odd), int(rng.integers(1, 14))))
+        if "<|endoftext|>" not in text:
+            assert packing.encode(text)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
     for text in ["Hello  world\n\n it's 1234 äöü 漢字 🙂 don't", " leading", "tabs\tand\r\nlines   ", "a" * 3000, "\u00a0x\u2003y", "it's we'll I'D '1"]:
         assert packing.encode(text)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
     assert packing.encode(None).tolist() == packing.encode("").tolist() == [2]
@@ -140,6 +147,15 @@ def _replaced(spark, texts, secret="key"):
     return [r.text for r in pii.replace(docs, secret).orderBy("doc_id").collect()]
 
 
+@pytest.mark.parametrize("low, high, won", [(300, 400, 5), (200, 500, 2)])
+def test_evolution_beats_best_fit_decreasing(low, high, won):
+    """On sizes where two or three pieces fill a bin, and best fit leaves room."""
+    lengths = np.random.default_rng(1).integers(low, high, 2000)
+    plain = np.full(2000, -1, np.int32)
+    packing.best_fit(lengths, [], plain, np.argsort(-lengths, kind="stable"), 1024)
+    assert packing.evolve(lengths, [], 1024, np.random.default_rng(2))[0].max() <= plain.max() - won
+
+
 def test_pii(spark):
     text = "Mr. John Smith and Frau Erika Muster wrote john.smith@mail.example.com, JOHN.SMITH@mail.example.com; +1 (499) 555-6503 or +1 499 555 6503; 4871316720949013; 10.0.0.1; 123-45-6789; 1eb9c654e721b4f812088970e66a6345cee33dd6"
     clean = "clean 12 text v1.2.3 (2024), std::vector at 12:30:45"
@@ -262,6 +278,26 @@ def test_ann_on_odd_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+def test_ann_recall_with_many_lists(spark, monkeypatch):
+    """Many more lists than a query searches, vectors without clusters, and lists whose queries are dealt out."""
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(40_000, 16))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<double>")
+    assert round(len(v) / ann.LIST) > 3 * ann.PROBES
+    hit = total = 0
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in range(0, len(v), 100):
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(got[i] & set(np.argpartition(d, 10)[:10].tolist()))
+        total += 10
+    print(f"recall {hit / total:.3f}")
+    assert hit >= 0.9 * total
+
+
 def test_ann_recall(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
     rows = table.select("vec_id", "embedding").collect()

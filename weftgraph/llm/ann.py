@@ -6,9 +6,12 @@ by best-first search in that graph and goes to the nearest list, and also to oth
 found from either side). A query searches the lists whose centroids are at most `PROBE_RATIO` times as far as the nearest, at most
 `PROBES` of them, and compares with every vector in them, in double precision.
 
-The centroids are the only thing broadcast: MAX_LISTS of them at most. Lists are split into blocks of about `BLOCK` vectors by
-hash, so a list that many equal vectors fall into is shared out among tasks; queries visit all blocks of a list. Equal queries
-are searched once.
+The number of lists grows with the vectors, so that a query's work doesn't, up to a quarter of the sample, which `SAMPLE_BYTES`
+bounds (with 64 components a list for each 256 vectors up to about 16 million of them; beyond that lists get longer, and a query's
+work with them). The centroids and their graph are the only thing broadcast: a quarter of SAMPLE_BYTES and DEGREE + FAR
+numbers for each. Lists are split into blocks of about `BLOCK` vectors by hash, and the queries of a list into blocks of
+`QUERIES`, so a list that many equal vectors or very many queries fall into is shared out among tasks; each block of
+queries visits all blocks of vectors. Equal queries are searched once.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; neither do null ids. Repeated
 ids are separate candidates for others, but no row is a candidate for its own id. Ties go to the smaller id. With no
@@ -28,15 +31,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import checkpointed, written
 
-#: Distinct vectors that clustering sees at most; vectors for each list; lists at most.
-MAX_SAMPLE, LIST, MAX_LISTS = 50_000, 256, 4096
+#: Bytes of distinct vectors that clustering sees at most; vectors for each list; sampled vectors for each list at least.
+SAMPLE_BYTES, LIST, SAMPLED = 128 << 20, 256, 4
 #: A vector also goes to lists at most this many times as far as its nearest, COPIES in all at most.
 CLOSURE, COPIES = 1.12, 4
 #: A query searches lists at most this many times as far as the nearest, PROBES at most.
 PROBE_RATIO, PROBES = 1.6, 48
 #: Neighbours of a centroid in the graph, far links, and the width of the search.
 DEGREE, FAR, WIDTH = 24, 8, 64
-BLOCK, QUERY_EVERY, K = 2048, 100, 10
+BLOCK, QUERIES, QUERY_EVERY, K = 2048, 4096, 100, 10
 
 
 @dataclass
@@ -49,23 +52,21 @@ class Graph:
 
     def nearest(self, v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, squared distances) of about `width` nearest centroids for each row of v, nearest first; best-first search for many rows at once."""
-        n, k = len(v), len(self.centroids)
-        width = min(width, k)
-        rows = np.arange(n)[:, None]
+        n, width = len(v), min(width, len(self.centroids))
+        rows = np.arange(n)
         ids = np.broadcast_to(self.entries, (n, len(self.entries))).copy()
-        dist = self._far(v, ids)
-        seen = np.zeros((n, k), bool)
-        seen[rows, ids] = True
-        ids, dist, fresh = self._best(ids, dist, np.ones(ids.shape, bool), width)
+        ids, dist, fresh = self._best(ids, self._far(v, ids), np.ones(ids.shape, bool), width)
         for _ in range(2 * width):
             pick = np.where(fresh, dist, np.inf).argmin(1)
-            open_ = fresh[rows[:, 0], pick]
+            open_ = fresh[rows, pick]
             if not open_.any():
                 break
-            fresh[rows[:, 0], pick] = False
-            new = self.links[ids[rows[:, 0], pick]]
-            known = seen[rows, new] | ~open_[:, None]
-            seen[rows, new] |= open_[:, None]
+            fresh[rows, pick] = False
+            new = self.links[ids[rows, pick]]
+            # what is in the row's list already, or stands twice, counts once; what has fallen out of it does not come back, as lists only get better
+            known = (new[:, :, None] == ids[:, None, :]).any(2) | ~open_[:, None]
+            for k in range(1, new.shape[1]):
+                known[:, k] |= (new[:, k : k + 1] == new[:, :k]).any(1)
             d = np.where(known, np.inf, self._far(v, new))
             ids, dist, fresh = self._best(np.hstack([ids, new]), np.hstack([dist, d]), np.hstack([fresh, ~known]), width)
         return ids, dist
@@ -89,9 +90,9 @@ def balanced(sample: np.ndarray, lists: int) -> np.ndarray:
     while todo:
         own = todo.pop()
         if len(own) <= size:
-            done.append(sample[own].mean(0))
+            done.append(sample[own].mean(0, dtype=np.float64))
             continue
-        x = sample[own]
+        x = sample[own].astype(np.float64)
         a, b = x[rng.choice(len(x), 2, replace=False)]
         for _ in range(6):
             side = ((x - a) ** 2).sum(1) - ((x - b) ** 2).sum(1)
@@ -108,6 +109,7 @@ def balanced(sample: np.ndarray, lists: int) -> np.ndarray:
 def graph_of(centroids: np.ndarray) -> Graph:
     """Join each centroid to its nearest ones and to some random ones."""
     rng, k = np.random.default_rng(4), len(centroids)
+    centroids = centroids.astype(np.float64)
     near = np.empty((k, min(DEGREE, k)), np.int64)
     norms = (centroids**2).sum(1)
     for lo in range(0, k, 256):
@@ -123,11 +125,14 @@ def valid(v: Column, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def fit(rows: DataFrame, count: int) -> Graph:
+def fit(rows: DataFrame, count: int, size: int) -> Graph:
     """Centroids and graph from a bounded sample of distinct vectors: those with the smallest hashes."""
-    sample = rows.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(MAX_SAMPLE).select("v").toPandas()["v"]
-    vectors = np.unique(np.stack(sample.to_numpy()).astype(np.float64), axis=0)
-    return graph_of(balanced(vectors, min(MAX_LISTS, max(1, round(count / LIST)), max(1, len(vectors) // 4))))
+    lists = max(1, round(count / LIST))
+    most = min(16 * lists + 1000, max(1, SAMPLE_BYTES // (4 * size)))
+    # single precision is enough to learn from, and halves what the driver holds
+    batches = rows.select(F.xxhash64("v").alias("h"), F.col("v").cast("array<float>").alias("v")).orderBy("h").limit(most).select("v").toArrow()
+    vectors = np.nan_to_num(np.unique(batches["v"].combine_chunks().flatten().to_numpy().reshape(-1, size), axis=0))
+    return graph_of(balanced(vectors, min(lists, max(1, len(vectors) // SAMPLED))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -136,7 +141,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _lists(rows: DataFrame, graph: Graph, ratio: float, most: int) -> DataFrame:
     """(id, v, list): each row with the lists that are at most `ratio` times as far as the nearest."""
-    shared = rows.sparkSession.sparkContext.broadcast(graph)  # MAX_LISTS centroids at most
+    shared = rows.sparkSession.sparkContext.broadcast(graph)  # centroids of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,15 +184,20 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     count = rows.count()
     if not count:
         return table.sparkSession.createDataFrame([], empty)
-    graph = fit(rows, count)
+    graph = fit(rows, count, size["n"])
     queries = rows.where(F.col("id") % every == 0)
     # equal queries are one: found once, for the smallest of their ids
     distinct = checkpointed(queries.groupBy("v").agg(F.min("id").alias("id")))
     filed = written(_lists(rows, graph, CLOSURE, COPIES))
-    sizes = checkpointed(filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # MAX_LISTS rows at most
-    placed = filed.join(F.broadcast(sizes), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    asked = _lists(distinct, graph, PROBE_RATIO, PROBES).join(F.broadcast(sizes), "list").select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    keys = ["list", "block"]
+    asked = written(_lists(distinct, graph, PROBE_RATIO, PROBES))
+    # a row for each list, of which there are no more than centroids
+    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list")
+    sizes = checkpointed(sizes)
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    placed = filed.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("blocks").alias("block"), every_of("turns").alias("turn"))
+    asked = asked.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("turns").alias("turn"), every_of("blocks").alias("block"))
+    keys = ["list", "block", "turn"]
     found = placed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(lambda a, b: _compare(a, b), "query long, id long, score double")
     near = Window.partitionBy("query").orderBy("score", "id")
     best = found.distinct().withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)

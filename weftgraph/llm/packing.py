@@ -35,7 +35,7 @@ from weftgraph.llm.common import written
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
 #: Pieces that a shard packs; islands on each shard; packings on an island; generations in an epoch; epochs.
-SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 4, 4, 2
+SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 6, 12, 2
 #: Bins filled less than this are packed again across shards; bins filled at least this well are injected.
 POOR, WELL = 0.97, 0.995
 
@@ -178,7 +178,8 @@ def evolve(lengths: np.ndarray, start: list[np.ndarray], capacity: int, rng: np.
     least = -(-int(lengths.sum()) // capacity)
     found = list(start)
     while len(found) < POPULATION:
-        noise = lengths if not found else lengths * rng.uniform(0.9, 1.0, len(lengths))
+        # the first is best-fit decreasing, each further one less in its order
+        noise = lengths * rng.uniform(1 - 0.1 * len(found), 1.0, len(lengths))
         bin_of = np.full(len(lengths), -1, np.int32)
         best_fit(lengths, [], bin_of, np.argsort(-noise, kind="stable"), capacity)
         found.append(bin_of)

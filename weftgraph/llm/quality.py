@@ -1,22 +1,24 @@
 """Quality by co-training: a text view and a page-metadata view teach each other, and calibrated scores are combined.
 
 The text view sees only the text: rates of letters, digits, marks and repeats, and hashed byte trigrams. The metadata view sees only
-language, source and length. Each is a logistic regression. In each round either view marks the rows of an unlabelled pool that it
-is most sure of, in the classes' proportions, and these join the other view's training rows. After `ROUNDS` rounds
+language, source and length. Each is a logistic regression. In each round both views score all unlabelled rows on Spark; the
+`TAKE` rows that a view is most sure of, in the classes' proportions, join the other view's training rows. After `ROUNDS` rounds
 both are calibrated on labelled rows set aside, and a logistic regression on the two calibrated logits gives the score.
 
-Training uses a bounded sample: at most MAX_PER_CLASS labelled rows of each class and MAX_POOL unlabelled ones, by
-smallest hash of the id. Scoring covers every whole text where it is read, without a shuffle.
+Labelled rows are a bounded sample, at most MAX_PER_CLASS of each class by smallest hash of the id; of the unlabelled
+ones all take part in every round, and only those chosen reach the driver. Scoring covers every whole text where it is
+read, without a shuffle.
 
-Null texts count as empty; null metadata are a value of their own. A document labelled twice is good only if all labels say so. Null
-labels and ids are ignored in training; rows with a null id are scored. Without both classes every score is the share of
+Null texts count as empty; null metadata are a value of their own. A document labelled twice is good only if all labels say so; of
+several texts of one labelled id the one with the smallest features counts. Null labels and ids are ignored in training;
+rows with a null id are scored. Without both classes every score is the share of
 good labels (0.5 without labels). Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import as_bytes, mixed
+from weftgraph.llm.common import as_bytes, mixed, written
 from weftgraph.llm.toxicity import held_out
 
-MAX_PER_CLASS, MAX_POOL, ROUNDS, SHARE = 3000, 4000, 4, 0.05
+#: Labelled rows of each class at most; rounds; rows that a view chooses in each.
+MAX_PER_CLASS, ROUNDS, TAKE = 3000, 4, 400
 TRIGRAMS, SOURCES, LANGS, SIZES = 256, 64, 16, 24
 THRESHOLD = 0.5
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 space, 5 mark, 6 not ASCII
@@ -101,29 +104,20 @@ def _scaled(c: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.clip(c[0] * z + c[1], -30, 30)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
+#: From both views' weights and how many bad and good rows are wanted: for each view (text features, metadata features, labels) of the rows it is sure of.
+Choose = Callable[[list[np.ndarray], int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, choose: Choose) -> Model:
     """Rounds of pseudo-labels between the views; every fourth labelled row is set aside for calibration."""
     aside = np.arange(len(y)) % 4 == 3
-    views, pools = [text[~aside], meta[~aside]], [pool_text, pool_meta]
-    targets = [y[~aside], y[~aside]]
-    free = np.ones(len(pool_text), bool)
+    views, targets = [text[~aside], meta[~aside]], [y[~aside], y[~aside]]
+    good = int(round(TAKE * y.mean()))
     for _ in range(ROUNDS):
-        weights = [_logistic(x, t) for x, t in zip(views, targets, strict=True)]
-        sure = []
-        for pool, w in zip(pools, weights, strict=True):
-            z = np.where(free, pool @ w, 0)
-            open_ = np.flatnonzero(free)
-            n = int(SHARE * len(free))
-            good = int(round(n * y.mean()))
-            order = open_[np.argsort(z[open_], kind="stable")]
-            low, high = order[: n - good], order[::-1][:good]
-            sure.append((np.append(low[z[low] < 0], high[z[high] > 0]).astype(int), z))
+        sure = choose([_logistic(x, t) for x, t in zip(views, targets, strict=True)], TAKE - good, good)
         for k in (0, 1):  # what one view is sure of teaches the other
-            rows, z = sure[1 - k]
-            views[k] = np.vstack([views[k], pools[k][rows]])
-            targets[k] = np.append(targets[k], (z[rows] > 0).astype(float))
-        for rows, _ in sure:
-            free[rows] = False
+            views[k] = np.vstack([views[k], sure[1 - k][k]])
+            targets[k] = np.append(targets[k], sure[1 - k][2])
     weights = [_logistic(x, t) for x, t in zip(views, targets, strict=True)]
     calibrations, logits = [], []
     for x, w in zip((text, meta), weights, strict=True):
@@ -144,32 +138,67 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
+def _with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` and x: the features of both views, as half-precision numbers."""
+    source = docs.select(*dict.fromkeys([*keep, *VIEW]))
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("x", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.hstack(_features(batch)).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([r.tobytes() for r in x], pa.binary())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the text view and of the metadata view."""
+    x = np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(float)
+    return x[:, : 12 + TRIGRAMS], x[:, 12 + TRIGRAMS :]
+
+
+def _chooser(pool: DataFrame) -> Choose:
+    """Pseudo-labels from all rows (key, x) of `pool`: in each round a pass over it, of which the surest few rows come back."""
+    taken: set[int] = set()
+
+    def choose(weights: list[np.ndarray], bad: int, good: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = [x @ w for x, w in zip(_unpacked(batch.column(1).to_pylist()), weights, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, z)], names=["key", "x", "z0", "z1"])
+
+        # 4 * ROUNDS * TAKE keys at most
+        left = pool.where(~F.col("key").isin(list(taken))) if taken else pool
+        scored = left.mapInArrow(run, "key long, x binary, z0 double, z1 double")
+        lists = [scored.where(F.col(f"z{k}") * sign > 0).orderBy(F.col(f"z{k}") * -sign, "key").limit(n).select(F.lit(k).alias("view"), F.lit(float(sign > 0)).alias("label"), "key", "x") for k in (0, 1) for sign, n in ((-1, bad), (1, good))]
+        rows = lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3]).collect()  # 2 * TAKE rows
+        taken.update(r.key for r in rows)
+        own = [[r for r in rows if r.view == k] for k in (0, 1)]
+        return [(*(_unpacked([bytes(r.x) for r in some]) if some else (np.zeros((0, len(w))) for w in weights)), np.array([r.label for r in some])) for some in own]
+
+    return choose
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """Train on bounded samples; the share of good labels if there is only one class."""
+    """Train on a bounded sample of labelled rows and all unlabelled ones; the share of good labels if there is only one class."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     counts = known.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good")).first()
     if not 0 < counts["good"] < counts["n"]:
         return counts["good"] / counts["n"] if counts["n"] else 0.5
     rank = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("quality = 1").orderBy(*rank).limit(MAX_PER_CLASS).unionByName(known.where("quality <> 1").orderBy(*rank).limit(MAX_PER_CLASS))
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left_anti").orderBy(*rank).limit(MAX_POOL).withColumn("quality", F.lit(None).cast("int"))
-    # 2 * MAX_PER_CLASS + MAX_POOL rows of two numbers
-    chosen = docs.select("doc_id", *VIEW).join(F.broadcast(picked.unionByName(pool)), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.hstack(_features(batch)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
-
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # 2 * MAX_PER_CLASS rows of two numbers; one row for each id comes back, however many texts it has
+    chosen = _with_features(docs.select("doc_id", *VIEW).join(F.broadcast(picked), "doc_id"), ["doc_id", "quality"])
+    rows = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return counts["good"] / counts["n"]
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(float)
+    text, meta = _unpacked([bytes(b) for b in rows["x"]])
     # mixed order, so that the rows set aside are like the others
-    shuffled = np.random.default_rng(5).permutation(len(x))
-    x, y = x[shuffled], rows["quality"].to_numpy(float)[shuffled]
-    cut, has = 12 + TRIGRAMS, ~np.isnan(y)
-    return co_train(x[has, :cut], x[has, cut:], (y[has] == 1).astype(float), x[~has, :cut], x[~has, cut:])
+    shuffled = np.random.default_rng(5).permutation(len(rows))
+    y = rows["quality"].to_numpy()[shuffled] == 1
+    open_ = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).join(known.select("doc_id"), "doc_id", "left_anti")
+    pool = _with_features(open_.withColumn("key", F.xxhash64("doc_id", "text")), ["key"])
+    return co_train(text[shuffled], meta[shuffled], y.astype(float), _chooser(written(pool)))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
