@@ -20,22 +20,23 @@ def endpoint_aliases(graph: CodeGraph) -> DataFrame:
     return ends.unionByName(graph.edges.where("type = 'RESOLVES_TO'").select(F.col("from_id").alias("endpoint"), F.col("to_id").alias("alias"))).distinct()
 
 
-def route_handlers(graph: CodeGraph, limit: int = 6) -> DataFrame:
-    """(endpoint, handler): methods that serve an endpoint, directly or through the route that it resolves to."""
+def route_handlers(graph: CodeGraph, limit: int | None = 6) -> DataFrame:
+    """(endpoint, handler): methods that serve an endpoint, directly or through the route that it resolves to; all, without a limit."""
     routes = graph.edges.where("type = 'ROUTES_TO'").select(F.col("from_id").alias("alias"), F.col("to_id").alias("handler"))
-    return top_per_group(endpoint_aliases(graph).join(routes, "alias").select("endpoint", "handler").distinct(), ["endpoint"], ["handler"], limit)
+    found = endpoint_aliases(graph).join(routes, "alias").select("endpoint", "handler").distinct()
+    return found if limit is None else top_per_group(found, ["endpoint"], ["handler"], limit)
 
 
-def http_clients(graph: CodeGraph, limit: int = 20) -> DataFrame:
-    """(endpoint, client): code that requests an endpoint, or one that resolves to it."""
+def http_clients(graph: CodeGraph, limit: int | None = 20) -> DataFrame:
+    """(endpoint, client): code that requests an endpoint, or one that resolves to it; all, without a limit."""
     asks = graph.edges.where("type = 'HTTP_REQUEST'").select(F.col("from_id").alias("client"), F.col("to_id").alias("endpoint"))
     found = endpoint_aliases(graph).join(asks, "endpoint").select(F.col("alias").alias("endpoint"), "client").distinct()
-    return top_per_group(found, ["endpoint"], ["client"], limit)
+    return found if limit is None else top_per_group(found, ["endpoint"], ["client"], limit)
 
 
 def http_upstream(graph: CodeGraph) -> DataFrame:
     """(handler, client, endpoint): who reaches a method over HTTP."""
-    return http_clients(graph, 10**6).join(route_handlers(graph, 10**6), "endpoint").select("handler", "client", "endpoint")
+    return http_clients(graph, None).join(route_handlers(graph, None), "endpoint").select("handler", "client", "endpoint")
 
 
 def http_downstream(graph: CodeGraph, limit: int = 20) -> DataFrame:
@@ -60,15 +61,16 @@ def reads_of(graph: CodeGraph) -> DataFrame:
     return graph.edges.where("type = 'READS_FIELD'").select(F.explode(F.array_distinct(F.array("from_id", F.regexp_replace("from_id", r"^(.*::[^:]+)::.*$", "$1")))).alias("method"), F.col("to_id").alias("field")).distinct()
 
 
-def nearest_source(graph: CodeGraph, steps: int = 6) -> DataFrame:
-    """(id, source): the node itself, or its nearest container, that has a file."""
+def nearest_source(graph: CodeGraph) -> DataFrame:
+    """(id, source): the node itself, or its nearest container, that has a file; however far up. Containers that hold each other end."""
     n = graph.nodes.select("id", "file", F.coalesce("parent", F.nullif(F.regexp_extract("id", "^(.*)::[^:]*$", 1), F.lit(""))).alias("up"))
-    done, todo = n.where("file IS NOT NULL").select("id", F.col("id").alias("source")), n.where("file IS NULL AND up IS NOT NULL").select("id", "up")
-    above = n.select(F.col("id").alias("up"), F.col("file").alias("f"), F.col("up").alias("next"))
-    for _ in range(steps):
+    done, todo = n.where("file IS NOT NULL").select("id", F.col("id").alias("source")), cut(n.where("file IS NULL AND up IS NOT NULL").select("id", "up"))
+    above, seen = n.select(F.col("id").alias("up"), F.col("file").alias("f"), F.col("up").alias("next")), todo
+    while not todo.isEmpty():
         step = todo.join(above, "up")
         done = done.unionByName(step.where("f IS NOT NULL").select("id", F.col("up").alias("source")))
-        todo = step.where("f IS NULL AND next IS NOT NULL").select("id", F.col("next").alias("up"))
+        todo = cut(step.where("f IS NULL AND next IS NOT NULL").select("id", F.col("next").alias("up")).join(seen, ["id", "up"], "left_anti"))
+        seen = seen.unionByName(todo)
     return done
 
 
@@ -128,10 +130,10 @@ def feature(graph: CodeGraph, query: str, limit: int = 20) -> DataFrame:
 
 def locate(graph: CodeGraph, query: str, depth: int = 3, limit: int = 12, files: int = 5) -> DataFrame:
     """(file, score, id): the files where work on a feature begins: matches, their callees by distance and layer, their handlers."""
-    match = cut(find(graph, query, 3)).select("id", "file", (F.lit(1400) + F.lit(0)).alias("base"))
-    chain = call_chain(graph, match.select("id"), depth, limit).join(graph.nodes.select("id", "file"), "id").select("id", "file", (F.lit(870) - F.col("depth") * 10).alias("base"))
-    routes = route_handlers(graph).join(match.select(F.col("id").alias("endpoint")), "endpoint", "left_semi").select(F.col("handler").alias("id")).join(graph.nodes.select("id", "file"), "id").select("id", "file", F.lit(1250).alias("base"))
-    penalty = F.when(F.col("base") == 1400, 0).otherwise(file_role_penalty(F.col("file")))
+    match = cut(find(graph, query, 3)).select("id", "file", F.col("score").alias("base"), F.lit(True).alias("matched"))
+    chain = call_chain(graph, match.select("id"), depth, limit).join(graph.nodes.select("id", "file"), "id").select("id", "file", (F.lit(870) - F.col("depth") * 10).alias("base"), F.lit(False).alias("matched"))
+    routes = route_handlers(graph).join(match.select(F.col("id").alias("endpoint")), "endpoint", "left_semi").select(F.col("handler").alias("id")).join(graph.nodes.select("id", "file"), "id").select("id", "file", F.lit(1250).alias("base"), F.lit(False).alias("matched"))
+    penalty = F.when(F.col("matched"), 0).otherwise(file_role_penalty(F.col("file")))
     ranked = match.unionByName(chain).unionByName(routes).where("file IS NOT NULL").select("id", "file", (F.col("base") + semantic_bonus(short_label(F.col("id")), F.col("file")) - penalty).alias("score"))
     return ranked.groupBy("file").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("id")).orderBy(F.desc("score"), "file").limit(files)
 

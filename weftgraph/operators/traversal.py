@@ -24,19 +24,18 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(src, dst, dist): all that each source reaches along (src, dst), by doubling the distance in each round; cycles end."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, dist): all that each source reaches along (src, dst), by doubling the distance in each round, until a round adds nothing."""
     step = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("dist", F.lit(1)))
-    found, reach = step, 1
-    while reach < most:
+    found, size = step, step.count()
+    while True:
         left = found.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1"))
         right = found.select(F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
         longer = left.join(right, "mid").where("src <> dst").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"))
         more = cut(found.unionByName(longer).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
-        if more.count() == found.count():
-            return more
-        found, reach = more, reach * 2
-    return found
+        before, size, found = size, more.count(), more
+        if size == before:
+            return found
 
 
 def ancestors(graph: CodeGraph, types: tuple[str, ...] = ("EXTENDS",)) -> DataFrame:
@@ -88,7 +87,14 @@ def call_chain(graph: CodeGraph, starts: DataFrame, depth: int = 1, limit: int =
 
 
 def cycles(graph: CodeGraph, longest: int = 12, include_resolved: bool = False) -> DataFrame:
-    """(path, length): each simple cycle once, from its smallest node; loops of one node don't count.
+    """The cycles of `cycles_up_to`, without its flag."""
+    return cycles_up_to(graph, longest, include_resolved)[0]
+
+
+def cycles_up_to(graph: CodeGraph, longest: int = 12, include_resolved: bool = False) -> tuple[DataFrame, bool]:
+    """(path, length): each simple cycle of at most `longest` nodes once, from its smallest node; and whether paths were left that longer ones may follow.
+
+    Loops of one node don't count. The depth is a feature of the analysis: paths multiply with each step.
 
     Nodes that no cycle can pass are dropped first; paths grow by joins and only through nodes larger than their start.
     """
@@ -107,8 +113,8 @@ def cycles(graph: CodeGraph, longest: int = 12, include_resolved: bool = False)
         found = closed if found is None else found.unionByName(closed)
         paths = paths.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where("next > start AND NOT array_contains(path, next)").select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
     if found is None:
-        return graph.edges.sparkSession.createDataFrame([], "path array<string>, length int")
-    return found
+        return graph.edges.sparkSession.createDataFrame([], "path array<string>, length int"), False
+    return found, not paths.isEmpty()
 
 
 def route_action_defined(graph: CodeGraph, actions: DataFrame) -> DataFrame:

@@ -423,10 +423,9 @@ def a9_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a8_similar")
 def a8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that resemble each nation's file."""
+    """Files of the whole graph that resemble the file of each nation and region: those files are what is asked for."""
     g = fx1(spark, sf_dir)
-    small = CodeGraph(g.nodes.where("type IN ('class', 'interface')"), g.edges.where("type IN ('DEPENDS_ON', 'IMPLEMENTS')"))
-    return analyzers.similar_files(small, small.nodes.where("file LIKE 'app/domain/nation%' OR file LIKE 'app/contracts/%'").select("file").distinct())
+    return analyzers.similar_files(g, g.nodes.where("type IN ('class', 'interface') AND (file LIKE 'app/domain/nation%' OR file LIKE 'app/contracts/%')").select("file").distinct())
 
 
 @register("g22_route_handlers", FX1_WITH + "SELECT from_id AS endpoint, to_id AS handler FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'ROUTES_TO' AND from_id IN (SELECT id FROM nodes WHERE type = 'api_endpoint'))) WHERE r <= 6")
