@@ -41,7 +41,7 @@ def file_prefix(file: Column) -> Column:
     parts = F.filter(F.split(base, "[._-]+"), lambda x: x != "")
     at = F.array_position(parts, F.lit("api")).cast("int")
     version = F.get(parts, at)  # what follows `api`, as positions count from 1
-    return F.when(at == 0, F.lit(None)).when(version.rlike(r"^v\d+$"), F.concat(F.lit("api/"), version)).otherwise(F.lit("api"))
+    return F.when(F.coalesce(at, F.lit(0)) == 0, F.lit(None)).when(version.rlike(r"^v\d+$"), F.concat(F.lit("api/"), version)).otherwise(F.lit("api"))
 
 
 def candidate_paths(id: Column, file: Column) -> Column:
