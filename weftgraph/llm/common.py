@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that a task works on at once; slim rows that a task takes at most.
-SLICE_BYTES, TASK_ROWS = 1 << 20, 1 << 21
+#: UTF-8 bytes of text that a task works on at once (its arrays then stay in the caches); slim rows that a task takes at most.
+SLICE_BYTES, TASK_ROWS = 1 << 17, 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -86,6 +86,8 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 def _open(reached: np.ndarray, full: np.ndarray, bucket: int, step: int) -> int:
     """The next bucket from `bucket` on, upwards or downwards, that lacks some suffixes; one beyond the last if none does."""
+    if 0 <= bucket < len(full) and reached[bucket] != full[bucket]:
+        return bucket
     size = 16
     while 0 <= bucket < len(full):
         if step > 0:
@@ -107,18 +109,20 @@ def _put(sa: np.ndarray, t: np.ndarray, small: np.ndarray, known: np.ndarray, at
     if not len(new):
         return
     chars = t[new]
-    order = np.argsort(chars, kind="stable")
-    new, chars = new[order], chars[order]
-    first = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
-    sizes = np.diff(np.append(first, len(new)))
-    rank = np.arange(len(new)) - np.repeat(first, sizes)
-    symbols = chars[first]
+    if len(new) > 1:
+        order = chars.argsort(kind="stable")
+        new, chars = new[order], chars[order]
+        rank = np.arange(len(new)) - chars.searchsorted(chars)
+    else:
+        rank = 0
+    # of equal symbols the last one tells where the bucket has got to
     if wanted:
-        sa[np.repeat(at[symbols], sizes) - 1 - rank] = new
-        at[symbols] -= sizes
+        places = at[chars] - 1 - rank
+        at[chars] = places
     else:
-        sa[np.repeat(at[symbols], sizes) + rank] = new
-        at[symbols] += sizes
+        places = at[chars] + rank
+        at[chars] = places + 1
+    sa[places] = new
 
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
