@@ -44,8 +44,8 @@ APART = 0.1515
 STEP = 1 << 13
 #: Texts of the sample (or one of as many, if more) that tells common shingles, and how many of those come last in the order.
 SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
-#: Bits of a sketch; members of a token's group that are compared at once.
-SKETCH, GROUP = 2048, 16
+#: Bits of a sketch, 64-bit words of the short one; members of a token's group that are compared at once.
+SKETCH, FOLDED, GROUP = 2048, 2, 16
 
 
 def width_for(texts: int) -> int:
@@ -187,18 +187,22 @@ def _near(width: int):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each hash of each text's prefix."""
+    """A row for each hash of each text's prefix, with a short sketch of its set: the long one folded, so that it bounds the same."""
     for batch in batches:
         blobs = batch.column(3).to_pylist()
-        at = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), *(batch.column(k).take(at) for k in range(3))], names=["token", "same", "root", "size"])
+        folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i8").reshape(-1, SKETCH // 64 // FOLDED, FOLDED), axis=1)
+        which = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+        at = pa.array(which)
+        cols = [pa.array(np.frombuffer(b"".join(blobs), np.int64)), *(batch.column(k).take(at) for k in range(3)), *(pa.array(folded[which, k]) for k in range(FOLDED))]
+        yield pa.RecordBatch.from_arrays(cols, names=["token", "same", "root", "size", "s0", "s1"])
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one part whose texts share a token, are of different components and of near enough sizes."""
-    token, same, root, size = (table[c].to_numpy() for c in ("token", "same", "root", "size"))
+    """Pairs of one part whose texts share a token, are of different components, and of near enough sizes and short sketches."""
+    token, same, root, size, s0, s1 = (table[c].to_numpy() for c in ("token", "same", "root", "size", "s0", "s1"))
     order = np.lexsort((root, token))
-    token, same, root, size = token[order], same[order], root[order], size[order]
+    token, same, root, size = token[order], same[order], root[order], size[order].astype(np.int64)
+    short = np.stack([s0, s1], 1).view(np.uint64)[order]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(token)))
     several = root[first] != root[first + counts - 1]  # sorted by component: others than one
@@ -207,7 +211,10 @@ def _across(table: pa.Table) -> pa.Table:
     def add(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal held, limit
         fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
-        a, b = same[i[fits]], same[j[fits]]
+        i, j = i[fits], j[fits]
+        # sets of SIMILARITY differ in this share of their members at most, and sketches in no more bits
+        near = np.bitwise_count(short[i] ^ short[j]).sum(1, dtype=np.int64) * (1 + SIMILARITY) <= (1 - SIMILARITY) * (size[i] + size[j]) + 1e-6
+        a, b = same[i[near]], same[j[near]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         held += len(a)
         if held > limit:  # pairs that several tokens give are kept once
@@ -295,8 +302,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     spread = prints.select("same", "fp").mapInArrow(_spread(width), "key long, other int, same long, fp binary").withColumn("part", part)
     links = written(_verified(texts, written(spread.repartition(parts // 2, "part").groupBy("part").applyInArrow(_near(width), "a long, b long").distinct())))
     # the rest, exactly: texts of different components that share a token of their prefixes
-    placed = prints.select("same", "size", "first").join(connected(links), F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"), "size", "first")
-    tokens = placed.mapInArrow(_tokens, "token long, same long, root long, size int").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
+    placed = prints.select("same", "size", "first", "sketch").join(connected(links), F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"), "size", "first", "sketch")
+    tokens = placed.mapInArrow(_tokens, "token long, same long, root long, size int, s0 long, s1 long").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
     across = tokens.repartition(parts // 2, "part").groupBy("part").applyInArrow(_across, "a long, b long").distinct()
     of = lambda end, blob, size: prints.select(F.col("same").alias(end), F.col("sketch").alias(blob), F.col("size").alias(size))
     possible = across.join(of("a", "x", "p"), "a").join(of("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_possible, "a long, b long")
