@@ -7,7 +7,7 @@ found from either side). A query searches the lists whose centroids are at most
 `PROBES` of them, and compares with every vector in them, in double precision.
 
 The number of lists grows with the vectors, so that a query's work doesn't, up to a quarter of the sample, which `SAMPLE_BYTES`
-bounds (with 64 components a list for each 256 vectors up to about 16 million of them; beyond that lists get longer, and a query's
+bounds (with 64 components a list for each 256 vectors up to some 30 million of them; beyond that lists get longer, and a query's
 work with them). The centroids and their graph are the only thing broadcast: a quarter of SAMPLE_BYTES and DEGREE + FAR
 numbers for each. Lists are split into blocks of about `BLOCK` vectors by hash, and the queries of a list into blocks of
 `QUERIES`, so a list that many equal vectors or very many queries fall into is shared out among tasks; each block of
