@@ -82,6 +82,39 @@ def estimate_tokens(text: Column, per: float = 4) -> Column:
     return F.ceil(F.length(text) / per).cast("long")
 
 
+def fetch_path(path: Column) -> Column:
+    """The path that a request written in code asks for: from `/api/vN/` on, or else without the hosts put in before it."""
+    p = F.regexp_replace(F.regexp_replace(path, r"\$\{[^}]+\}", "{param}"), "/+", "/")
+    api = F.regexp_extract(p, r"/?(api/v\d+/[^?\s]*)", 1)
+    bare = F.regexp_replace(p, r"^(\{[^{}]+\})+", "")
+    return F.when(api != "", F.concat(F.lit("/"), api)).when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))
+
+
+def location(file: Column, start: Column, end: Column) -> Column:
+    """`file:start-end`, a question mark for a row that isn't known; null without a file."""
+    row = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return F.when(file != "", F.concat(file, F.lit(":"), row(start), F.lit("-"), row(end)))
+
+
+# Tags of SVG and MathML that have a dash and are no components.
+DASHED_TAGS = ("annotation-xml", "color-profile", "font-face", "font-face-src", "font-face-uri", "font-face-format", "font-face-name", "missing-glyph")
+
+
+def component_name(tag: Column) -> Column:
+    """The component that a tag names (`user-card` and `userCard`: `UserCard`); null for tags that the standards reserve."""
+    upper = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))
+    parts = F.split(tag, "-")
+    joined = F.transform(parts, lambda w, n: F.when((n == 0) | w.rlike("^[0-9]"), w).when(w.rlike("^[a-z]"), upper(w)).otherwise(F.concat(F.lit("-"), w)))
+    return F.when(tag.isin(*DASHED_TAGS), F.lit(None)).otherwise(upper(F.array_join(joined, "")))
+
+
+def workspace_matches(actual: Column, wanted: str) -> Column:
+    """Whether a workspace is the one asked for, or ends with it, whatever its case and separators."""
+    a = F.lower(F.translate(actual, "\\", "/"))
+    w = wanted.replace("\\", "/").lower()
+    return F.coalesce((a == w) | a.endswith("/" + w), F.lit(False))
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression for a glob with `*`."""
     import re

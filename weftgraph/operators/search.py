@@ -75,8 +75,11 @@ def _ladder(text: str) -> tuple[Column, Column]:
     return score, why
 
 
-def find(graph: CodeGraph, query: str, limit: int = 20) -> DataFrame:
-    """(id, type, file, score, reason): the best matches of any spelling; of equal ones the first spelling names the reason. All nodes are scored where they are read."""
+def find(graph: CodeGraph, query: str, limit: int | None = 20) -> DataFrame:
+    """(id, type, file, score, reason): the best matches of any spelling, all of them in no order without a limit.
+
+    Of equal ones the first spelling names the reason. All nodes are scored where they are read.
+    """
     found = []
     pascal = re.fullmatch(r"[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*", query.strip()) is not None
     for k, (text, source) in enumerate(query_variants(query)):
@@ -89,4 +92,5 @@ def find(graph: CodeGraph, query: str, limit: int = 20) -> DataFrame:
             total = total - F.when(only, SUFFIX_MALUS).otherwise(0)
         found.append(F.struct(F.when(score > 0, total).otherwise(0).alias("score"), F.lit(-k).alias("first"), F.concat(why, F.lit(f" via {source}:{text}")).alias("reason")))
     best = F.greatest(*found) if len(found) > 1 else found[0]
-    return graph.nodes.select("id", "type", "file", best.alias("b")).where("b.score > 0").select("id", "type", "file", F.col("b.score").alias("score"), F.col("b.reason").alias("reason")).orderBy(F.desc("score"), "id").limit(limit)
+    rows = graph.nodes.select("id", "type", "file", best.alias("b")).where("b.score > 0").select("id", "type", "file", F.col("b.score").alias("score"), F.col("b.reason").alias("reason"))
+    return rows if limit is None else rows.orderBy(F.desc("score"), "id").limit(limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,28 @@ def source_files(spark: SparkSession, root: str, extensions: list[str], exclude_
     return kept.select("file", F.decode("content", "UTF-8").alias("text"))
 
 
+def source_roots(spark: SparkSession, roots: list[str], extensions: list[str], exclude_tests: bool = False) -> DataFrame:
+    """`source_files` of one root, or of several with the last part of each root before its files."""
+    if len(roots) == 1:
+        return source_files(spark, roots[0], extensions, exclude_tests)
+    each = [source_files(spark, r, extensions, exclude_tests).withColumn("file", F.concat(F.lit(r.rstrip("/").rsplit("/", 1)[-1] + "/"), "file")) for r in roots]
+    return reduce(DataFrame.unionByName, each)
+
+
+def snippets(files: DataFrame, places: DataFrame, lines: int = 2) -> DataFrame:
+    """(id, lines) of places (id, file, start_row): the first lines with text from a row on, numbered from 1, cut at 120 characters.
+
+    A file is also looked for without the first part of its path. Files of more than 2,000,000 characters and places without a row have none.
+    """
+    text = files.where(F.length("text") <= 2_000_000).select(F.col("file").alias("path"), F.split("text", "\\r?\\n").alias("rows"))
+    both = F.array_distinct(F.array("file", F.regexp_replace("file", "^[^/]*/", "")))
+    asked = places.where("start_row IS NOT NULL").select("id", "start_row", F.posexplode(both).alias("way", "path"))
+    numbered = F.transform("rows", lambda r, n: F.struct((n + 1).alias("n"), F.trim(r, F.lit(" \t")).alias("t")))
+    kept = F.slice(F.filter(numbered, lambda x: (x["n"] > F.col("start_row")) & (x["t"] != "")), 1, lines)
+    found = asked.join(text, "path").select("id", "way", F.transform(kept, lambda x: F.concat(x["n"], F.lit("| "), F.left(x["t"], F.lit(120)))).alias("lines"))
+    return found.where(F.size("lines") > 0).groupBy("id").agg(F.min_by("lines", "way").alias("lines"))
+
+
 def failures(rows: DataFrame) -> DataFrame:
     """Failed files, each reason once."""
     return rows.dropDuplicates(["file", "reason"])
