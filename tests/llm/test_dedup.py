@@ -314,3 +314,16 @@ def test_near_copies_at_the_limit(spark):
 def _inner(rng, text, edits):
     """`_edited`, but each changed word is in five shingles."""
     return text[:4] + _edited(rng, text[4:-4], edits) + text[-4:]
+
+
+def test_sketches_bound_how_many_hashes_differ():
+    rng = np.random.default_rng(11)
+    for n, m, both in ((0, 0, 0), (0, 3, 0), (1, 1, 0), (100, 130, 90), (128, 129, 120), (1000, 1030, 990), (5000, 4000, 100), (70_000, 60_000, 59_000)):
+        pool = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        got = near_copies.apart(near_copies.sketch(a), near_copies.sketch(b))
+        assert got == near_copies.apart(near_copies.sketch(b), near_copies.sketch(a)) <= n + m - 2 * both
+        if n > 64:  # about as many as parities of random places differ in
+            differ, bits = n + m - 2 * both, 8 * min(len(near_copies.sketch(a)), len(near_copies.sketch(b)))
+            assert got > 0.75 * bits / 2 * (1 - np.exp(-2 * differ / bits))

@@ -44,8 +44,8 @@ APART = 0.1515
 STEP = 1 << 13
 #: Texts of the sample (or one of as many, if more) that tells common shingles, and how many of those come last in the order.
 SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
-#: Bits of a sketch, 64-bit words of the short one; members of a token's group that are compared at once.
-SKETCH, FOLDED, GROUP = 2048, 2, 16
+#: 64-bit words of the short sketch, which is also the least sketch; members of a token's group that are compared at once.
+FOLDED, GROUP = 2, 16
 
 
 def width_for(texts: int) -> int:
@@ -96,8 +96,21 @@ def least_shared(n: int) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of how many hashes fall on each bit: two sets differ in at least as many hashes as their sketches in bits."""
-    return np.packbits(np.bincount((mixed(hashes) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").tobytes()
+    """Parities of how many hashes fall on each bit: two sets differ in at least as many hashes as their sketches in bits.
+
+    There are as many bits as hashes, rounded up to a power of two, so that sketches of long texts tell as much as those of short ones.
+    """
+    bits = max(64 * FOLDED, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded, so that its parities are those of fewer bits."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
 def _fingerprints(common: np.ndarray, rank: np.ndarray, width: int):
@@ -190,7 +203,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each hash of each text's prefix, with a short sketch of its set: the long one folded, so that it bounds the same."""
     for batch in batches:
         blobs = batch.column(3).to_pylist()
-        folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i8").reshape(-1, SKETCH // 64 // FOLDED, FOLDED), axis=1)
+        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(s, "<i8").reshape(-1, FOLDED)) for s in batch.column(4).to_pylist()], np.int64).reshape(-1, FOLDED)
         which = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
         at = pa.array(which)
         cols = [pa.array(np.frombuffer(b"".join(blobs), np.int64)), *(batch.column(k).take(at) for k in range(3)), *(pa.array(folded[which, k]) for k in range(FOLDED))]
@@ -242,9 +255,9 @@ def _across(table: pa.Table) -> pa.Table:
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches and sizes allow SIMILARITY."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, SKETCH // 64) for k in (2, 3))
         total = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
-        both = (total - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2  # at most
+        differ = np.array([apart(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
+        both = (total - differ) // 2  # at most
         yield batch.select(["a", "b"]).filter(pa.array(both >= SIMILARITY * (total - both) - 1e-9))
 
 
