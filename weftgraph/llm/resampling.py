@@ -75,8 +75,9 @@ def feature_buckets(texts: list[bytes], most: int, buckets: int) -> Iterator[tup
         fits = room[order] >= n
         places, new = order[fits], (common < n)[fits]  # suffixes with equal n-grams stand together, and those that don't fit aren't among them
         heads = places[new]
-        grams = (b" ".join(names[ids[p : p + n] - 1]) for p in heads.tolist())
-        hashed = np.fromiter((zlib.crc32(g) % buckets for g in grams), np.int64, len(heads))
+        words = [names[ids[heads + k] - 1].tolist() for k in range(n)]
+        grams = words[0] if n == 1 else map(b" ".join, zip(*words, strict=True))
+        hashed = np.fromiter(map(zlib.crc32, grams), np.int64, len(heads)) % buckets
         out = np.empty(len(ids), np.int64)
         out[places] = hashed[np.cumsum(new) - 1]
         where = room >= n
