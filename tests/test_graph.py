@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates, text
 from weftgraph.model import CodeGraph
-from weftgraph.operators import analyzers, links, lookups, navigation, search, traversal
+from weftgraph.operators import analyzers, inheritance, links, lookups, navigation, search, traversal
 from weftgraph.sources import graphs
 
 
@@ -116,9 +116,9 @@ def test_closure_and_levels(spark):
 def test_inheritance_and_actions(spark):
     g = graph(spark, [("A", "class"), ("B", "class"), ("C", "class"), ("A::go", "method"), ("T::fly", "method")], [("B", "A", "EXTENDS"), ("C", "B", "EXTENDS"), ("A", "C", "EXTENDS"), ("B", "T", "USES_TRAIT")])
     wanted = spark.createDataFrame([("C", "go"), ("A", "go"), ("C", "no")], "class string, method string")
-    got = {r["class"]: (r.target, r.dist) for r in traversal.resolve_through_inheritance(g, wanted).collect()}
+    got = {r["class"]: (r.target, r.dist) for r in inheritance.resolve_through_inheritance(g, wanted).collect()}
     assert got == {"C": ("A::go", 2), "A": ("A::go", 0)}
-    defined = {r.id: r.defined for r in traversal.route_action_defined(g, ids(spark, "C::go", "C::fly", "C::no", "closure")).collect()}
+    defined = {r.id: r.defined for r in inheritance.route_action_defined(g, ids(spark, "C::go", "C::fly", "C::no", "closure")).collect()}
     assert defined == {"C::go": True, "C::fly": True, "C::no": False, "closure": True}
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.predicates import ENTRY_TYPES, LAYERS, feature_file_role, layer_rank, layer_strict, risk, risk_order, usage_edge, visible_call
 from weftgraph.functions.text import divergent_terms, jaccard, split_terms
 from weftgraph.model import CodeGraph
-from weftgraph.operators.traversal import ancestors, bfs_levels
+from weftgraph.operators.inheritance import lineage
+from weftgraph.operators.traversal import bfs_levels
 from weftgraph.sources.storage import cut
 
 # What an edge adds to the impact on its source, and on its target.
@@ -166,8 +167,9 @@ def dead_code(graph: CodeGraph, ignore_accessors: bool = False) -> DataFrame:
     m = graph.nodes.where("type = 'method' AND visibility = 'public'").select("id", "parent", "name", "file")
     parents = graph.nodes.select(F.col("id").alias("parent"), F.col("type").alias("parent_type"))
     abstract = graph.nodes.where("type = 'method' AND is_abstract").select(F.col("parent").alias("owner"), "name")
-    up = ancestors(graph).select(F.col("src").alias("parent"), F.col("dst").alias("owner"))
-    line = m.select("id", "parent", "name", F.col("parent").alias("owner")).unionByName(m.select("id", "parent", "name").join(up, "parent").select("id", "parent", "name", "owner"))
+    some = m.select("id", "parent", "name").join(abstract.select("name").distinct(), "name", "left_semi")  # only these may fill an abstract method in
+    up = lineage(graph, some.select(F.col("parent").alias("id")).distinct()).select(F.col("src").alias("parent"), F.col("dst").alias("owner"))
+    line = some.select("id", "parent", "name", F.col("parent").alias("owner")).unionByName(some.join(up, "parent").select("id", "parent", "name", "owner"))
     overrides = line.join(abstract, ["owner", "name"], "left_semi").select("id").distinct().withColumn("overrides_abstract", F.lit(True))
     use = F.col("type").isin("CALLS", "ROUTES_TO", "BLADE_USES_ACTION", "BLADE_REFERENCES_SYMBOL", "BLADE_CALLS")
     again = (F.col("type") == "CALLS") & F.coalesce(F.col("call_type").isin("INTERFACE_RESOLVED", "EXTENDS_RESOLVED", "OVERRIDE_RESOLVED"), F.lit(False))

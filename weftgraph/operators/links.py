@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import comparable_path, endpoint_path, endpoint_verb
 from weftgraph.model import CodeGraph
-from weftgraph.operators.traversal import ancestors
+from weftgraph.operators.inheritance import lineage
 
 
 def link_endpoints(clients: DataFrame, routes: DataFrame) -> DataFrame:
@@ -61,9 +61,11 @@ def interface_calls(graph: CodeGraph) -> DataFrame:
 
 def override_calls(graph: CodeGraph) -> DataFrame:
     """Calls of a class's method, also to the overriding methods of its descendants."""
-    down = ancestors(graph).select(F.col("dst").alias("class"), F.col("src").alias("owner"))
+    calls = _calls(graph, ("STATIC", "EXTENDS_RESOLVED", "OVERRIDE_RESOLVED")).distinct()
     m = graph.nodes.where("type = 'method' AND coalesce(is_abstract, false) = false").select(F.col("parent").alias("owner"), F.col("name").alias("method"), F.col("id").alias("target"))
-    return _resolved(_calls(graph, ("STATIC", "EXTENDS_RESOLVED", "OVERRIDE_RESOLVED")), down.join(m, "owner"), "OVERRIDE_RESOLVED")
+    m = m.join(calls.select("method").distinct(), "method", "left_semi")  # other names are called nowhere
+    up = lineage(graph, m.select(F.col("owner").alias("id")).distinct()).select(F.col("dst").alias("class"), F.col("src").alias("owner"))
+    return _resolved(calls, up.join(m, "owner"), "OVERRIDE_RESOLVED")
 
 
 def argument_edges(graph: CodeGraph) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.predicates import class_of
 from weftgraph.functions.text import endpoint_path, endpoint_verb
 from weftgraph.model import CodeGraph
+from weftgraph.operators.inheritance import descendants
 from weftgraph.operators.lookups import abstract_targets
-from weftgraph.operators.traversal import ancestors
 
 
 def extends_calls(graph: CodeGraph) -> DataFrame:
@@ -17,7 +17,8 @@ def extends_calls(graph: CodeGraph) -> DataFrame:
     own = graph.nodes.where("type = 'method'").select("id", F.col("parent").alias("owner"), F.col("name").alias("method"), F.coalesce("is_abstract", F.lit(False)).alias("is_abstract"))
     calls = graph.edges.where("type = 'CALLS'").select("from_id", F.col("to_id").alias("id"))
     wanted = calls.join(own.where("is_abstract"), "id").select("from_id", F.col("owner").alias("dst"), "method").distinct()
-    filled = ancestors(graph).join(own.where("NOT is_abstract"), F.col("src") == F.col("owner")).select("dst", "method", F.col("id").alias("to_id"))
+    down = descendants(graph, wanted.select(F.col("dst").alias("id")).distinct()).select(F.col("id").alias("dst"), F.col("descendant").alias("owner"))
+    filled = down.join(own.where("NOT is_abstract"), "owner").select("dst", "method", F.col("id").alias("to_id"))
     found = wanted.join(filled, ["dst", "method"]).select("from_id", "to_id").distinct()
     return found.select(F.concat_ws("->", "from_id", "to_id").alias("id"), "from_id", "to_id", F.lit("CALLS").alias("type"), F.lit("EXTENDS_RESOLVED").alias("call_type"))
 

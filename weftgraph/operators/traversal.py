@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import framework_noise, layer_priority, visible_call
 from weftgraph.model import CodeGraph
+from weftgraph.operators import components
 from weftgraph.sources.graphs import top_per_group
 from weftgraph.sources.storage import cut
 
 
-def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(batch, node, lvl): nodes within `depth` steps along (src, dst), each at its least distance. Seeds are (batch, node)."""
+def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(batch, node, lvl): nodes within `depth` steps along (src, dst), or however far, each at its least distance. Seeds are (batch, node)."""
     found = cut(seeds.select("batch", "node").distinct().withColumn("lvl", F.lit(0)))
-    front = found
-    for lvl in range(1, depth + 1):
+    front, lvl = found, 0
+    while depth is None or lvl < depth:
+        lvl += 1
         step = front.join(edges.select(F.col("src").alias("node"), F.col("dst")), "node").select("batch", F.col("dst").alias("node")).distinct()
         front = cut(step.join(found.select("batch", "node"), ["batch", "node"], "left_anti").withColumn("lvl", F.lit(lvl)))
         if front.isEmpty():
@@ -38,27 +40,6 @@ def closure(edges: DataFrame) -> DataFrame:
             return found
 
 
-def ancestors(graph: CodeGraph, types: tuple[str, ...] = ("EXTENDS",)) -> DataFrame:
-    """(src, dst, dist): classes that each class descends from."""
-    return closure(graph.edges.where(F.col("type").isin(*types)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
-
-
-def inheritance_chain(graph: CodeGraph) -> DataFrame:
-    """(id, ancestor, dist) along one parent for each class: the first that was recorded."""
-    first = graph.edges.where("type = 'EXTENDS' AND from_id <> to_id").groupBy("from_id").agg(F.min_by("to_id", F.struct(F.coalesce("ord", F.lit(0)), "to_id")).alias("to_id"))
-    return closure(first.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))).select(F.col("src").alias("id"), F.col("dst").alias("ancestor"), "dist")
-
-
-def resolve_through_inheritance(graph: CodeGraph, wanted: DataFrame) -> DataFrame:
-    """(class, method, target, dist): for each wanted (class, method) the nearest class up the chain that has the method, itself included."""
-    up = inheritance_chain(graph).select(F.col("id").alias("class"), F.col("ancestor").alias("owner"), "dist")
-    classes = wanted.select("class").distinct()
-    all_ = classes.select("class", F.col("class").alias("owner"), F.lit(0).alias("dist")).unionByName(up.join(classes, "class", "left_semi"))
-    methods = graph.nodes.where("type = 'method'").select(F.col("parent").alias("owner"), F.col("name").alias("method"), F.col("id").alias("target"))
-    found = wanted.join(all_, "class").join(methods, ["owner", "method"])
-    return found.groupBy("class", "method").agg(F.min_by("target", F.struct("dist", "owner")).alias("target"), F.min("dist").alias("dist"))
-
-
 def call_chain(graph: CodeGraph, starts: DataFrame, depth: int = 1, limit: int = 20, per_hop: int | None = None, include_resolved: bool = False) -> DataFrame:
     """(start, id, depth, parent): callees level by level, `limit` in all for each start.
 
@@ -94,34 +75,7 @@ def cycles(graph: CodeGraph, longest: int = 12, include_resolved: bool = False)
 def cycles_up_to(graph: CodeGraph, longest: int = 12, include_resolved: bool = False) -> tuple[DataFrame, bool]:
     """(path, length): each simple cycle of at most `longest` nodes once, from its smallest node; and whether paths were left that longer ones may follow.
 
-    Loops of one node don't count. The depth is a feature of the analysis: paths multiply with each step.
-
-    Nodes that no cycle can pass are dropped first; paths grow by joins and only through nodes larger than their start.
+    Loops of one node don't count. The depth is a feature of the analysis: paths multiply with each step, inside components only.
     """
-    e = cut(graph.edges.where(visible_call(include_resolved) & (F.col("from_id") != F.col("to_id"))).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())
-    before = -1
-    while (n := e.count()) != before:  # only nodes with edges in and out stay
-        before = n
-        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-    paths = e.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
-    found = None
-    for size in range(2, longest + 1):
-        paths = cut(paths)
-        if paths.isEmpty():
-            break
-        closed = paths.join(e.select(F.col("src").alias("last"), F.col("dst").alias("start")), ["last", "start"], "left_semi").select("path", F.lit(size).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = paths.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where("next > start AND NOT array_contains(path, next)").select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
-    if found is None:
-        return graph.edges.sparkSession.createDataFrame([], "path array<string>, length int"), False
-    return found, not paths.isEmpty()
-
-
-def route_action_defined(graph: CodeGraph, actions: DataFrame) -> DataFrame:
-    """(id, defined): whether the class of each `C::m`, a parent or a trait has the method; ids without `::` count as defined."""
-    split = actions.select("id", F.when(F.col("id").contains("::"), F.regexp_extract("id", "^(.*)::([^:]*)$", 1)).alias("class"), F.substring_index("id", "::", -1).alias("method"))
-    up = ancestors(graph, ("EXTENDS", "USES_TRAIT")).select(F.col("src").alias("class"), F.col("dst").alias("owner"))
-    own = split.where("class IS NOT NULL")
-    lineage = own.select("id", "class", "method", F.col("class").alias("owner")).unionByName(own.join(up, "class").select("id", "class", "method", "owner"))
-    found = lineage.withColumn("node", F.concat_ws("::", "owner", "method")).join(graph.nodes.select(F.col("id").alias("node")), "node", "left_semi").select("id").distinct()
-    return split.join(found.withColumn("_f", F.lit(True)), "id", "left").select("id", (F.col("class").isNull() | F.coalesce("_f", F.lit(False))).alias("defined"))
+    found, more = components.cycles(components.call_edges(graph, include_resolved), graph.nodes, longest=longest)
+    return found.select("path", "length"), more

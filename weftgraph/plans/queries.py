@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates, text
 from weftgraph.model import CodeGraph
-from weftgraph.operators import analyzers, links, lookups, navigation, search, traversal
+from weftgraph.operators import analyzers, inheritance, links, lookups, navigation, search, traversal
 from weftgraph.plans.fixtures import FX1_WITH, FX2_WITH, FX3_CLIENT, FX3_LINKS, FX3_ROUTE, duck, fx1, fx2, spark_sql
 from weftgraph.plans.registry import register
 from weftgraph.sources import graphs
@@ -185,7 +185,7 @@ SELECT id, ancestor, dist FROM up
 """)
 def g7_inheritance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestors of every class."""
-    return traversal.inheritance_chain(fx1(spark, sf_dir))
+    return inheritance.inheritance_chain(fx1(spark, sf_dir))
 
 
 @register("g8_resolve_method", FX1_WITH + """
@@ -196,7 +196,7 @@ SELECT class, method, target, dist FROM f WHERE r = 1
 def g8_resolve_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each class finds the method `ship`."""
     g = fx1(spark, sf_dir)
-    return traversal.resolve_through_inheritance(g, _all(g, "class").select(F.col("id").alias("class"), F.lit("ship").alias("method")))
+    return inheritance.resolve_through_inheritance(g, _all(g, "class").select(F.col("id").alias("class"), F.lit("ship").alias("method")))
 
 
 @register("g10_call_chain", FX1_WITH + """
@@ -248,7 +248,7 @@ SELECT a.id, bool_or(n.id IS NOT NULL) AS defined FROM a JOIN up ON up.id = a.cl
 def g23_route_action_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether `ship` is defined for every class."""
     g = fx1(spark, sf_dir)
-    return traversal.route_action_defined(g, _all(g, "class").select(F.concat("id", F.lit("::ship")).alias("id")))
+    return inheritance.route_action_defined(g, _all(g, "class").select(F.concat("id", F.lit("::ship")).alias("id")))
 
 
 @register("g28_scoped_edges", FX1_WITH + "SELECT id, from_id, to_id, type FROM edges WHERE type IN ('DEPENDS_ON', 'EXTENDS') AND (from_id IN (SELECT id FROM nodes WHERE type = 'class') OR to_id IN (SELECT id FROM nodes WHERE type = 'class'))")
@@ -264,7 +264,9 @@ SELECT id, count(*) AS descendants, max(dist)::INT AS depth FROM down GROUP BY 1
 """)
 def g39_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many classes descend from each, and how deep."""
-    return traversal.ancestors(fx1(spark, sf_dir)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("descendants"), F.max("dist").alias("depth"))
+    g = fx1(spark, sf_dir)
+    down = inheritance.descendants(g, g.edges.where("type = 'EXTENDS'").select(F.col("to_id").alias("id")).distinct())
+    return down.groupBy("id").agg(F.count("*").alias("descendants"), F.max("dist").alias("depth"))
 
 
 @register("bfs_levels", FX1_WITH + """
