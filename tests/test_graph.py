@@ -211,6 +211,15 @@ def test_graph_tables(spark, flow, tmp_path):
     (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "type": "class", "name": "a"}], "edges": [{"from": "a", "to": "b", "type": "CALLS", "callType": "STATIC"}]}')
     g = graphs.read_json(spark, str(tmp_path / "g.json"))
     assert g.nodes.first().id == "a" and tuple(g.edges.select("id", "from_id", "call_type").first()) == ("a-b-CALLS", "a", "STATIC")
+    meta = spark.createDataFrame([("scanned_at", "2024-01-01 00:00:00"), ("git_commit", "abc")], "key string, value string")
+    odd = CodeGraph.of(flow.nodes.withColumn("keywords", F.array(F.lit("k"), F.lit("ü"))).unionByName(spark.createDataFrame([("n", None)], "id string, type string"), allowMissingColumns=True), flow.edges.withColumn("confidence", F.lit(0.5)), meta)
+    for write, read in ((graphs.write_parquet, graphs.read_parquet), (graphs.write_json, graphs.read_json)):
+        write(odd, str(tmp_path / write.__name__))
+        back = read(spark, str(tmp_path / write.__name__))
+        for part in ("nodes", "edges", "meta"):
+            old = getattr(odd, part)
+            assert sorted(map(str, getattr(back, part).select(*old.columns).collect())) == sorted(map(str, old.collect())), (write, part)
+        assert navigation.freshness(back.meta, head="abd").first().drifted
     both = graphs.merge(g, graph(spark, [("a", "method"), ("z", "class")], []))
     assert {(r.id, r.type) for r in both.nodes.collect()} == {("a", "class"), ("z", "class")}
 

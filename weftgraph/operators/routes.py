@@ -20,9 +20,8 @@ def request(query: Column) -> Column:
     """(verb, requested, framework) of a request: verb in capitals or null, the path as asked for, and without a leading API version."""
     text = F.trim(query)
     known = F.lower(text).rlike(r"^(?:api|http):.*:") & (text.startswith("api:") | text.startswith("http:"))
-    # fixed form: of an `http:` id the verb keeps the colon before it
     marked = F.regexp_extract(text, r"^(?:api:|http:)([^:]*):", 1)
-    verb = F.when(known, F.upper(F.when(text.startswith("http:"), F.concat(F.lit(":"), marked)).otherwise(marked)))
+    verb = F.when(known, F.upper(marked))
     spoken = F.regexp_extract(text, rf"(?i)^({'|'.join(VERBS)})\s+(\S+)", 1)
     verb = verb.otherwise(F.nullif(F.upper(spoken), F.lit("")))
     path = F.when(known, F.regexp_extract(text, r"^(?:api|http):[^:]*:(.*)$", 1)).when(spoken != "", F.regexp_extract(text, rf"(?i)^({'|'.join(VERBS)})\s+(\S+)", 2)).otherwise(text)
@@ -58,14 +57,19 @@ def path_terms(path: Column) -> Column:
     return F.array_distinct(F.filter(segments, lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(*STOP_SEGMENTS) & ~F.lower(s).rlike(r"^v\d+$")))
 
 
+# Places of routes that only tests use, and of those that production registers.
+LOW_SIGNAL = r"(^|/)(k6|tests?|fixtures?|benchmark|load[_-]?test)(/|$)"
+PRODUCTION = r"(^|/)routes/|(^|/)[^/]*(routes?|router)[^/]*\.(php|ts|js)$"
+
+
 def low_signal(file: Column) -> Column:
     """Whether routes in a file are those of tests, fixtures or load tests."""
-    return F.coalesce(F.lower(F.translate(file, "\\", "/")).rlike(r"(^|/)(k6|tests?|fixtures?|benchmark|load[_-]?test)(/|$)"), F.lit(False))
+    return F.coalesce(F.lower(F.translate(file, "\\", "/")).rlike(LOW_SIGNAL), F.lit(False))
 
 
 def production_routes(file: Column) -> Column:
     """Whether a file registers routes in production."""
-    return F.coalesce(F.lower(F.translate(file, "\\", "/")).rlike(r"(^|/)routes/|(^|/)[^/]*(routes?|router)[^/]*\.(php|ts|js)$"), F.lit(False))
+    return F.coalesce(F.lower(F.translate(file, "\\", "/")).rlike(PRODUCTION), F.lit(False))
 
 
 def endpoint_ids(asked: Column) -> Column:
@@ -90,7 +94,7 @@ def routes_for(graph: CodeGraph, requests: DataFrame) -> DataFrame:
     asked = requests.select("query").distinct().withColumn("r", request(F.col("query")))
     ways = asked.select("query", "r.verb", F.explode(F.array_distinct(F.array(F.struct(F.lower("r.requested").alias("path"), F.lit(True).alias("exact")), F.struct(F.lower("r.framework").alias("path"), (F.lower("r.framework") == F.lower("r.requested")).alias("exact"))))).alias("w")).select("query", "verb", "w.*")
     ends = graph.nodes.where(F.col("type").isin("api_endpoint", "http_endpoint")).select("id", "file", F.upper(F.regexp_extract("id", r"^(?:api|http):([^:]*):", 1)).alias("own"), F.explode(candidate_paths(F.col("id"), F.col("file"))).alias("path"))
-    found = ways.join(ends.withColumn("path", F.lower("path")), "path").where(F.col("verb").isNull() | (F.regexp_replace("verb", "^:", "") == F.col("own")))
+    found = ways.join(ends.withColumn("path", F.lower("path")), "path").where(F.col("verb").isNull() | (F.col("verb") == F.col("own")))
     one = found.groupBy("query", "id").agg(F.bool_or("exact").alias("exact"), F.bool_and(low_signal(F.col("file"))).alias("low"))
     least = one.groupBy("query").agg(F.min("low").alias("low"))
     return one.join(least, ["query", "low"]).select("query", "id", "exact")

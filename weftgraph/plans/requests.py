@@ -46,7 +46,7 @@ def http_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 
 _REQUEST = f"""WITH q AS ({duck(ASKED)}), s AS (SELECT query,
-  CASE WHEN query LIKE 'get %' THEN 'GET' WHEN query LIKE 'http:%' THEN ':GET' WHEN query LIKE 'api:%' THEN 'POST' END AS verb,
+  CASE WHEN query LIKE 'get %' THEN 'GET' WHEN query LIKE 'http:%' THEN 'GET' WHEN query LIKE 'api:%' THEN 'POST' END AS verb,
   regexp_replace(regexp_replace(query, '^(get |http:GET:|api:POST:)', ''), '\\{{[^}}]+\\}}', '{{param}}', 'g') AS p FROM q),
 r AS (SELECT query, verb, regexp_replace(trim(regexp_replace(p, '/+', '/', 'g'), '/'), '^$', '/') AS requested FROM s),
 a AS (SELECT query, verb, requested, regexp_replace(requested, '^api(/v[0-9]+)?/', '') AS framework FROM r)
@@ -96,7 +96,7 @@ def c7_candidate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("c5_routes_for", _REQUEST + f""", {_CANDIDATES},
 w AS (SELECT query, verb, requested AS path, true AS exact FROM a UNION SELECT query, verb, framework, framework = requested FROM a),
-f AS (SELECT w.query, k.id, bool_or(exact) AS exact, bool_and(k.file LIKE 'k6/%') AS low FROM w JOIN k USING (path) WHERE w.verb IS NULL OR ltrim(w.verb, ':') = k.verb GROUP BY 1, 2)
+f AS (SELECT w.query, k.id, bool_or(exact) AS exact, bool_and(k.file LIKE 'k6/%') AS low FROM w JOIN k USING (path) WHERE w.verb IS NULL OR w.verb = k.verb GROUP BY 1, 2)
 SELECT query, id, exact FROM f WHERE low = (SELECT min(low) FROM f AS o WHERE o.query = f.query)
 """)
 def c5_routes_for(spark: SparkSession, sf_dir: str) -> DataFrame:

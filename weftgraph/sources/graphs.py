@@ -23,18 +23,29 @@ def write_parquet(graph: CodeGraph, path: str) -> None:
 
 
 def read_parquet(spark: SparkSession, path: str) -> CodeGraph:
-    """What `write_parquet` wrote."""
-    return CodeGraph.of(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    """What `write_parquet` wrote, with the metadata if there are any."""
+    g = CodeGraph.of(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    return CodeGraph(g.nodes, g.edges, spark.read.parquet(f"{path}/graph_meta") if _exists(spark, f"{path}/graph_meta") else None)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_json(graph: CodeGraph, path: str) -> None:
-    """One JSON line per node and edge."""
-    rows = graph.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("value")).unionByName(graph.edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("*")).alias("value")))
-    rows.write.mode("overwrite").partitionBy("kind").text(path)
+    """One JSON line per node, edge and metadata entry, in a folder each."""
+    for name, rows in {"nodes": graph.nodes, "edges": graph.edges, "graph_meta": graph.meta}.items():
+        if rows is not None:
+            rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def read_json(spark: SparkSession, path: str) -> CodeGraph:
-    """A document `{nodes: [...], edges: [...]}`; one that cannot be read gives an empty graph."""
+    """What `write_json` wrote, or a document `{nodes: [...], edges: [...]}`; one that cannot be read gives an empty graph."""
+    if _exists(spark, f"{path}/nodes"):
+        g = CodeGraph.of(spark.read.schema(NODES).json(f"{path}/nodes"), spark.read.schema(EDGES).json(f"{path}/edges"))
+        return CodeGraph(g.nodes, g.edges, spark.read.json(f"{path}/graph_meta") if _exists(spark, f"{path}/graph_meta") else None)
     raw = spark.read.schema("nodes array<map<string,string>>, edges array<map<string,string>>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
     def of(col: str, schema) -> DataFrame:
