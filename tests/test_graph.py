@@ -170,11 +170,6 @@ def test_freshness_and_confidence(spark):
     assert [r.level for r in navigation.confidence(rows).orderBy("k").collect()] == ["high", "medium", "low"]
 
 
-def test_budget():
-    lines, trimmed = navigation.within_budget([("a", ["x" * 300] * 2, 2, False), ("b", ["y" * 300] * 6, 1, True)], 300)
-    assert trimmed and [x[0] for x in lines] == ["x", "x"]
-
-
 def test_search_and_features(spark, flow):
     assert search.query_variants("useOrderList") == [("useOrderList", "raw"), ("use-order-list", "kebab"), ("use_order_list", "snake"), ("use order list", "spaced"), ("use", "token"), ("Order", "token"), ("List", "token")]
     assert search.find(flow, "query::load").first().id == "Query::load"

@@ -136,22 +136,3 @@ def locate(graph: CodeGraph, query: str, depth: int = 3, limit: int = 12, files:
     penalty = F.when(F.col("matched"), 0).otherwise(file_role_penalty(F.col("file")))
     ranked = match.unionByName(chain).unionByName(routes).where("file IS NOT NULL").select("id", "file", (F.col("base") + semantic_bonus(short_label(F.col("id")), F.col("file")) - penalty).alias("score"))
     return ranked.groupBy("file").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("id")).orderBy(F.desc("score"), "file").limit(files)
-
-
-def within_budget(sections: list[tuple[str, list[str], int, bool]], tokens: int) -> tuple[list[str], bool]:
-    """Lines of sections (name, lines, lines to keep, may go) that fit a budget; the last sections shrink first, then go."""
-    import math
-
-    own = [[name, list(lines), keep, may] for name, lines, keep, may in sections]
-    size = lambda: math.ceil(len("\n".join(x for s in own for x in s[1])) / 3.5)
-    trimmed = False
-    while size() > max(200, tokens):
-        long = next((s for s in reversed(own) if len(s[1]) >= s[2] + 2), None)
-        if long:
-            long[1].pop()
-        elif (gone := next((s for s in reversed(own) if s[3]), None)) is not None:
-            own.remove(gone)
-        else:
-            break
-        trimmed = True
-    return [x for s in own for x in s[1]], trimmed
