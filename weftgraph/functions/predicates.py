@@ -126,57 +126,73 @@ def test_file(file: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+# What a file's role takes off a score; what words of a label or file name add; what edges add that tie files of one feature; tiers of an impact score.
+ROLE_PENALTIES = {"test": 900, "fixture": 700, "migration": 450}
+SEMANTIC_BONUSES = (("query|repository|filter", 150), ("request|dto|validator", 100), ("service|usecase|action", 80), ("generator|transformer|resource", 60), ("controller", 40))
+EDGE_BONUSES = (
+    (("REGISTERED_AS", "RESOLVES_VIA_REGISTRY", "RENDERS_DYNAMIC"), 330),
+    (("ROUTES_TO", "HTTP_REQUEST", "HANDLED_BY"), 280),
+    (("CALLS", "DEPENDS_ON", "RENDERS_COMPONENT"), 210),
+    (("IMPORTS", "REFERENCES"), 130),
+)
+OTHER_EDGE = 80
+RISK_TIERS = ((40, "CRITICAL"), (20, "HIGH"), (8, "MEDIUM"))
+# Roles of files in a feature, in the order in which they are tried: role, pattern of the lower-cased path (null: none), node type that also means it.
+FEATURE_ROLES = (
+    ("test", r"(^|/)(test|tests|__tests__)/|\.(spec|test|stories)\.[^.]+$", None),
+    ("route", r"(^|/)routes?/", "route"),
+    ("controller", "controller", None),
+    ("service", "service", None),
+    ("repository", "repositor|querybuilder|/query/", None),
+    ("model", "model", None),
+    ("composable", None, None),
+    ("registry", "registr|componentmap|modulemap", "component_registry"),
+    ("component", r"\.vue$", "vue_component"),
+    ("resource", r"(^|/)(api)?resources?/(?!assets/)|resources?\.php$|serializer|transformer", None),
+    ("config", r"config|\.config\.", None),
+)
+COMPOSABLE = "composable|/use[A-Z]"
+
+
+def _first_of(rules: list[tuple[Column, object]], otherwise: object) -> Column:
+    """The value of the first rule that holds."""
+    out = F.lit(otherwise)
+    for test, value in reversed(rules):
+        out = F.when(test, value).otherwise(out)
+    return out
+
+
 def file_role_penalty(file: Column) -> Column:
     """How much a file's role takes off its score."""
     role = file_role(file)
-    return F.when(role == "test", 900).when(role == "fixture", 700).when(role == "migration", 450).otherwise(0)
+    return _first_of([(role == name, value) for name, value in ROLE_PENALTIES.items()], 0)
 
 
 def semantic_bonus(label: Column, file: Column) -> Column:
     """What a label and file name add to a score."""
     text = F.lower(F.concat_ws(" ", label, F.substring_index(F.coalesce(file, F.lit("")), "/", -1)))
-    rules = (("query|repository|filter", 150), ("request|dto|validator", 100), ("service|usecase|action", 80), ("generator|transformer|resource", 60), ("controller", 40))
-    out = F.lit(0)
-    for pattern, value in reversed(rules):
-        out = F.when(text.rlike(pattern), value).otherwise(out)
-    return out
+    return _first_of([(text.rlike(pattern), value) for pattern, value in SEMANTIC_BONUSES], 0)
 
 
 def feature_file_role(file: Column, types: Column) -> Column:
     """One of twelve roles that a file plays in a feature."""
-    slashed = F.translate(file, "\\", "/")
-    low = F.lower(slashed)
-    has = lambda t: F.array_contains(types, t)
-    return (
-        F.when(low.rlike(r"(^|/)(test|tests|__tests__)/|\.(spec|test|stories)\.[^.]+$"), "test")
-        .when(low.rlike(r"(^|/)routes?/") | has("route"), "route")
-        .when(low.contains("controller"), "controller")
-        .when(low.contains("service"), "service")
-        .when(low.rlike("repositor|querybuilder|/query/"), "repository")
-        .when(low.contains("model"), "model")
-        .when(slashed.rlike("composable|/use[A-Z]"), "composable")
-        .when(has("component_registry") | low.rlike("registr|componentmap|modulemap"), "registry")
-        .when(low.rlike(r"\.vue$") | has("vue_component"), "component")
-        .when(low.rlike(r"(^|/)(api)?resources?/(?!assets/)|resources?\.php$|serializer|transformer"), "resource")
-        .when(low.rlike(r"config|\.config\."), "config")
-        .otherwise("other")
-    )
+    path = F.translate(file, "\\", "/")
+
+    def holds(role: str, pattern: str | None, kind: str | None) -> Column:
+        by_path = path.rlike(COMPOSABLE) if role == "composable" else F.lower(path).rlike(pattern)  # only this one minds case
+        return by_path | F.array_contains(types, kind) if kind else by_path
+
+    return _first_of([(holds(*rule), rule[0]) for rule in FEATURE_ROLES], "other")
 
 
 def edge_bonus(type: Column) -> Column:
     """How strongly an edge ties two files of one feature."""
-    return (
-        F.when(type.isin("REGISTERED_AS", "RESOLVES_VIA_REGISTRY", "RENDERS_DYNAMIC"), 330)
-        .when(type.isin("ROUTES_TO", "HTTP_REQUEST", "HANDLED_BY"), 280)
-        .when(type.isin("CALLS", "DEPENDS_ON", "RENDERS_COMPONENT"), 210)
-        .when(type.isin("IMPORTS", "REFERENCES"), 130)
-        .otherwise(80)
-    )
+    return _first_of([(type.isin(*types), value) for types, value in EDGE_BONUSES], OTHER_EDGE)
 
 
 def risk(score: Column) -> Column:
     """Tier of an impact score."""
-    return F.when(score >= 40, "CRITICAL").when(score >= 20, "HIGH").when(score >= 8, "MEDIUM").otherwise("LOW")
+    return _first_of([(score >= least, tier) for least, tier in RISK_TIERS], "LOW")
 
 
 def risk_order(tier: Column) -> Column:
