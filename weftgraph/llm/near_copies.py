@@ -14,7 +14,9 @@ are joined to components.
 
 Fingerprints only find most links cheaply; what they miss is found exactly. Two sets of a similarity of 0.8 share one of the
 first fifth of their shingles in any common order, so the texts of different components that share one there, and that
-sizes and sketches (parities of the shingles by hash, which bound how many two sets share) leave possible, are verified too.
+sizes and sketches (parities of the shingles by hash, which bound how many two sets share) leave possible, are verified too. Few
+texts that share a token are paired at once; of many, only who they are leaves the task, each distinct group once, and they are
+compared on whole sketches in blocks, two blocks to a task, so that what cannot be a link never becomes a row.
 Common shingles come last in that order; which are common is taken from a sample and decides the speed only. Of each
 component over all links the document with the smallest id stays.
 
@@ -44,8 +46,8 @@ APART = 0.1515
 STEP = 1 << 13
 #: Texts of the sample (or one of as many, if more) that tells common shingles, and how many of those come last in the order.
 SAMPLE, ONE_OF, COMMON = 4000, 50, 100_000
-#: 64-bit words of the short sketch, which is also the least sketch; members of a token's group that are compared at once.
-FOLDED, GROUP = 2, 16
+#: 64-bit words of the short sketch, which is also the least sketch; members of a token's group that are paired at once, and of a larger one's blocks.
+FOLDED, GROUP, BLOCK = 2, 16, 2048
 
 
 def width_for(texts: int) -> int:
@@ -211,47 +213,78 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one part whose texts share a token, are of different components, and of near enough sizes and short sketches."""
+    """Of one part: pairs (a, b) of small groups whose texts share a token, are of different components, and of near enough sizes and short sketches;
+    members (group, same) of larger groups, which are not paired here. Groups of the same members are one."""
     token, same, root, size, s0, s1 = (table[c].to_numpy() for c in ("token", "same", "root", "size", "s0", "s1"))
-    order = np.lexsort((root, token))
+    order = np.lexsort((same, root, token))
     token, same, root, size = token[order], same[order], root[order], size[order].astype(np.int64)
     short = np.stack([s0, s1], 1).view(np.uint64)[order]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(token)))
     several = root[first] != root[first + counts - 1]  # sorted by component: others than one
-    found, held, limit = [np.zeros((0, 2), np.int64)], 0, 1 << 20
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal held, limit
+    found = [np.zeros((0, 2), np.int64)]
+    small = np.repeat(several & (counts <= GROUP), counts)
+    for off in range(1, GROUP):
+        i = np.flatnonzero(small[:-off] & (token[off:] == token[:-off]))
+        j = i + off
         fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
         i, j = i[fits], j[fits]
         # sets of SIMILARITY differ in this share of their members at most, and sketches in no more bits
         near = np.bitwise_count(short[i] ^ short[j]).sum(1, dtype=np.int64) * (1 + SIMILARITY) <= (1 - SIMILARITY) * (size[i] + size[j]) + 1e-6
         a, b = same[i[near]], same[j[near]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        held += len(a)
-        if held > limit:  # pairs that several tokens give are kept once
-            found[:] = [np.unique(np.concatenate(found), axis=0)]
-            held = len(found[0])
-            limit = max(limit, 2 * held)
-
-    small = np.repeat(several & (counts <= GROUP), counts)
-    for off in range(1, GROUP):
-        i = np.flatnonzero(small[:-off] & (token[off:] == token[:-off]))
-        add(i, i + off)
-    large = several & (counts > GROUP)
-    for at, n in zip(first[large].tolist(), counts[large].tolist(), strict=True):
-        end = at + n
-        for i in range(at, end - 1):
-            later = int(np.searchsorted(root[at:end], root[i], "right")) + at
-            if later == end:
-                break
-            j = np.arange(later, end)
-            add(np.full(len(j), i), j)
     pairs = np.unique(np.concatenate(found), axis=0)
+    members: dict[int, np.ndarray] = {}
+    for at, n in zip(first[several & (counts > GROUP)].tolist(), counts[several & (counts > GROUP)].tolist(), strict=True):
+        own = np.sort(same[at : at + n])
+        key = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+        members[key] = own if key not in members else np.union1d(members[key], own)  # unlike groups of equal hash are one larger group
+    rows = np.concatenate([np.zeros(0, np.int64), *members.values()])
+    groups = np.repeat(np.array(list(members), np.int64), [len(m) for m in members.values()])
+    none = pa.nulls(len(pairs), pa.int64())
+    cols = [pa.chunked_array([x, y], pa.int64()) for x, y in ((pa.array(pairs[:, 0]), pa.nulls(len(rows), pa.int64())), (pa.array(pairs[:, 1]), pa.nulls(len(rows), pa.int64())), (none, pa.array(groups)), (none, pa.array(rows)))]
+    return pa.table(cols, names=["a", "b", "group", "same"])
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Pairs of one block of a large group that are of different components and that sizes and whole sketches allow: nothing else leaves the task."""
+    size = table["size"].to_numpy().astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    size, same, root = size[order], table["same"].to_numpy()[order], table["root"].to_numpy()[order]
+    sketches = table["sketch"].to_pylist()
+    sketches = [np.frombuffer(sketches[k], np.uint8) for k in order.tolist()]
+    widths = np.array([len(x) for x in sketches])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for width in np.unique(widths).tolist():
+        # a larger set within SIMILARITY has a sketch as wide, or one twice as wide, which is folded
+        of = np.flatnonzero((widths == width) | (widths == 2 * width))
+        bits = np.stack([x if len(x) == width else x[:width] ^ x[width:] for x in (sketches[k] for k in of.tolist())]).view(np.uint64)
+        own, n = of[widths[of] == width], size[of]
+        place = np.searchsorted(of, own)
+        for i, at in zip(own.tolist(), place.tolist(), strict=True):
+            end = int(np.searchsorted(n, size[i] / SIMILARITY + 1e-6, "right"))
+            for lo in range(at + 1, end, 4096):
+                j = np.arange(lo, min(end, lo + 4096))
+                total = size[i] + n[j]
+                both = (total - np.bitwise_count(bits[j] ^ bits[at]).sum(1, dtype=np.int64)) // 2  # at most
+                j = j[(both >= SIMILARITY * (total - both) - 1e-9) & (root[of[j]] != root[i])]
+                left.append(np.full(len(j), same[i]))
+                right.append(same[of[j]])
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _large(members: DataFrame, prints: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of the large groups (group, same), each group in blocks of about BLOCK members; each two blocks meet in a task."""
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("same", F.lit(1)), F.col("blocks")).cast("int")
+    each = members.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("group", "same", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = each.join(prints.select("same", "size", "sketch"), "same").join(roots.select("same", "root"), "same")
+    return rows.repartition(parts, "group", "i", "j").groupBy("group", "i", "j").applyInArrow(_block, "a long, b long")
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches and sizes allow SIMILARITY."""
     for batch in batches:
@@ -317,10 +350,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # the rest, exactly: texts of different components that share a token of their prefixes
     placed = prints.select("same", "size", "first", "sketch").join(connected(links), F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"), "size", "first", "sketch")
     tokens = placed.mapInArrow(_tokens, "token long, same long, root long, size int, s0 long, s1 long").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
-    across = tokens.repartition(parts // 2, "part").groupBy("part").applyInArrow(_across, "a long, b long").distinct()
+    met = written(tokens.repartition(parts // 2, "part").groupBy("part").applyInArrow(_across, "a long, b long, group long, same long"))
+    across = met.where("group IS NULL").select("a", "b").distinct()
+    large = _large(met.where("group IS NOT NULL").select("group", "same").distinct(), prints, placed, parts // 2)
     of = lambda end, blob, size: prints.select(F.col("same").alias(end), F.col("sketch").alias(blob), F.col("size").alias(size))
     possible = across.join(of("a", "x", "p"), "a").join(of("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_possible, "a long, b long")
-    roots = connected(links.unionByName(_verified(texts, written(possible))))
+    roots = connected(links.unionByName(_verified(texts, written(possible.unionByName(large).distinct()))))
     grouped = prints.select("same", "id").join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))
     # one text of each component: that of the smallest id, null last
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "same")).alias("least")).select(F.col("least.same").alias("same"))
