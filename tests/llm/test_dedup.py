@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -327,3 +328,29 @@ def test_sketches_bound_how_many_hashes_differ():
         if n > 64:  # about as many as parities of random places differ in
             differ, bits = n + m - 2 * both, 8 * min(len(near_copies.sketch(a)), len(near_copies.sketch(b)))
             assert got > 0.75 * bits / 2 * (1 - np.exp(-2 * differ / bits))
+
+
+def test_groups_of_a_shared_token_lose_no_link(spark, monkeypatch):
+    """Small groups give pairs, larger ones members whose blocks are compared on sketches: together at least all links, and no pair within a component."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(1, 2**63, 900).astype(np.uint64)
+    sets = []
+    for k in range(60):
+        n = int(rng.integers(40, 900))
+        own = np.unique(np.concatenate([base[: n - n // rng.integers(4, 12)], rng.integers(1, 2**63, n // 8).astype(np.uint64)]))
+        sets.append(own)
+    sets += [np.unique(np.append(sets[k], rng.integers(1, 2**63, 3).astype(np.uint64))) for k in range(0, 60, 2)]
+    root = [k if k < 85 else 85 for k in range(len(sets))]
+    link = lambda a, b: len(np.intersect1d(a, b)) >= near_copies.SIMILARITY * len(np.union1d(a, b))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if root[i] != root[j] and link(sets[i], sets[j])}
+    sketches = [near_copies.sketch(s) for s in sets]
+    blocks = pa.table({"size": pa.array([len(s) for s in sets], pa.int32()), "same": pa.array(range(len(sets)), pa.int64()), "root": pa.array(root, pa.int64()), "sketch": sketches})
+    got = set(zip(*(c.to_pylist() for c in near_copies._block(blocks).columns)))
+    assert want and want <= got and all(root[i] != root[j] for i, j in got) and len(got) < 200  # of 4005
+    assert near_copies._block(blocks.slice(0, 0)).num_rows == 0
+    # the same through Spark, in blocks of seven
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    members = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(g - 1, len(sets))], "`group` long, same long")
+    prints = spark.createDataFrame([(i, len(s), bytearray(k)) for i, (s, k) in enumerate(zip(sets, sketches))], "same long, size int, sketch binary")
+    roots = spark.createDataFrame(list(enumerate(root)), "same long, root long")
+    assert {(r.a, r.b) for r in near_copies._large(members, prints, roots, 8).collect()} == got
