@@ -39,7 +39,7 @@ def test_registry(spark):
     assert got[("r", "M", "client")] == ("c/M.client.vue", False) and got[("r", "M", "server")][0] == "c/M.server.vue" and got[("r", "M", "all")][0] == "c/M.vue"
     assert got[("r", "N", "client")][0] == "c/N.client.vue" and got[("r", "N", "all")][0] == "c/n.vue"
     assert got[("q", "BigB", "all")] == ("d/B.vue", False) and got[("q", "BigA", "all")] == ("d/In/A.vue", False)
-    assert len(got) == 9
+    assert got[("r", "InA", "all")] == ("d/In/A.vue", False) and len(got) == 10
     assert registry(spark, [], dirs) == {} and registry(spark, files, []) == {}
 
 
