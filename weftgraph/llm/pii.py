@@ -17,7 +17,12 @@ All of it is column expressions. Texts are read once to find mentions, which are
 in, joined by document. Only mentions and distinct entities are grouped. A mention in very many documents is one row of the
 surrogate table; Spark splits its side of the join if it is skewed.
 
-Not detected: names without a title and without a known given name, postal addresses, dates of birth, national phone forms other
+Names may have inner capitals (McDonald), apostrophes (O'Brien, d'Arc), hyphens, initials, and particles (van der Berg), which belong to the family name
+that follows. Latin, Cyrillic, Greek and Armenian names get names of their own script. A name ends before words that begin sentences
+(The, Der, Il and others); other capitalised words after it count as its parts, up to three.
+
+Not detected: names without a title and without a known given name, names in capitals only or in scripts without case (Arabic, Chinese, Georgian and others), names behind other
+titles. Names in other scripts with case get Latin ones, and family names don't follow the gender. Nor are found: postal addresses, dates of birth, national phone forms other
 than the one above, other identity documents, and secrets without a prefix or key word that aren't hexadecimal.
 
 Null texts stay null and hold no entities. Rows with null or repeated ids, and repeated rows, are each replaced; an empty table
@@ -33,7 +38,7 @@ from weftgraph.llm.common import checkpointed, written
 
 #: Draws after which a surrogate is made longer (of names there are few, so those grow from the second draw on).
 DRAWS = 4
-MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа"
+MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа|Κυρία"
 TITLES = f"{MALE}|{FEMALE}|Dr|Prof"
 #: Given and family names by script and gender: fixed lists.
 NAMES = {
@@ -47,16 +52,35 @@ NAMES = {
         "female": "Анна Вера Галина Дарья Елена Ирина Ксения Лидия Мария Нина".split(),
         "family": "Белов Волков Громов Дроздов Ершов Жуков Зимин Козлов Лебедев Морозов".split(),
     },
+    "greek": {
+        "male": "Αλέξανδρος Βασίλης Γιάννης Δημήτρης Ηλίας Κώστας Λάμπρος Μιχάλης Νίκος Πέτρος".split(),
+        "female": "Αθηνά Βασιλική Γεωργία Δήμητρα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+        "family": "Αντωνίου Βλάχος Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Λάμπρου Νικολάου Παππάς Σταύρου".split(),
+    },
+    "armenian": {
+        "male": "Արամ Արմեն Գարիկ Դավիթ Հայկ Կարեն Նարեկ Սուրեն Տիգրան Վահան".split(),
+        "female": "Անահիտ Անի Արփի Գայանե Լիլիթ Լուսինե Մարիամ Նարե Նունե Շուշան".split(),
+        "family": "Աբրահամյան Գրիգորյան Դավթյան Հակոբյան Մարտիրոսյան Ներսիսյան Պետրոսյան Սարգսյան Վարդանյան Օհանյան".split(),
+    },
 }
 #: Given names that mark a name without a title, by gender: those above and common others.
 KNOWN = {
-    "male": [*NAMES["latin"]["male"], *NAMES["cyrillic"]["male"], *"John James Michael William Richard Joseph Thomas Charles Peter Hans Klaus Pierre Jean Luis Carlos José Juan Pablo Luca Marco Giovanni Александр Сергей Дмитрий".split()],
-    "female": [*NAMES["latin"]["female"], *NAMES["cyrillic"]["female"], *"Mary Jennifer Linda Elizabeth Susan Sarah Karen Anna Erika Ursula Sabine Marie Camille Isabelle Carmen Lucía Ana Giulia Chiara Francesca Ольга Татьяна Наталья".split()],
+    "male": [*(n for names in NAMES.values() for n in names["male"]), *"John James Michael William Richard Joseph Thomas Charles Peter Hans Klaus Pierre Jean Luis Carlos José Juan Pablo Luca Marco Giovanni Александр Сергей Дмитрий".split()],
+    "female": [*(n for names in NAMES.values() for n in names["female"]), *"Mary Jennifer Linda Elizabeth Susan Sarah Karen Anna Erika Ursula Sabine Marie Camille Isabelle Carmen Lucía Ana Giulia Chiara Francesca Ольга Татьяна Наталья".split()],
 }
 #: Words that a secret follows, and prefixes of keys.
 WORDS = r"(?i:pass(?:word|wd|phrase)|pwd|secret|(?:access|auth)[_-]?token|token|(?:api|access|private)[_-]?key)[\"']?[ \t]?[=:][ \t]?[\"']?"
 PREFIXES = r"AKIA(?=[0-9A-Z]{16})|[sprk]k[-_](?=[A-Za-z0-9_-]{16})|gh[pousr]_(?=[A-Za-z0-9]{20})|xox[abpr]-(?=[A-Za-z0-9-]{10})|AIza(?=[0-9A-Za-z_-]{35})"
-_NAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
+#: Lower-case words of family names, and capitalised ones that begin a sentence after a name.
+PARTICLES = "van von vom der den de del della di da dos du ten ter zu zur bin ibn af av".split()
+NO_NAMES = (
+    "The This That These Those He She It We They You His Her Their But And Then When After Before If In On At"
+    " Der Die Das Den Dem Ein Eine Er Sie Es Wir Ihr Und Aber Dann Wenn Als Im Am Le La Les Un Une Il Elle Ils Elles Nous Vous Et Mais Puis Quand"
+    " El Los Las Una Ella Ellos Nosotros Pero Cuando Entonces Lo Gli Uno Lui Lei Noi Voi Loro Ma Quando Он Она Они Мы Вы Это Но Когда Потом"
+).split()
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+(?:['’]\p{L}\p{Ll}++)?+"
+_NAME = rf"(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}'’-]))(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}+(?:[dl]['’])?{_WORD}(?:-{_WORD})*+"
+_INITIALS = r"(?:\p{Lu}\. ?(?=\p{Lu})){0,3}+"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
 # Each branch looks at one character first, so that most places cost little.
 PATTERN = "|".join(
@@ -72,8 +96,8 @@ PATTERN = "|".join(
         r"(?=[(0-9])(?<![0-9A-Za-z.(+-])(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}(?![0-9-])",
         r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?=[0-9])(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-        rf"(?=[MHSFDPг])(?<!\p{{L}})(?:{TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
-        rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(dict.fromkeys([*KNOWN['male'], *KNOWN['female']]))}) {_NAME}(?: {_NAME})?",
+        rf"(?=[MHSFDPгΚ])(?<!\p{{L}})(?:{TITLES})\.? {_INITIALS}{_NAME}(?: {_INITIALS}{_NAME}){{0,2}}",
+        rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(dict.fromkeys([*KNOWN['male'], *KNOWN['female']]))}) {_INITIALS}{_NAME}(?: {_NAME})?",
     ]
 )
 
@@ -130,6 +154,10 @@ def _name(script: str) -> str:
     return f"CASE {cases} END"
 
 
+def _of_script(script: str) -> str:
+    return f"WHEN identity RLIKE r'\\p{{Is{script.capitalize()}}}' THEN {_name(script)}"
+
+
 def _luhn(body: str) -> str:
     """The check digit of a number."""
     d = f"cast(substr({body}, length({body}) - i, 1) AS int)"
@@ -161,7 +189,7 @@ def _surrogate() -> str:
         f" WHEN 'phone' THEN concat(substr(identity, 1, 1), {_shaped('substr(identity, 2)', 'abcdef')}, {_more(digits)})"
         f" WHEN 'ssn' THEN concat({_shaped('identity', 'abcdef')}, {_more(digits)})"
         f" WHEN 'card' THEN transform(array(concat(substr(identity, 1, 1), {card})), b -> concat(b, {_luhn('b')}))[0]"
-        f" ELSE CASE WHEN identity RLIKE r'\\p{{IsCyrillic}}' THEN {_name('cyrillic')} ELSE {_name('latin')} END END"
+        f" ELSE CASE {' '.join(_of_script(s) for s in NAMES if s != 'latin')} ELSE {_name('latin')} END END"
     )
 
 
@@ -178,6 +206,10 @@ def _rendered(v: str, kind: str, s: str) -> str:
     return f"CASE WHEN {kind} IN ('phone', 'ssn', 'card') THEN {filled('[0-9]', own)} WHEN {kind} = 'iban' THEN {filled('[0-9A-Z]', s)} WHEN {kind} = 'email' THEN {cased} WHEN {kind} = 'secret' THEN {hexadecimal} WHEN {kind} = 'ipv6' THEN CASE WHEN {v} = upper({v}) THEN upper({s}) ELSE {s} END ELSE {s} END"
 
 
+#: Between the parts of a name: a space, but not one after a particle.
+_BREAK = rf"(?<!(?:^| )(?:{'|'.join(PARTICLES)})) "
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """(_id, _hash, at, k, before, value, kind, identity, gender): every mention of every document, of names each part (k); `before` stays as it is."""
     found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.posexplode_outer(F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))).alias("at", "all")).where("all IS NOT NULL")
@@ -185,9 +217,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     fixed = f"CASE kind WHEN 'secret' THEN regexp_extract(all, r'^{_sql(WORDS)}', 0) WHEN 'person' THEN regexp_extract(all, r'^(?:{TITLES})\\.? ', 0) ELSE '' END"
     each = each.withColumn("fixed", F.expr(fixed)).withColumn("value", F.expr("substr(all, length(fixed) + 1)"))
     gender = f"CASE WHEN kind <> 'person' THEN NULL WHEN fixed RLIKE r'^(?:{MALE})\\b' THEN 'male' WHEN fixed RLIKE r'^(?:{FEMALE})\\b' THEN 'female' END"
-    part = "struct(k, CASE WHEN k = 0 THEN fixed ELSE ' ' END AS before, p AS value, CASE WHEN k = size(w) - 1 THEN 'family' ELSE 'given' END AS kind, lower(p) AS identity)"
+    part = "struct(k, CASE WHEN k = 0 THEN fixed ELSE ' ' END AS before, p AS value, CASE WHEN k = size(w) - 1 THEN 'family' ELSE 'given' END AS kind, translate(lower(p), '’', chr(39)) AS identity)"
     whole = f"array(struct(0 AS k, fixed AS before, value, kind, {_identity('kind', 'value')} AS identity))"
-    parts = F.expr(f"CASE WHEN kind = 'person' THEN transform(array(split(value, ' ')), w -> transform(w, (p, k) -> {part}))[0] ELSE {whole} END")
+    parts = F.expr(f"CASE WHEN kind = 'person' THEN transform(array(split(value, r'{_BREAK}')), w -> transform(w, (p, k) -> {part}))[0] ELSE {whole} END")
     return each.select("_id", "_hash", "at", F.expr(gender).alias("gender"), F.explode(parts).alias("p")).select("_id", "_hash", "at", "p.*", "gender")
 
 
