@@ -303,6 +303,21 @@ def test_ann_on_odd_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+def test_ann_finds_enough(spark, monkeypatch):
+    """One short list for each query, and rows that stand there three times: whoever finds too few is compared with all."""
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "LIST", 4)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(700)]
+    table = spark.createDataFrame(rows * 3 + [(i, rows[0][1]) for i in range(700, 730)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    want = _brute_nearest(rows + [(i, rows[0][1]) for i in range(700, 730)])
+    assert {q: [j for _, j in x] for q, x in got.items()} == {q: [j for _, j in x] for q, x in want.items()}
+
+
 def test_ann_recall_with_many_lists(spark, monkeypatch):
     """Many more lists than a query searches, vectors without clusters, and lists whose queries are dealt out."""
     monkeypatch.setattr(ann, "QUERIES", 20)

@@ -11,10 +11,11 @@ bounds (with 64 components a list for each 256 vectors up to some 30 million of
 work with them). The centroids and their graph are the only thing broadcast: a quarter of SAMPLE_BYTES and DEGREE + FAR
 numbers for each. Lists are split into blocks of about `BLOCK` vectors by hash, and the queries of a list into blocks of
 `QUERIES`, so a list that many equal vectors or very many queries fall into is shared out among tasks; each block of
-queries visits all blocks of vectors. Equal queries are searched once.
+queries visits all blocks of vectors. Equal queries are searched once. A query whose lists hold too few vectors is compared with all
+vectors, in the same blocks, so none gets fewer results than there are.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; neither do null ids. Repeated
-ids are separate candidates for others, but no row is a candidate for its own id. Ties go to the smaller id. With no
+Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; neither do null ids. Repeated rows count once; other rows with the same
+id are separate candidates for others, but no row is a candidate for its own id. Ties go to the smaller id. With no
 valid vector or no query the result is empty.
 """
 
@@ -114,7 +115,7 @@ def graph_of(centroids: np.ndarray) -> Graph:
     norms = (centroids**2).sum(1)
     for lo in range(0, k, 256):
         d = norms[None, :] - 2 * centroids[lo : lo + 256] @ centroids.T
-        near[lo : lo + 256] = np.argsort(d, axis=1)[:, : near.shape[1]]
+        near[lo : lo + 256] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
     links = np.hstack([near, rng.integers(0, k, (k, FAR))])
     return Graph(centroids, links, rng.permutation(k)[: min(k, 16)])
 
@@ -158,20 +159,38 @@ def _lists(rows: DataFrame, graph: Graph, ratio: float, most: int) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, list int")
 
 
-def _compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The nearest vectors of a block for each query: one more than K, as the query itself may be among them."""
+def _compare(vectors: pd.DataFrame, queries: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The `most` nearest vectors of a block for each query."""
     out = []
     if len(vectors) and len(queries):
         ids, v = vectors["id"].to_numpy(), np.stack(vectors["v"].to_numpy())
+        if len(np.unique(ids)) < len(ids):  # repeated rows, which are always in one block, count once
+            _, first = np.unique(np.column_stack([ids.view(np.float64), v + 0.0]).view(f"V{8 * (v.shape[1] + 1)}"), return_index=True)
+            ids, v = ids[first], v[first]
         for q, w in zip(queries["id"], queries["v"], strict=True):
             d = np.sqrt(((v - w) ** 2).sum(1))
             # every row at least as near as the last one wanted, then ties by id
-            near = np.flatnonzero(d <= np.partition(d, min(len(d), K + 1) - 1)[min(len(d), K + 1) - 1])
-            near = near[np.lexsort((ids[near], d[near]))][: K + 1]
+            near = np.flatnonzero(d <= np.partition(d, min(len(d), most) - 1)[min(len(d), most) - 1])
+            near = near[np.lexsort((ids[near], d[near]))][:most]
             out.append(pd.DataFrame({"query": q, "id": ids[near], "score": d[near]}))
     return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
 
 
+def _nearest(filed: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(query, id, score): for each of `asked` the `most` nearest vectors of its lists. Lists are dealt in blocks of vectors and of queries."""
+    # a row for each list, of which there are no more than centroids
+    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list")
+    sizes = checkpointed(sizes)
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    placed = filed.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("blocks").alias("block"), every_of("turns").alias("turn"))
+    asked = asked.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("turns").alias("turn"), every_of("blocks").alias("block"))
+    keys = ["list", "block", "turn"]
+    found = placed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(lambda a, b: _compare(a, b, most), "query long, id long, score double")
+    near = Window.partitionBy("query").orderBy("score", "id")
+    return found.distinct().withColumn("n", F.row_number().over(near)).where(F.col("n") <= most).drop("n")
+
+
 def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = QUERY_EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
@@ -190,17 +209,13 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     distinct = checkpointed(queries.groupBy("v").agg(F.min("id").alias("id")))
     filed = written(_lists(rows, graph, CLOSURE, COPIES))
     asked = written(_lists(distinct, graph, PROBE_RATIO, PROBES))
-    # a row for each list, of which there are no more than centroids
-    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "list")
-    sizes = checkpointed(sizes)
-    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    placed = filed.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("blocks").alias("block"), every_of("turns").alias("turn"))
-    asked = asked.join(F.broadcast(sizes), "list").select("id", "v", "list", dealt("turns").alias("turn"), every_of("blocks").alias("block"))
-    keys = ["list", "block", "turn"]
-    found = placed.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(lambda a, b: _compare(a, b), "query long, id long, score double")
-    near = Window.partitionBy("query").orderBy("score", "id")
-    best = found.distinct().withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
+    best = written(_nearest(filed, asked, k + 1))  # one more, as the query itself may be among them
+    # where the lists that a query searches hold too few vectors, all of them are compared, in blocks
+    short = best.groupBy(F.col("query").alias("id")).count().where(F.col("count") >= min(k + 1, count))
+    short = checkpointed(distinct.join(short, "id", "left_anti"))
+    if not short.isEmpty():
+        whole = _nearest(rows.select("id", "v", F.lit(0).alias("list")), short.select("id", "v", F.lit(0).alias("list")), k + 1)
+        best = best.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(whole)
     own = queries.alias("q").join(distinct.select(F.col("v").alias("w"), F.col("id").alias("query")), F.col("v") == F.col("w")).select(F.col("q.id").alias("query_id"), "query").distinct()
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
     pairs = own.join(best.select("query", F.col("id").alias("vec_id"), "score"), "query").where("vec_id <> query_id")
