@@ -12,7 +12,7 @@ work with them). The centroids and their graph are the only thing broadcast: a q
 numbers for each. Lists are split into blocks of about `BLOCK` vectors by hash, and the queries of a list into blocks of
 `QUERIES`, so a list that many equal vectors or very many queries fall into is shared out among tasks; each block of
 queries visits all blocks of vectors. Equal queries are searched once. A query whose lists hold too few vectors is compared with all
-vectors, in the same blocks, so none gets fewer results than there are.
+vectors, in the same blocks, so none gets fewer results than there are (but where other vectors have the query's own id: each takes a place).
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; neither do null ids. Repeated rows count once; other rows with the same
 id are separate candidates for others, but no row is a candidate for its own id. Ties go to the smaller id. With no
