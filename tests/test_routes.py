@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.model import CodeGraph
 from weftgraph.operators import navigation, routes, traversal
+from weftgraph.plans import registry
+from weftgraph.plans import requests as request_queries  # noqa: F401  registers its queries
 
 ENDS = [
     ("api:GET:config/settings", "apps/front/routes/api.v3.php"),
@@ -76,3 +78,17 @@ def test_cycles_tell_when_they_stop(spark):
     assert short.count() == 0 and cut_off
     whole, more = traversal.cycles_up_to(g, 6)
     assert [r.length for r in whole.collect()] == [5] and not more
+
+
+def test_middleware_of_a_route_without_limit(spark):
+    nodes = spark.createDataFrame([(f"mw:{i:02}", f"m{i:02}") for i in range(30)], "id string, name string")
+    edges = spark.createDataFrame([("api:GET:/a", f"mw:{i % 30:02}", "USES_MIDDLEWARE") for i in range(60)], "from_id string, to_id string, type string")
+    g = CodeGraph.of(nodes, edges)
+    assert navigation.route_middleware(g, None).count() == 30 and navigation.route_middleware(g).count() == 12
+
+
+def test_middleware_query_gives_all_of_every_route(spark, tmp_path):
+    brands = spark.range(25).selectExpr("150 * id AS p_partkey", "concat('Brand#', id) AS p_brand", "1 AS p_size")
+    brands.write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1).selectExpr("id AS l_suppkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert registry.queries()["g33_route_middleware"](spark, str(tmp_path)).count() == 25

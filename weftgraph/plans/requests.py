@@ -131,7 +131,7 @@ def j4_http_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g33_route_middleware", HTTP_WITH + "SELECT DISTINCT from_id AS endpoint, substr(to_id, 4) AS middleware FROM edges WHERE type = 'USES_MIDDLEWARE'")
 def g33_route_middleware(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Middleware of every route."""
-    return navigation.route_middleware(http_graph(spark, sf_dir))
+    return navigation.route_middleware(http_graph(spark, sf_dir), None)
 
 
 #: Fields that orders read and assign, and flows of arguments.
