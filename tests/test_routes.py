@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.joins import most_rows
 from weftgraph.model import CodeGraph
 from weftgraph.operators import navigation, routes, traversal
 from weftgraph.plans import registry
@@ -92,3 +93,14 @@ def test_middleware_query_gives_all_of_every_route(spark, tmp_path):
     brands.write.parquet(f"{tmp_path}/part.parquet")
     spark.range(1).selectExpr("id AS l_suppkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert registry.queries()["g33_route_middleware"](spark, str(tmp_path)).count() == 25
+
+
+def test_repeated_edges_do_not_multiply(spark):
+    ask = spark.range(3000).selectExpr("concat('c', id % 3) AS from_id", "'http:GET:/api/v1/x' AS to_id", "'HTTP_REQUEST' AS type")
+    rest = spark.range(6000).selectExpr("if(id % 2 = 0, 'http:GET:/api/v1/x', concat('api:GET:/api/v', id % 4, '/x')) AS from_id", "if(id % 2 = 0, concat('api:GET:/api/v', id % 4 + 1, '/x'), concat('C', id % 5, '::act')) AS to_id", "if(id % 2 = 0, 'RESOLVES_TO', 'ROUTES_TO') AS type")
+    g = CodeGraph.of(spark.createDataFrame([("http:GET:/api/v1/x", "http_endpoint"), ("api:GET:/api/v1/x", "api_endpoint"), ("api:GET:/api/v3/x", "api_endpoint")], "id string, type string"), ask.unionByName(rest))
+    got = navigation.http_downstream(g)
+    assert [(r.client, r.handler, r.score) for r in got.orderBy("client", "handler").collect()] == [(f"c{c}", f"C{k}::act", 100) for c in range(3) for k in range(5)]
+    assert len(navigation.http_downstream(g, 2).collect()) == 6
+    # no join gives more rows than there are edges
+    assert most_rows(got) <= 9000
