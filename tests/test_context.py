@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.joins import most_rows
 from weftgraph.functions import text
 from weftgraph.model import CodeGraph
 from weftgraph.operators import context
@@ -88,3 +89,14 @@ def test_several_roots_and_snippets(spark, tmp_path):
     places = spark.createDataFrame([("x", "one/src/a.php", 1), ("y", "app/two/src/a.php", 0), ("z", "one/src/a.php", None), ("w", "gone.php", 0), ("v", "one/src/a.php", 99)], "id string, file string, start_row int")
     got = {r.id: r.lines for r in graphs.snippets(files, places).collect()}
     assert got == {"x": ["3| one();", "5| last"], "y": ["1| <?php", "3| two();"]}
+
+
+def test_route_scoped_entries_meet_only_the_first_clients_and_callers(spark):
+    nodes = spark.range(400).selectExpr("concat('k', lpad(id, 3, '0')) AS id", "'method' AS type").unionByName(spark.createDataFrame([("api:GET:/x", "api_endpoint")], "id string, type string"))
+    asks = spark.range(400).selectExpr("concat('k', lpad(id, 3, '0')) AS from_id", "'api:GET:/x' AS to_id", "'HTTP_REQUEST' AS type")
+    calls = spark.range(400).selectExpr("concat('k', lpad(id, 3, '0')) AS from_id", "'H000' AS to_id", "'CALLS' AS type")
+    pairs = spark.range(400).selectExpr("'api:GET:/x' AS endpoint", "concat('H', lpad(id, 3, '0')) AS handler")
+    got = context.route_scoped_entries(CodeGraph.of(nodes, asks.unionByName(calls)), pairs, 5)
+    rows = got.collect()
+    assert len(rows) == 2000 and {(r.kind, r.from_id) for r in rows} == {("http_client", f"k00{i}") for i in range(5)}
+    assert most_rows(got) <= 2000

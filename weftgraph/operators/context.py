@@ -82,9 +82,11 @@ def find_in(graph: CodeGraph, query: str, scopes: DataFrame, types: list[str] |
 def route_scoped_entries(graph: CodeGraph, pairs: DataFrame, limit: int = 20, include_resolved: bool = False) -> DataFrame:
     """(endpoint, handler, kind, from_id): clients of an endpoint, then callers of its handler, `limit` for each pair (endpoint, handler)."""
     pairs = pairs.select("endpoint", "handler").distinct()
-    clients = http_clients(graph, None).select("endpoint", F.col("client").alias("from_id")).join(pairs, "endpoint").withColumn("kind", F.lit("http_client"))
+    # a pair takes the first of its endpoint's clients and of its handler's callers, so no more than `limit` of each meet the pairs
+    clients = http_clients(graph, limit).select("endpoint", F.col("client").alias("from_id")).join(pairs, "endpoint").withColumn("kind", F.lit("http_client"))
     calls = graph.edges.where(visible_call(include_resolved)).select("from_id", F.col("to_id").alias("handler")).join(pairs.select("handler"), "handler", "left_semi").distinct()
-    known = calls.join(graph.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(pairs, "handler").withColumn("kind", F.lit("call"))
+    callers = top_per_group(calls.join(graph.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi"), ["handler"], ["from_id"], limit)
+    known = callers.join(pairs, "handler").withColumn("kind", F.lit("call"))
     columns = ["endpoint", "handler", "kind", "from_id"]
     return top_per_group(clients.select(*columns).unionByName(known.select(*columns)), ["endpoint", "handler"], [F.desc("kind"), "from_id"], limit)
 
