@@ -179,6 +179,15 @@ def _chooser(pool: DataFrame) -> Choose:
     return choose
 
 
+def pool(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, x): the features of all rows open to training whose id is not in `known`.
+
+    They are made where texts are read, so that the shuffle by id carries features and never texts, at every size.
+    """
+    open_ = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id", "text"))
+    return _with_features(open_, ["doc_id", "key"]).join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("key", "x")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """Train on a bounded sample of labelled rows and all unlabelled ones; the share of good labels if there is only one class."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
@@ -196,9 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     # mixed order, so that the rows set aside are like the others
     shuffled = np.random.default_rng(5).permutation(len(rows))
     y = rows["quality"].to_numpy()[shuffled] == 1
-    open_ = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = _with_features(open_.withColumn("key", F.xxhash64("doc_id", "text")), ["key"])
-    return co_train(text[shuffled], meta[shuffled], y.astype(float), _chooser(written(pool)))
+    return co_train(text[shuffled], meta[shuffled], y.astype(float), _chooser(written(pool(docs, known))))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
