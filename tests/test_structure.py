@@ -6,6 +6,7 @@ import pytest
 
 from weftgraph.model import CodeGraph
 from weftgraph.operators import components, inheritance
+from weftgraph.sources import storage
 
 
 def graph(spark, edges, nodes=()):
@@ -93,3 +94,37 @@ def test_cycles_from_nodes(spark):
     assert components.cycles_from_nodes(g, asked.where("id = 'e'")).collect() == []
     none = spark.createDataFrame([], "src string, dst string, kind string")
     assert components.strongly_connected(none).collect() == [] and components.cycles(none, g.nodes)[0].collect() == []
+
+
+def _step_graph(spark, n, seed):
+    r = random.Random(seed)
+    return {(r.randrange(n), r.randrange(n)) for _ in range(int(n * 1.3))}
+
+
+@pytest.mark.parametrize("serial", [0, 20, 300_000])
+def test_components_are_the_same_wherever_they_are_finished(spark, monkeypatch, serial):
+    monkeypatch.setattr(components, "SERIAL", serial)
+    pairs = _step_graph(spark, 60, 3) | {(60 + i, 60 + (i + 1) % 7) for i in range(7)}
+    reach = {i: {i} for i in range(67)}
+    while any([new - reach[a] and not reach[a].update(new) for a, b in pairs for new in [set(reach[b])]]):
+        pass
+    want = {(i, max(j for j in reach[i] if i in reach[j])) for i in range(67) if any(j != i and i in reach[j] for j in reach[i])}
+    rows = components.strongly_connected(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in pairs], "src string, dst string")).collect()
+    assert {(int(r.id[1:]), int(r.component[1:])) for r in rows} == want and len(rows) == len(want)
+
+
+def test_few_edges_are_finished_in_one_task(spark):
+    tracker, before = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    ring = spark.range(40).selectExpr("concat('n', id) AS src", "concat('n', (id + 1) % 40) AS dst")
+    assert components.strongly_connected(ring).count() == 40
+    assert len(tracker.getJobIdsForGroup(None)) - before < 40
+
+
+def test_shortest_cycles_need_no_longer_paths(spark, monkeypatch):
+    rows = [(f"a{i}", f"b{i}", "CALLS") for i in range(30)] + [(f"b{i}", f"a{i}", "CALLS") for i in range(30)] + [(f"b{i}", f"a{(i + 1) % 30}", "CALLS") for i in range(30)]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string")
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(df.columns) or storage.cut(df))
+    found, more = components.cycles(edges, spark.createDataFrame([], "id string, file string"), longest=12, limit=5)
+    assert [(r.path, r.length) for r in found.orderBy("path").collect()] == [([f"a{i}", f"b{i}"], 2) for i in sorted(range(30), key=str)[:5]] and more
+    assert sum("last" in c for c in cuts) == 1  # paths of two nodes, and none after

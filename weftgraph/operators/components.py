@@ -4,10 +4,14 @@ Components come from colouring: every node takes the name, of those that reach i
 name is a root, and what reaches it, backwards and among nodes of its colour alone, is its component. Nodes that no cycle can pass are dropped before
 every round while they are many, and so are the components found, with all edges between different colours, which lie in no component. Every step is a join of edges with the
 names of their ends and an aggregation with partial results, so a hub's edges don't meet in one task; rounds follow the graph's breadth, not its size.
+Once no more than SERIAL edges are left, rounds over few rows would cost more than the work in them: one task then finishes these, whatever the size of the graph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +20,8 @@ from weftgraph.model import CodeGraph
 from weftgraph.sources.graphs import top_per_group
 from weftgraph.sources.storage import cut
 
-#: Steps between two checkpoints.
-HOPS = 2
+#: Steps between two checkpoints; edges that one task may finish.
+HOPS, SERIAL = 2, 300_000
 
 
 def call_edges(graph: CodeGraph, include_resolved: bool = False, include_depends_on: bool = False) -> DataFrame:
@@ -31,7 +35,7 @@ def call_edges(graph: CodeGraph, include_resolved: bool = False, include_depends
 def trimmed(edges: DataFrame) -> DataFrame:
     """The edges (src, dst, ...) without those that no cycle can pass, as long as a round drops a tenth of them; colouring takes care of the rest."""
     e, before = cut(edges), None
-    while before is None or (n := e.count()) < 0.9 * before:
+    while before is None or SERIAL < (n := e.count()) < 0.9 * before:
         before = n if before is not None else e.count()
         inner = e.select(F.col("src").alias("_n")).distinct().join(e.select(F.col("dst").alias("_n")).distinct(), "_n", "left_semi")
         e = cut(e.join(inner.select(F.col("_n").alias("src")), "src", "left_semi").join(inner.select(F.col("_n").alias("dst")), "dst", "left_semi").select(*edges.columns))
@@ -43,9 +47,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
     Names are hashed so that roots lie anywhere: components are then found in few rounds, whatever the names.
     """
-    e = trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = e.select(F.col("src").alias("id"), F.col("src").alias("component")).where("false")
-    while not e.isEmpty():
+    while (left := e.count()) > 0:
+        if left <= SERIAL:
+            found = cut(found.unionByName(_finished(e)))
+            break
+        e = trimmed(e)
+        if e.count() <= SERIAL:
+            continue
         colour = _coloured(e)
         of = lambda c, name: colour.select(F.col("id").alias(c), F.col("colour").alias(name))
         # an edge between colours lies in no component
@@ -53,11 +63,59 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         own = _backwards(e)
         found = cut(found.unionByName(own.select("id", F.col("colour").alias("component"))))
         done = own.select("id")
-        e = trimmed(e.join(done.select(F.col("id").alias("src")), "src", "left_anti").join(done.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        e = cut(e.join(done.select(F.col("id").alias("src")), "src", "left_anti").join(done.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
     named = found.groupBy("component").agg(F.count("*").alias("n"), F.max("id").alias("largest")).where("n > 1")
     return found.join(named, "component").select("id", F.col("largest").alias("component"))
 
 
+def _finished(e: DataFrame) -> DataFrame:
+    """(id, component): the strongly connected components of SERIAL edges (src, dst) at most, found in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: dict[str, list[str]] = {}
+        for batch in batches:
+            for a, b in zip(batch["src"], batch["dst"], strict=True):
+                ends.setdefault(a, []).append(b)
+                ends.setdefault(b, [])
+        rows = _tarjan(ends)
+        yield pd.DataFrame(rows, columns=["id", "component"])
+
+    return e.select("src", "dst").coalesce(1).mapInPandas(run, "id string, component string")
+
+
+def _tarjan(ends: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(node, a node of its component) for every node."""
+    low: dict[str, int] = {}
+    stack, out, n = [], [], 0
+    done: set[str] = set()
+    for start in ends:
+        todo = [] if start in low else [(start, iter(ends[start]), n)]
+        while todo:
+            v, rest, at = todo[-1]
+            if v not in low:
+                low[v], n = at, n + 1
+                stack.append(v)
+            for w in rest:
+                if w not in low:
+                    todo.append((w, iter(ends[w]), n))
+                    break
+                if w not in done:
+                    low[v] = min(low[v], low[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == at:
+                    while True:
+                        w = stack.pop()
+                        low[w] = len(ends)  # higher than any node still open
+                        done.add(w)
+                        out.append((w, v))
+                        if w == v:
+                            break
+    return out
+
+
 def _coloured(e: DataFrame) -> DataFrame:
     """(id, colour): the name with the largest hash that reaches each node. Only nodes whose colour changed pass it on, HOPS steps between two checkpoints."""
     name = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("name"))
@@ -105,17 +163,20 @@ def cycles(edges: DataFrame, files: DataFrame, starts: DataFrame | None = None,
     paths = e.where("p < q").select(F.col("p").alias("head"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.array("kind").alias("kinds"))
     if starts is not None:
         paths = paths.join(starts.select(F.col("id").alias("_start")).distinct(), F.col("head.id") == F.col("_start"), "left_semi")
-    found = None
+    found, n = None, 0
     for size in range(2, longest + 1):
         paths = cut(paths)
         if paths.isEmpty():
             break
         back = e.select(F.col("src").alias("last"), F.col("q").alias("head"), "kind")
-        closed = paths.join(back, ["last", "head"]).select("path", F.lit(size).alias("length"), F.array_append("kinds", F.col("kind")).alias("kinds"))
+        closed = cut(paths.join(back, ["last", "head"]).select("path", F.lit(size).alias("length"), F.array_append("kinds", F.col("kind")).alias("kinds")))
         found = closed if found is None else found.unionByName(closed)
         step = e.select(F.col("src").alias("last"), F.col("dst").alias("next"), "q", "kind")
         grown = paths.join(step, "last").where("q > head AND NOT array_contains(path, next)")
         paths = grown.select("head", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"))
+        n += closed.count()
+        if limit is not None and n >= limit:
+            break  # longer ones sort behind these
     if found is None:
         return edges.sparkSession.createDataFrame([], "path array<string>, length int, kinds array<string>, files array<string>"), False
     found = found.withColumn("name", F.array_join(F.array_append("path", F.element_at("path", 1)), " -> "))
