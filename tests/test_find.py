@@ -4,8 +4,12 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tests.joins import most_rows
+from weftgraph.functions.text import divergent_terms, jaccard
 from weftgraph.model import CodeGraph
-from weftgraph.operators import grams, search
+from weftgraph.operators import analyzers, grams, search
 
 ROUTES = {
     "api:GET:config/settings": "apps/front/routes/api.v3.php", "api:GET:contents/{param}/multiview": "apps/front/routes/api.v3.php", "api:GET:contents/{param}/multiview/metadata": "apps/front/routes/api.v3.php",
@@ -79,3 +83,25 @@ def test_candidates_against_a_scan(spark):
     got = {q: {(r.id, r.score) for r in rs} for q, rs in asked(spark, g, queries, "all", 10**6).items()}
     want = {q: s for q in queries if (s := {(r.id, r.score) for r in search.find(g, q, None).collect()})}
     assert got == want
+
+
+def test_similar_files_equal_all_pairs_and_meet_by_shape(spark):
+    r = random.Random(4)
+    kinds, words = ["class", "method", "interface"], ["Order", "Item", "Cart", "Price", "User"]
+    nodes = [(f"n{i}", r.choice(kinds), "".join(r.sample(words, 2)), "/".join(["app", r.choice(["Domain", "domain", "http"]), *r.sample(["cart", "user"], r.randrange(3)), r.choice(words) + str(i % 7) + r.choice([".php", ".ts"])])) for i in range(90)]
+    nodes += [(f"m{i}", "method", "fulfil", f"app/services/order{i}.php") for i in range(300)]
+    edges = [(f"n{r.randrange(90)}", f"n{r.randrange(90)}", "CALLS") for _ in range(40)] + [("n1", f"m{i}", "CALLS") for i in range(3)]
+    g = CodeGraph.of(spark.createDataFrame(nodes, "id string, type string, name string, file string"), spark.createDataFrame(edges, "from_id string, to_id string, type string"))
+    seeds = spark.createDataFrame([(nodes[i][3],) for i in range(12)], "file string").distinct()
+    p, file_of = analyzers.file_profiles(g), {n[0]: n[3] for n in nodes}
+    pairs = {(file_of[a], file_of[b]) for a, b, _ in edges} | {(file_of[b], file_of[a]) for a, b, _ in edges}
+    linked = spark.createDataFrame(list(pairs), "seed string, file string").withColumn("linked", F.lit(True))
+    s = p.join(seeds, "file").select(*[F.col(c).alias("seed" if c == "file" else f"s_{c}") for c in p.columns])
+    a, b = divergent_terms(F.col("seed"), F.col("file"))
+    ext = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
+    score = jaccard(F.col("s_types"), F.col("types")) * 10 + jaccard(a, b) * 35 + jaccard(F.col("s_terms"), F.col("terms")) * 25 + F.when((F.col("role") == F.col("s_role")) & (F.col("role") != "other"), 8).otherwise(0) + 6 + F.when(ext("seed") == ext("file"), 2).otherwise(0) + F.when(F.col("linked"), 20).otherwise(0)
+    want = s.crossJoin(p).where("seed <> file").join(linked, ["seed", "file"], "left").select("seed", "file", score.alias("score")).where("score >= 30").collect()
+    found = analyzers.similar_files(g, seeds, 1000)
+    key = lambda rows: sorted((x.seed, x.file, round(x.score, 9)) for x in rows)
+    assert key(found.collect()) == key(want) and len(want) > 20
+    assert most_rows(found) < 12 * 300

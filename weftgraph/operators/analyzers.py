@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import ENTRY_TYPES, LAYERS, feature_file_role, layer_rank, layer_strict, risk, risk_order, usage_edge, visible_call
-from weftgraph.functions.text import divergent_terms, jaccard, split_terms
+from weftgraph.functions.text import jaccard, split_terms
 from weftgraph.model import CodeGraph
 from weftgraph.operators.inheritance import lineage
 from weftgraph.operators.traversal import bfs_levels
@@ -187,26 +187,55 @@ def file_profiles(graph: CodeGraph) -> DataFrame:
     return p.withColumn("role", feature_file_role(F.col("file"), F.col("types")))
 
 
+def _shapes(profiles: DataFrame) -> DataFrame:
+    """Adds to `file_profiles`: ext, the directories above each file, and `rests`: the terms of its path after none of them, one, two..."""
+    parts = F.split(F.translate("file", "\\", "/"), "/")
+    rests = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: split_terms(F.array_join(F.slice(parts, n, F.size(parts)), "/")))
+    return profiles.withColumns({"ext": F.regexp_extract("file", r"(\.[^./]*)$", 1), "dirs": F.transform(F.slice(parts, 1, F.size(parts) - 1), F.lower), "rests": rests})
+
+
+def _likeness() -> Column:
+    """How alike a seed (columns s_...) and a shape are, without links."""
+
+    def shared(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b["shared"]))
+        union = F.size(a) + b["n"] - both
+        return F.when(union == 0, 0.0).otherwise(both / union)
+
+    most = F.least(F.size("s_dirs"), F.size("dirs"))
+    apart = F.filter(F.sequence(F.lit(1), most + 1), lambda n: (n > most) | (F.get("s_dirs", n - 1) != F.get("dirs", n - 1)))
+    common = apart[0] - 1  # directories that both paths begin with
+    return (
+        jaccard(F.col("s_types"), F.col("types")) * 10 + shared(F.get("s_rests", common), F.get("rests", common)) * 35 + shared(F.col("s_terms"), F.col("terms")) * 25
+        + F.when((F.col("role") == F.col("s_role")) & (F.col("role") != "other"), 8).otherwise(0) + 6 + F.when(F.col("s_ext") == F.col("ext"), 2).otherwise(0)
+    )
+
+
 def similar_files(graph: CodeGraph, seeds: DataFrame, limit: int = 10) -> DataFrame:
     """(seed, file, score): files whose shape, path terms, symbols, role and links resemble those of each seed file.
 
-    A score of 30 needs shared path or symbol terms, or a direct link: candidates come from an equality join on those,
-    not from all pairs.
+    A score of 30 needs shared path or symbol terms, or a direct link. Files that differ in nothing but terms which no seed has score alike, so
+    each such shape is scored once, and only the files of shapes that reach 30 meet the seeds; linked files are scored one by one.
     """
-    p = cut(file_profiles(graph))
-    own = p.join(seeds.select("file"), "file", "left_semi").select(F.col("file").alias("seed"), F.col("types").alias("s_types"), F.col("terms").alias("s_terms"), F.col("role").alias("s_role"))
-    keys = lambda df, file: df.select(file, F.explode(F.array_union(split_terms(F.col(file)), F.col("s_terms" if file == "seed" else "terms"))).alias("k"))
+    # terms cost much for few bytes: files are dealt out by number, not by size
+    parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = cut(_shapes(file_profiles(graph).repartition(parts, "file")))
+    own = p.join(seeds.select("file").distinct(), "file", "left_semi")
+    held = own.agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.col("rests")[0], "terms")))).alias("held"))
+    s = own.select(*[F.col(c).alias("seed" if c == "file" else f"s_{c}") for c in p.columns])
+    known = lambda c: F.struct(F.array_sort(F.array_intersect(c, "held")).alias("shared"), F.size(c).alias("n"))
+    shaped = p.crossJoin(held).select("file", F.array_sort("types").alias("types"), "role", "ext", "dirs", F.transform("rests", known).alias("rests"), known(F.col("terms")).alias("terms"))
+    shape = ["types", "role", "ext", "dirs", "rests", "terms"]
+    forms = cut(shaped.groupBy(*shape).agg(F.count("*").alias("files")))
+    meet = forms.select(*shape, F.explode(F.array_union(F.col("rests")[0]["shared"], F.col("terms")["shared"])).alias("k")).join(s.select("seed", F.explode(F.array_union(F.col("s_rests")[0], F.col("s_terms"))).alias("k")), "k").select("seed", *shape).distinct()
+    near = meet.join(s, "seed").select("seed", *shape, _likeness().alias("score")).where("score >= 30")
+    alike = shaped.join(near, shape).select("seed", "file", "score")
     f = graph.nodes.where("file IS NOT NULL").select("id", "file")
-    links = graph.edges.select("from_id", "to_id").join(f.select(F.col("id").alias("from_id"), F.col("file").alias("a")), "from_id").join(f.select(F.col("id").alias("to_id"), F.col("file").alias("b")), "to_id").where("a <> b").select("a", "b").distinct()
-    linked = links.select(F.col("a").alias("seed"), F.col("b").alias("file")).unionByName(links.select(F.col("b").alias("seed"), F.col("a").alias("file"))).distinct().withColumn("linked", F.lit(True))
-    pairs = keys(own, "seed").join(keys(p, "file"), "k").select("seed", "file").unionByName(linked.join(own, "seed", "left_semi").select("seed", "file")).where("seed <> file").distinct()
-    x = pairs.join(own, "seed").join(p, "file").join(linked, ["seed", "file"], "left")
-    a, b = divergent_terms(F.col("seed"), F.col("file"))
-    ext = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
-    score = (
-        jaccard(F.col("s_types"), F.col("types")) * 10 + jaccard(a, b) * 35 + jaccard(F.col("s_terms"), F.col("terms")) * 25
-        + F.when((F.col("role") == F.col("s_role")) & (F.col("role") != "other"), 8).otherwise(0) + 6
-        + F.when(ext("seed") == ext("file"), 2).otherwise(0) + F.when(F.col("linked"), 20).otherwise(0)
-    )
+    ours = f.join(seeds.select("file").distinct(), "file", "left_semi").select("id", F.col("file").alias("seed"))
+    e = graph.edges.select("from_id", "to_id")
+    ends = e.join(ours.withColumnRenamed("id", "from_id"), "from_id").select("seed", F.col("to_id").alias("id")).unionByName(e.join(ours.withColumnRenamed("id", "to_id"), "to_id").select("seed", F.col("from_id").alias("id"))).distinct()
+    linked = ends.join(f, "id").select("seed", "file").distinct()
+    tied = linked.join(shaped, "file").join(s, "seed").select("seed", "file", (_likeness() + 20).alias("score")).where("score >= 30")
+    x = alike.unionByName(tied).where("seed <> file").groupBy("seed", "file").agg(F.max("score").alias("score"))
     top = Window.partitionBy("seed").orderBy(F.desc("score"), "file")
-    return x.select("seed", "file", score.alias("score")).where("score >= 30").withColumn("n", F.row_number().over(top)).where(F.col("n") <= limit).drop("n")
+    return x.withColumn("n", F.row_number().over(top)).where(F.col("n") <= limit).drop("n")
