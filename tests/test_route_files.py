@@ -5,6 +5,7 @@ import pytest
 from weftgraph.operators import route_files
 from weftgraph.plans import routing  # noqa: F401  registers its queries
 
+from tests.joins import most_rows
 from tests.oracle import compared
 
 HEAD = "<?php\nuse App\\Http\\PostController;\nuse App\\Guards\\Tenant as T;\nuse function strlen;\n"
@@ -71,6 +72,15 @@ def test_graph_of_routes(spark):
     assert sorted((r.from_id, r.to_id, r.via) for r in g.edges.collect()) == [("api:GET:x/{param}", "A::__invoke", "__invoke"), ("api:GET:x/{param}", "B::__invoke", "__invoke"), ("api:GET:x/{param}", "middleware:m", "m")]
 
 
+def test_routes_are_not_joined(spark):
+    """A file meets what its groups give once; its routes and their tokens do not."""
+    text = HEAD + "Route::prefix('p')->group(function () {" + "".join(f"Route::get('/x{i}', A::class);" for i in range(200)) + "});Route::get('/y', [A::class, 'b'], function () { return f((((((1)))))); })->middleware('m');"
+    found = route_files.routes(spark.createDataFrame([("a.php", text), ("b.php", text)], "file string, text string"))
+    rows = found.collect()
+    assert sorted(r.path for r in rows if r.file == "a.php") == sorted([f"p/x{i}" for i in range(200)] + ["/y"]) and len(rows) == 402
+    assert most_rows(found) == 2
+
+
 @pytest.mark.parametrize("name", ["p31_file_routes", "p35_route_graph"])
 def test_sql(spark, sf_dir, name):
     got, want = compared(spark, sf_dir, name)

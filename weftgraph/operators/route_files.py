@@ -1,9 +1,9 @@
 """Routes that route files define: verbs and resources, inside groups that add prefixes and middleware.
 
-Files are cut into tokens, which are rows; strings are tokens of their own and comments go, so that brackets in either count for
-nothing. Bracket depth is a running sum over a file's tokens, and a bracket's partner is the next one at its level. A group is a
-statement that opens a block; a route takes the prefixes and middleware of every group whose block it stands in, by a join of the
-file's intervals. All windows and joins are by file, so tokens are dealt out once.
+Files are cut into statements, each up to its `;`, `{` or `}`; strings and comments are taken whole, so that brackets in either count for
+nothing. A group is a statement that opens a block. Only statements that open or close something become rows of windows: the depth of blocks is a running
+sum over them, and a block ends at the next brace of its level. What they give is one row for each file, which meets the file's text again. A statement
+then takes the prefixes and middleware of every group whose block it stands in, and its call is read where it stands: routes are never sorted or dealt out.
 
 A route without a controller class (closures, views) is none, nor is one without a path or in a comment. Blocks without an end give no
 group. Null texts and empty tables give no routes; repeated rows of a file count once.
@@ -18,10 +18,17 @@ from weftgraph.functions.text import normalize_route_path
 from weftgraph.model import CodeGraph
 from weftgraph.operators.links import RESOURCE_ROUTES
 
-#: Comments, strings, calls on the router, brackets and ends of statements, white space, and whatever stands between these.
-TOKEN = r"/\*[\s\S]*?(?:\*/|\z)|(?://|#)[^\n]*+|'(?:[^'\\]++|\\[\s\S])*+(?:'|\z)|\"(?:[^\"\\]++|\\[\s\S])*+(?:\"|\z)|(?i:Route)::\w++|[(){};]|\s++|(?:(?!(?i:Route)::)[^\s'\"(){};/#])++|[\s\S]"
-# Calls that define routes.
-ROUTE_CALL = "(?i)^Route::(get|post|put|patch|delete|resource|apiResource)$"
+_QUOTED = r"'(?:[^'\\]++|\\[\s\S])*+(?:'|\z)|\"(?:[^\"\\]++|\\[\s\S])*+(?:\"|\z)"
+_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)|(?://|#)[^\n]*+"
+#: A statement with the bracket or semicolon that ends it.
+STATEMENT = rf"(?:{_COMMENT}|{_QUOTED}|[^'\"/#;{{}}]++|/)*+(?:[;{{}}]|\z)"
+#: What parentheses hold, with up to three more levels of them inside, and a statement that closes all it opens; what is deeper is counted.
+_CLOSED = rf"\((?:{_QUOTED}|[^'\"()]++)*+\)"
+for _ in range(3):
+    _CLOSED = rf"\((?:{_QUOTED}|[^'\"()]++|{_CLOSED})*+\)"
+_PLAIN = rf"^(?:{_QUOTED}|[^'\"(){{}};]++|{_CLOSED})*+;?$"
+# Calls that define routes, from their name to the end of the statement.
+ROUTE_CALL = r"(?i:Route)::(?=((?i:get|post|put|patch|delete|resource|apiResource)\([\s\S]*+))"
 _STRING, _CLASS = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", r"[A-Za-z_\\][A-Za-z0-9_\\]*(?=::class)"
 #: What stands in the parentheses of a call, with one more level of them inside.
 _INSIDE = r"\(((?:'[^']*'|\"[^\"]*\"|[^()'\"]|\([^()]*\))*)\)"
@@ -37,9 +44,9 @@ def _strings(text: Column) -> Column:
 
 
 def _class(raw: Column, uses: Column) -> Column:
-    """A class by its full name: as it stands if that has a namespace, else as it was imported."""
+    """A class by its full name: as it stands if that has a namespace, else as it was imported; of two imports the later counts."""
     bare = F.regexp_replace(raw, r"^\\", "")
-    return F.when(F.contains(bare, F.lit("\\")), bare).otherwise(F.coalesce(F.try_element_at(uses, bare), bare))
+    return F.when(F.contains(bare, F.lit("\\")), bare).otherwise(F.coalesce(F.try_element_at(F.filter(uses, lambda u: u["alias"] == bare), F.lit(-1))["class"], bare))
 
 
 def _named(text: Column, uses: Column) -> Column:
@@ -53,61 +60,77 @@ def _middleware(text: Column, uses: Column) -> Column:
     return F.flatten(F.transform(calls, lambda c: _named(c, uses)))
 
 
-def _read(which: Column | None = None) -> Column:
-    """The tokens of a group (those of `which`) as one text."""
-    token = F.struct("n", "token")
-    return F.array_join(F.transform(F.array_sort(F.collect_list(token if which is None else F.when(which, token))), lambda x: x["token"]), "")
-
-
 def _some(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v != ""))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(file, uses): what each file imports, as a map from the name in use to the class; of two the later counts."""
-    found = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*use\s+([^;]+);"), F.lit(1))).alias("k", "use"))
-    parts = found.where("NOT startswith(trim(use), 'function ')").select("file", "k", F.split(F.trim("use"), r"(?i)\s+as\s+").alias("p"))
-    full = F.regexp_replace(F.trim(F.col("p")[0]), r"^\\", "")
-    each = parts.select("file", "k", full.alias("class"), F.coalesce(F.nullif(F.trim(F.get("p", F.lit(1))), F.lit("")), F.substring_index(full, "\\", -1)).alias("alias")).where("class <> '' AND alias <> ''")
-    last = each.groupBy("file", "alias").agg(F.max_by("class", "k").alias("class"))
-    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("alias", "class"))).alias("uses"))
-
-
-def tokens(files: DataFrame) -> DataFrame:
-    """(file, n, token, statement, end): tokens without white space and comments, the statement each is in, and where the partner of an opening bracket is."""
-    raw = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("n", "token"))
-    t = raw.where(r"NOT token RLIKE r'^(?:\s|/\*|//|#)'")
-    order = Window.partitionBy("file").orderBy("n")
-    brackets = lambda a, b: F.sum(F.when(F.col("token") == a, 1).when(F.col("token") == b, -1).otherwise(0)).over(order)
-    t = t.withColumns({"braces": brackets("{", "}"), "parens": brackets("(", ")"), "past": F.count(F.when(F.col("token").isin(";", "{", "}"), 1)).over(order)})
-    brace, opens = F.col("token").isin("{", "}"), F.col("token").isin("{", "(")
-    t = t.withColumn("statement", F.col("past") - F.col("token").isin(";", "{", "}").cast("int"))
-    # a closing bracket has the level of the opening one; other tokens have none
-    level = F.when(brace, F.col("braces")).when(F.col("token").isin("(", ")"), F.col("parens")) + F.when(opens, 0).otherwise(1)
-    t = t.withColumns({"kind": F.when(level.isNotNull(), brace), "level": level})
-    partner = Window.partitionBy("file", "kind", "level").orderBy("n")
-    closes = F.lead("token").over(partner).isin("}", ")")
-    return t.withColumn("end", F.when(opens & closes, F.lead("n").over(partner))).select("file", "n", "token", "statement", "end")
-
-
-def groups(found: DataFrame, uses: DataFrame) -> DataFrame:
-    """(file, start, end, prefix, middleware) of each group's block."""
-    router = Window.partitionBy("file", "statement")
-    own = found.withColumn("_from", F.min(F.when(F.col("token").rlike("(?i)^Route::"), F.col("n"))).over(router)).where("n >= _from")
-    headed = own.groupBy("file", "statement").agg(
-        _read().alias("said"),
-        F.max(F.when(F.col("token") == "{", F.struct("n", "end"))).alias("block"),
-    )
-    said = F.col("said")
-    some = headed.where(F.col("block.end").isNotNull() & said.rlike(r"(?is)(?:Route::|->)group\(.*function")).join(uses, "file", "left").withColumn("uses", F.coalesce("uses", F.expr("map()").cast("map<string,string>")))
-    prefixes = F.regexp_extract_all(said, F.lit(r"(?i)(?:Route::|->)prefix\((['\"])([^'\"]+)\1\)"), F.lit(2))
-    listed = F.regexp_extract(said, r"(?i)['\"]prefix['\"]=>['\"]([^'\"]+)['\"]", 1)
-    in_list = F.regexp_extract(said, r"(?i)['\"]middleware['\"]=>(\[[^\]]*\]|'[^']+'|\"[^\"]+\"|[A-Za-z_\\][A-Za-z0-9_\\]*::class)", 1)
-    return some.select(
-        "file", F.col("block.n").alias("start"), F.col("block.end").alias("end"),
+def imports(text: Column) -> Column:
+    """What a file imports: (alias, class) in order, by the name in use."""
+
+    def one(use: Column) -> Column:
+        parts = F.split(F.trim(use), r"(?i)\s+as\s+")
+        full = F.regexp_replace(F.trim(parts[0]), r"^\\", "")
+        return F.struct(F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), F.substring_index(full, "\\", -1)).alias("alias"), full.alias("class"))
+
+    found = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^\s*use\s+([^;]+);"), F.lit(1)), lambda u: ~F.startswith(F.trim(u), F.lit("function ")))
+    return F.filter(F.transform(found, one), lambda u: (u["class"] != "") & (u["alias"] != ""))
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """`files` (file, text and more) with a row for each statement: its number `at` and `said`, what it says without comments, and white space outside strings."""
+    kept = [c for c in files.columns if c != "text"]
+    said = F.transform(F.regexp_extract_all("text", F.lit(STATEMENT), F.lit(0)), lambda raw: F.regexp_replace(raw, rf"((?:{_QUOTED}|[^'\"/#\s]++|/(?![/*]))++)|{_COMMENT}|\s++", "$1"))
+    return files.select(*kept, F.posexplode_outer(said).alias("at", "said")).where("said <> ''")
+
+
+def _depths(said: Column) -> Column:
+    """(depth, least, place, end): parentheses open after a text, the fewest on the way, its length, and where the one that it begins with is closed (0: it is not)."""
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("depth", "least", "place", "end")])
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        place = s["place"] + F.length(token)
+        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"), place.alias("place"), F.when((s["end"] == 0) & (depth == 0) & (token == ")"), place).otherwise(s["end"]).alias("end"))
+
+    return F.aggregate(F.regexp_extract_all(said, F.lit(rf"{_QUOTED}|[()]|[^'\"()]++"), F.lit(0)), zero, step)
+
+
+def _end(call: Column) -> Column:
+    """The place where the parenthesis that a text begins with is closed; 0 if it is not."""
+    near = F.length(F.regexp_extract(call, "^" + _CLOSED, 0))
+    return F.when(near > 0, near).otherwise(F.when(call != "", _depths(call)["end"]).otherwise(0))
+
+
+def _once(value: Column) -> Column:
+    """A value that filters and later columns read without making it again: they do not pass through an explosion (an inner one is made twice itself)."""
+    return F.explode_outer(F.array(value))
+
+
+def brackets(files: DataFrame) -> DataFrame:
+    """(file, groups, later) of files (file, text, uses): the groups' blocks (start, end, prefix, middleware) by statements, and for statements that leave
+    parentheses open or close others' the fewest that stay open after them (at, least), counted from their beginning."""
+    brace = F.right("said", F.lit(1)).isin("{", "}")
+    d = statements(files).where(~F.col("said").rlike(_PLAIN)).select("*", _once(_depths(F.col("said"))).alias("d")).where(brace | (F.col("d.depth") != 0) | (F.col("d.least") < 0))
+    order = Window.partitionBy("file").orderBy("at")
+    opens, ends = F.endswith("said", F.lit("{")), F.endswith("said", F.lit("}"))
+    d = d.withColumns({"before": F.sum("d.depth").over(order) - F.col("d.depth"), "level": F.sum(F.when(opens, 1).when(ends, -1).otherwise(0)).over(order) + F.when(ends, 1).otherwise(0)})
+    after = Window.partitionBy("file").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("least", F.min(F.col("before") + F.col("d.least")).over(after) - F.col("before"))
+    partner = Window.partitionBy("file", "brace", "level").orderBy("at")
+    d = d.withColumn("brace", opens | ends).withColumn("end", F.when(opens & F.endswith(F.lead("said").over(partner), F.lit("}")), F.lead("at").over(partner)))
+    said, by = F.regexp_extract("said", rf"^(?:{_QUOTED}|(?!(?i:Route)::\w)[^'\"])*+((?i:Route)::[\s\S]*+)$", 1), F.col("uses")
+    d = d.withColumn("head", F.when(F.col("end").isNotNull(), said))
+    prefixes = F.regexp_extract_all("head", F.lit(r"(?i)(?:Route::|->)prefix\((['\"])([^'\"]+)\1\)"), F.lit(2))
+    listed = F.regexp_extract("head", r"(?i)['\"]prefix['\"]=>['\"]([^'\"]+)['\"]", 1)
+    in_list = F.regexp_extract("head", r"(?i)['\"]middleware['\"]=>(\[[^\]]*\]|'[^']+'|\"[^\"]+\"|[A-Za-z_\\][A-Za-z0-9_\\]*::class)", 1)
+    group = F.struct(
+        F.col("at").alias("start"), "end",
         F.array_join(_some(F.concat(prefixes, F.array(listed))), "/").alias("prefix"),
-        _some(F.concat(_middleware(said, F.col("uses")), _named(in_list, F.col("uses")))).alias("middleware"),
+        _some(F.concat(_middleware(F.col("head"), by), _named(in_list, by))).alias("middleware"),
     )
+    is_group = F.col("head").rlike(r"(?is)(?:Route::|->)group\(.*function")
+    unclosed = (F.col("d.depth") > 0) | (F.col("d.least") < 0)
+    return d.groupBy("file").agg(F.array_sort(F.collect_list(F.when(is_group, group))).alias("groups"), F.collect_list(F.when(unclosed & F.col("least").isNotNull(), F.struct("at", "least"))).alias("later"))
 
 
 def _joined_path(prefix: Column, path: Column) -> Column:
@@ -121,18 +144,21 @@ def routes(files: DataFrame) -> DataFrame:
     Resources give their REST rows, less what `only` and `except` leave out. Middleware is in order: outer groups, inner groups, the route's own.
     """
     mount = F.col("mount").cast("string") if "mount" in files.columns else F.lit(None).cast("string")
-    one = files.where("file IS NOT NULL AND text IS NOT NULL").groupBy("file").agg(F.max(F.struct("text", mount.alias("mount"))).alias("f")).select("file", "f.text", "f.mount")
-    found, uses = tokens(one), imports(one)
-    order = Window.partitionBy("file").orderBy("n")
-    ahead = {"_next": F.lead("token").over(order), "open": F.lead("n").over(order), "close": F.lead("end").over(order)}
-    calls = found.withColumns(ahead).where(F.col("token").rlike(ROUTE_CALL) & (F.col("_next") == "(") & F.col("close").isNotNull())
-    calls = calls.select("file", "statement", F.col("n").alias("at"), F.lower(F.substr("token", F.lit(8))).alias("kind"), "open", "close")
-    inside = found.join(calls, ["file", "statement"]).where("n > open AND n <> close")
-    read = inside.groupBy("file", "at", "kind").agg(_read(F.col("n") < F.col("close")).alias("args"), _read(F.col("n") > F.col("close")).alias("tail"))
-    around = calls.select("file", "at").join(groups(found, uses), "file").where("start < at AND at < end")
-    around = around.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("start", "prefix", "middleware"))).alias("around"))
-    full = read.join(around, ["file", "at"], "left").join(uses, "file", "left").join(one.select("file", "mount"), "file")
-    full = full.withColumn("uses", F.coalesce("uses", F.expr("map()").cast("map<string,string>")))
+    # dealt out by file once; the text is that of the file's greatest row
+    one = files.where("file IS NOT NULL AND text IS NOT NULL").select("file", "text", mount.alias("mount")).repartition("file").groupBy("file").agg(F.max(F.struct("text", "mount")).alias("f"))
+    one = one.select("file", "f.text", "f.mount").withColumn("uses", imports(F.col("text")))
+    said = statements(one.join(brackets(one.select("file", "text", "uses")), "file", "left")).where(F.col("said").rlike(ROUTE_CALL))
+    calls = F.transform(F.regexp_extract_all("said", F.lit(rf"{_QUOTED}|{ROUTE_CALL}"), F.lit(1)), lambda c: F.struct(c.alias("text"), F.substr(c, F.locate("(", c)).alias("call"), _end(F.substr(c, F.locate("(", c))).alias("closed")))
+    found = said.select("file", F.col("at").alias("spot"), "said", "mount", "uses", "groups", "later", F.posexplode_outer(calls).alias("nth", "c")).where("c.text <> ''")
+    found = found.select("*", "c.call", "c.closed", F.lower(F.substring_index("c.text", "(", 1)).alias("kind"), F.left("said", F.length("said") - F.length("c.text")).alias("ahead"))
+    # one that its statement leaves open counts if a later statement closes it
+    later = F.get(F.filter("later", lambda x: x["at"] == F.col("spot")), F.lit(0))["least"]
+    found = found.where((F.col("closed") > 0) | F.coalesce(later <= _depths(F.col("ahead"))["depth"], F.lit(False)))
+    args = F.when(F.col("closed") > 0, F.substr("call", F.lit(2), F.col("closed") - 2)).otherwise(F.substr("call", F.lit(2)))
+    read = found.select(
+        "file", F.expr("shiftleft(cast(spot AS bigint), 32) + nth").alias("at"), "kind", "mount", "uses", args.alias("args"), F.when(F.col("closed") > 0, F.substr("call", F.col("closed") + 1)).otherwise("").alias("tail"),
+        F.filter("groups", lambda g: (g["start"] < F.col("spot")) & (F.col("spot") <= g["end"])).alias("around"),
+    )
 
     args, tail, by = F.col("args"), F.col("tail"), F.col("uses")
     pair = r"\[([A-Za-z0-9_\\]+)::class,['\"]([^'\"]+)['\"]\]"
@@ -142,19 +168,19 @@ def routes(files: DataFrame) -> DataFrame:
     prefixes = F.concat(F.array(F.coalesce("mount", F.lit(""))), F.coalesce(F.col("around.prefix"), F.array().cast("array<string>")))
     above = F.coalesce(F.flatten(F.col("around.middleware")), F.array().cast("array<string>"))
     chosen = lambda name: F.regexp_extract_all(F.regexp_extract(tail, rf"->{name}\(([^)]*)\)", 1), F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-    each = full.select(
-        "file", "at", "kind", "mount", raw.alias("raw"), action.alias("action"), F.get(_strings(args), F.lit(0)).alias("said"), chosen("only").alias("only"), chosen("except").alias("except"),
-        F.array_join(F.filter(prefixes, lambda p: p != ""), "/").alias("prefix"), _some(F.concat(above, _middleware(tail, by))).alias("middleware"), "uses",
-    ).where("raw <> '' AND said <> ''").withColumn("controller", _class(F.col("raw"), by))
-    keep = ["file", "at", "verb", "path", "controller", "action", "middleware", "mount"]
-    is_resource = F.col("kind").isin("resource", "apiresource")
-    single = each.where(~is_resource).select("*", F.upper("kind").alias("verb"), _joined_path(F.col("prefix"), F.col("said")).alias("path")).select(*keep)
-    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("verb"), F.lit(s).alias("suffix"), F.lit(a).alias("does")) for v, s, a in RESOURCE_ROUTES])).alias("r")
-    base = F.array_join(F.filter(F.split("said", r"\."), lambda s: s != ""), "/{param}/")
-    wide = each.where(is_resource).select("*", rows, _joined_path(F.col("prefix"), base).alias("base"))
-    wide = wide.where("(kind = 'resource' OR r.does NOT IN ('create', 'edit')) AND (size(only) = 0 OR array_contains(only, r.does)) AND NOT array_contains(except, r.does)")
-    wide = wide.select("file", "at", F.col("r.verb").alias("verb"), F.regexp_replace(F.concat("base", "r.suffix"), "/+", "/").alias("path"), "controller", F.col("r.does").alias("action"), "middleware", "mount")
-    return single.unionByName(wide)
+    parts = F.struct(
+        raw.alias("raw"), action.alias("action"), F.get(_strings(args), F.lit(0)).alias("said"), chosen("only").alias("only"), chosen("except").alias("except"),
+        F.array_join(F.filter(prefixes, lambda p: p != ""), "/").alias("prefix"), _some(F.concat(above, _middleware(tail, by))).alias("middleware"),
+    )
+    each = read.select("file", "at", "kind", "mount", "uses", _once(parts).alias("p")).where("p.raw <> '' AND p.said <> ''").select("file", "at", "kind", "mount", "uses", "p.*")
+    resource = F.col("kind").isin("resource", "apiresource")
+    row = lambda verb, suffix, does: F.struct(verb.alias("verb"), suffix.alias("suffix"), does.alias("does"))
+    all_ = F.array(*[row(F.lit(v), F.lit(x), F.lit(a)) for v, x, a in RESOURCE_ROUTES])
+    asked = lambda r: ((F.col("kind") == "resource") | ~r["does"].isin("create", "edit")) & ((F.size("only") == 0) | F.array_contains("only", r["does"])) & ~F.array_contains("except", r["does"])
+    rows = F.when(resource, F.filter(all_, asked)).otherwise(F.array(row(F.upper("kind"), F.lit(""), F.col("action"))))
+    base = F.when(resource, F.array_join(F.filter(F.split("said", r"\."), lambda x: x != ""), "/{param}/")).otherwise(F.col("said"))
+    wide = each.select("file", "at", F.explode_outer(rows).alias("r"), _joined_path(F.col("prefix"), base).alias("base"), _class(F.col("raw"), by).alias("controller"), "middleware", "mount").where("r IS NOT NULL")
+    return wide.select("file", "at", "r.verb", F.regexp_replace(F.concat("base", "r.suffix"), "/+", "/").alias("path"), "controller", F.col("r.does").alias("action"), "middleware", "mount")
 
 
 def route_graph(found: DataFrame) -> CodeGraph:
@@ -165,7 +191,12 @@ def route_graph(found: DataFrame) -> CodeGraph:
     through = r.select("id", "label", "file", F.explode("middleware").alias("m"))
     guards = through.groupBy("m").agg(F.min("file").alias("file")).select(F.concat(F.lit("middleware:"), F.col("m")).alias("id"), F.lit("middleware").alias("type"), F.col("m").alias("name"), "file")
     to = F.concat_ws("::", "controller", "action")
-    handled = r.groupBy("id", to.alias("to_id")).agg(F.min("action").alias("via"), F.min("label").alias("reason")).withColumn("type", F.lit("ROUTES_TO"))
-    guarded = through.groupBy("id", F.concat(F.lit("middleware:"), F.col("m")).alias("to_id")).agg(F.min("m").alias("via"), F.min("label").alias("reason")).withColumn("type", F.lit("USES_MIDDLEWARE"))
-    edges = handled.unionByName(guarded).select(F.concat_ws("->", "id", F.concat_ws(":", "to_id", "type")).alias("id"), F.col("id").alias("from_id"), "to_id", "type", "via", "reason")
+    # handlers and middleware of one route travel together, once
+    ways = F.concat(
+        F.array(F.struct(F.lit("ROUTES_TO").alias("type"), to.alias("to_id"), F.col("action").alias("via"))),
+        F.transform("middleware", lambda m: F.struct(F.lit("USES_MIDDLEWARE").alias("type"), F.concat(F.lit("middleware:"), m).alias("to_id"), m.alias("via"))),
+    )
+    each = r.select("id", "label", ways.alias("ways")).repartition("id").select("id", "label", F.explode_outer("ways").alias("w")).select("id", "label", "w.*")
+    joined = each.groupBy("id", "to_id", "type").agg(F.min("via").alias("via"), F.min("label").alias("reason"))
+    edges = joined.select(F.concat_ws("->", "id", F.concat_ws(":", "to_id", "type")).alias("id"), F.col("id").alias("from_id"), "to_id", "type", "via", "reason")
     return CodeGraph.of(ends.unionByName(guards), edges)
