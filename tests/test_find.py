@@ -85,6 +85,16 @@ def test_candidates_against_a_scan(spark):
     assert got == want
 
 
+def test_few_terms_take_one_pass_and_equal_the_index(spark, monkeypatch):
+    g = symbols(spark)
+    rows = [("RelatedContentController", "symbol"), ("useModule", "all"), ("nowhere", "symbol"), ("Noise77", "symbol"), ("module", "symbol"), ("module", "route"), ("GET /module/{id}", "route")]
+    df = spark.createDataFrame(rows, "query string, kind string")
+    key = lambda found: sorted(map(repr, found.collect()))
+    want = key(grams.find_many(g, df, 10, grams.gram_index(g)))
+    monkeypatch.setattr(grams, "gram_index", None)
+    assert key(grams.find_many(g, df, 10)) == want and len(want) > 15
+
+
 def test_similar_files_equal_all_pairs_and_meet_by_shape(spark):
     r = random.Random(4)
     kinds, words = ["class", "method", "interface"], ["Order", "Item", "Cart", "Price", "User"]

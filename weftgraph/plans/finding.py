@@ -37,8 +37,7 @@ SELECT query, place::INT AS place, id, type, file, score::INT AS score FROM (SEL
 """)
 def a9_find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best symbols of the commerce graph for each text; where there is none, of all nodes."""
-    nodes = cut(fx1(spark, sf_dir).nodes)
-    g = CodeGraph.of(nodes, spark.createDataFrame([], "from_id string, to_id string, type string"))
+    g = CodeGraph.of(fx1(spark, sf_dir).nodes, spark.createDataFrame([], "from_id string, to_id string, type string"))
     found = grams.find_many(g, spark.createDataFrame([(t,) for t in TEXTS], "query string").withColumn("kind", F.lit("symbol")))
     return found.select("query", "place", "id", "type", "file", "score")
 
