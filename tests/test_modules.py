@@ -3,6 +3,7 @@
 import math
 import random
 
+from tests.joins import most_rows
 from weftgraph.operators import budget, imports, properties
 
 
@@ -59,3 +60,11 @@ def test_budgets_against_a_loop(spark):
     rows = [(t, k, i, x, keep, may) for t, sections in tasks.items() for k, (lines, keep, may) in enumerate(sections) for i, x in enumerate(lines)]
     got = budget.trim(spark.createDataFrame(rows, "task int, section int, place int, line string, keep int, may_go boolean"), spark.createDataFrame(list(tokens.items()), "task int, tokens int"))
     assert {(r.task, r.section, r.place): r.trimmed for r in got.collect()} == want
+
+
+def test_imports_meet_one_row_each(spark):
+    asked = spark.range(4000).selectExpr("concat('src/a', id % 40, '.ts') AS file", "concat('./m', id) AS source")
+    files = spark.range(4000).selectExpr("concat('src/m', id, '/index.ts') AS file")
+    got = imports.resolve_imports(asked, files, spark.createDataFrame([], "directory string, alias string, target string"))
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert most_rows(got) <= 4000 and {r.how for r in got.collect()} == {"found"}

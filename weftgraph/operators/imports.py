@@ -1,4 +1,8 @@
-"""Where imports lead: longest alias, relative paths, and an ordered probe of candidate files, all by equality joins."""
+"""Where imports lead: longest alias, relative paths, and the first of the candidate files, all by equality joins.
+
+Candidates are not made for each import: each file says what it may be imported as, so that an import meets one row at most. What a source
+means depends on the directory of the file that imports it alone, and is found once for each.
+"""
 
 from __future__ import annotations
 
@@ -15,32 +19,47 @@ def normal_path(path: Column) -> Column:
     none = F.array().cast("array<string>")
     up = lambda acc: F.when((F.size(acc) > 0) & (F.coalesce(F.element_at(acc, -1), F.lit("")) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, F.lit("..")))
     step = lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", up(F.coalesce(F.when(F.size(acc) > 0, acc), none))).otherwise(F.array_append(acc, s))
-    return F.array_join(F.aggregate(parts, none, step), "/")
+    # most paths have nothing to apply
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)|\\"), F.array_join(F.aggregate(parts, none, step), "/")).otherwise(path)
+
+
+def _begins(text: Column, n: Column) -> Column:
+    """The first n segments of a path."""
+    return F.call_function("substring_index", text, F.lit("/"), n)
 
 
 def _above(file: Column) -> Column:
     """All directories above a file, the root (empty) among them."""
-    parts = F.split(file, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.transform(F.sequence(F.lit(0), F.regexp_count(file, F.lit("/"))), lambda n: _begins(file, n))
 
 
 def _heads(source: Column) -> Column:
     """What an alias of a source may be: each of its beginnings that ends where a segment does, with the slash or without."""
-    parts = F.split(source, "/")
-    bare = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return F.array_distinct(F.concat(bare, F.transform(F.slice(bare, 1, F.size(bare) - 1), lambda b: F.concat(b, F.lit("/")))))
+    slashes = F.regexp_count(source, F.lit("/"))
+    both = lambda n: F.when(n > slashes, F.array(source)).otherwise(F.array(_begins(source, n), F.concat(_begins(source, n), F.lit("/"))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), slashes + 1), both)))
 
 
 def _aliased(asked: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file, source, path): sources that an alias stands for. General aliases (directory null) go first, then the innermost directory's, then the longest."""
-    known = aliases.select("directory", "alias", "target")
-    heads = asked.select("file", "source", F.explode(_heads(F.col("source"))).alias("alias"))
-    general = heads.join(known.where("directory IS NULL").select("alias", "target"), "alias").select("file", "source", "alias", "target", F.lit(1 << 30).alias("depth"))
-    scoped = heads.withColumn("directory", F.explode(_above(F.col("file")))).join(known, ["directory", "alias"]).select("file", "source", "alias", "target", F.length("directory").alias("depth"))
-    best = general.unionByName(scoped).groupBy("file", "source").agg(F.max_by(F.struct("alias", "target"), F.struct("depth", F.length("alias"), "target")).alias("b"))
+    """(folder, source, path): sources that an alias stands for. General aliases (directory null) go first, then the innermost directory's, then the longest."""
+    known = aliases.select(F.col("directory").isNull().alias("general"), F.coalesce("directory", F.lit("")).alias("directory"), "alias", "target")
+    heads = asked.select("folder", "source", F.explode(_heads(F.col("source"))).alias("alias")).join(known.select("alias").distinct(), "alias", "left_semi")
+    scope = lambda general, directory: F.struct(F.lit(general).alias("general"), directory.alias("directory"))
+    scopes = F.concat(F.array(scope(True, F.lit(""))), F.transform(_above(F.col("folder")), lambda d: scope(False, d)))
+    each = heads.select("folder", "source", "alias", F.explode(scopes).alias("s")).select("folder", "source", "alias", "s.general", "s.directory")
+    depth = F.when(F.col("general"), 1 << 30).otherwise(F.length("directory"))
+    best = each.join(known, ["general", "directory", "alias"]).groupBy("folder", "source").agg(F.max_by(F.struct("alias", "target"), F.struct(depth, F.length("alias"), "target")).alias("b"))
     rest = F.regexp_replace(F.expr("substr(source, length(b.alias) + 1)"), "^/", "")
     target = F.regexp_replace(F.regexp_replace(F.translate("b.target", "\\", "/"), r"^\./", ""), "/$", "")
-    return best.select("file", "source", F.when(rest == "", target).otherwise(F.regexp_replace(F.concat(target, F.lit("/"), rest), "^/", "")).alias("path"))
+    return best.select("folder", "source", F.when(rest == "", target).otherwise(F.regexp_replace(F.concat(target, F.lit("/"), rest), "^/", "")).alias("path"))
+
+
+def _importable(files: DataFrame) -> DataFrame:
+    """(base, own, first): whether a file is named as a path is, and which file comes first of those that the path, its extensions and its index mean."""
+    endings = ["", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS)]
+    meant = [F.when(F.col("file").endswith(e), F.struct(F.expr(f"substr(file, 1, length(file) - {len(e)})").alias("base"), F.lit(place).alias("place"))) for place, e in enumerate(endings)]
+    each = files.where("file IS NOT NULL").select("file", F.explode(F.array_compact(F.array(*meant))).alias("m")).select("m.*", "file")
+    return each.groupBy("base").agg((F.min("place") == 0).alias("own"), F.min_by("file", "place").alias("first"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -50,18 +69,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) ->
     then with each extension, then as a directory's index; the first that exists is meant. A path that has an extension is tried alone.
     """
     asked = imports.select("file", F.regexp_replace("source", "^[\"']|[\"']$", "").alias("source")).where("file IS NOT NULL AND source IS NOT NULL").distinct()
-    led = _aliased(asked, aliases)
-    rest = asked.join(led.select("file", "source"), ["file", "source"], "left_anti")
-    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "/")).otherwise("")
-    relative = rest.where(F.col("source").startswith(".")).select("file", "source", normal_path(F.concat(folder, "source")).alias("path"))
-    local = led.unionByName(relative)
+    asked = asked.withColumn("folder", F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "/")).otherwise(""))
+    ways = asked.select("folder", "source").distinct()
+    led = ways.join(_aliased(ways, aliases).select("folder", "source", F.col("path").alias("led"), F.lit(True).alias("aliased")), ["folder", "source"], "left").withColumn("aliased", F.coalesce("aliased", F.lit(False)))
+    path = F.when(F.col("aliased"), F.col("led")).when(F.col("source").startswith("."), normal_path(F.concat("folder", "source")))
+    local = led.select("folder", "source", "aliased", path.alias("path"))
+    based = local.withColumn("base", F.when(F.col("aliased"), normal_path(F.col("path"))).otherwise(F.col("path")))
     extended = lambda c: F.coalesce(c.rlike("(" + "|".join(e.replace(".", r"\.") for e in EXTENSIONS) + ")$"), F.lit(False))
-    endings = ["", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS)]
-    tries = F.when(extended(F.col("path")), F.array(F.lit(""))).otherwise(F.array(*map(F.lit, endings)))
-    each = local.select("file", "source", F.posexplode(tries).alias("place", "ending"), normal_path(F.col("path")).alias("base")).withColumn("at", F.concat("base", "ending"))
-    exists = files.select(F.col("file").alias("at")).distinct()
-    hit = each.join(exists, "at").groupBy("file", "source").agg(F.min_by("at", "place").alias("hit"))
     named = lambda c: F.when(extended(c), c).otherwise(F.concat(c, F.lit(".js")))
-    out = local.join(hit, ["file", "source"], "left").select("file", "source", F.coalesce("hit", named(F.col("path"))).alias("path"), F.when(F.col("hit").isNotNull(), "found").otherwise("missing").alias("how"))
-    packages = rest.where(~F.col("source").startswith(".")).select("file", "source", named(F.col("source")).alias("path"), F.lit("package").alias("how"))
-    return out.unionByName(packages)
+    hit = F.when(F.col("own") | ~extended(F.col("path")), F.col("first"))
+    package = ~F.col("aliased") & F.col("path").isNull()
+    how = F.when(package, "package").when(hit.isNotNull(), "found").otherwise("missing").alias("how")
+    found = based.join(_importable(files), "base", "left").select("folder", "source", F.coalesce(hit, named(F.when(package, F.col("source")).otherwise(F.col("path")))).alias("path"), how)
+    return asked.join(found, ["folder", "source"]).select("file", "source", "path", "how")
