@@ -1,11 +1,13 @@
 """Resolving passes on small graphs with known answers, and their queries against DuckDB."""
 
+import re
+
 import duckdb
 import pytest
 
 from tests.test_graph import graph
 from weftgraph.model import CodeGraph
-from weftgraph.operators import resolution
+from weftgraph.operators import links, resolution
 from weftgraph.plans import registry
 from weftgraph.plans import resolution as plans  # noqa: F401  registers its queries
 
@@ -55,3 +57,13 @@ def test_queries_against_duckdb(spark, sf_dir, name):
     names = [c[0] for c in want.description]
     got = registry.queries()[name](spark, sf_dir).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+
+
+def test_new_calls_are_told_apart_by_their_ends(spark):
+    nodes = [(f"C{i}::m", f"C{i}", "method", "m") for i in range(4)]
+    edges = [(f"C{i}", f"C{i - 1}", "EXTENDS") for i in range(1, 4)] + [("A::x", "C0::m", "CALLS"), ("A::x", "C1::m", "CALLS")]
+    g = CodeGraph.of(spark.createDataFrame(nodes, "id string, parent string, type string, name string"), spark.createDataFrame(edges, "from_id string, to_id string, type string"))
+    found = links.override_calls(g)
+    assert sorted((r.id, r.from_id, r.to_id, r.type, r.call_type) for r in found.collect()) == [(f"A::x->C{i}::m", "A::x", f"C{i}::m", "CALLS", "OVERRIDE_RESOLVED") for i in (1, 2, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.match(r"Aggregate \[from_id#\d+, to_id#\d+\]", plan)

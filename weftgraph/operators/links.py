@@ -44,7 +44,9 @@ def prune_dangling(graph: CodeGraph, type: str, prefix: str = "") -> CodeGraph:
 
 def _resolved(calls: DataFrame, targets: DataFrame, kind: str) -> DataFrame:
     """New calls from (from_id, class, method) to methods (class, owner) of the same name."""
-    return calls.join(targets, ["class", "method"]).select(F.concat_ws("->", "from_id", "target").alias("id"), "from_id", F.col("target").alias("to_id"), F.lit("CALLS").alias("type"), F.lit(kind).alias("call_type")).distinct()
+    pairs = calls.join(targets, ["class", "method"]).select("from_id", F.col("target").alias("to_id")).distinct()
+    # what follows from the ends is added when each pair is there once
+    return pairs.select(F.concat_ws("->", "from_id", "to_id").alias("id"), "from_id", "to_id", F.lit("CALLS").alias("type"), F.lit(kind).alias("call_type"))
 
 
 def _calls(graph: CodeGraph, skip: tuple[str, ...]) -> DataFrame:
