@@ -1,8 +1,9 @@
 """Traces of many starts at once: from pages over requests, bridges, routes and handlers into calls; what surrounds a target; how much is covered.
 
-A trace's state is (start, node, phase). Each phase allows its own edges and leads into its own next phase (`STEPS`), so the whole step relation, with abstract
-and inherited callees rewritten to what is really traversed, is one table that is made once; every level is one join of the frontier with it, and one
-anti join with what was reached. A state is reached once, at its least distance, and keeps the state that it came from, so every path can be read back.
+A trace's state is (start, node, phase). Each phase allows its own edges and leads into its own next phase (`STEPS`); where edges lead, with abstract
+and inherited callees rewritten to what is really traversed, is one table that is made once and dealt out by node. Starts are numbered and travel together, 64 as the
+bits of one number, so that an edge is followed once for all of them: a level is one join of the frontier with the table and one window over what it leads to.
+A state is reached once, at its least distance, and keeps the state that it came from, so every path can be read back.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from weftgraph.operators.inheritance import resolve_through_inheritance
 from weftgraph.operators.lookups import abstract_targets, implementations
 from weftgraph.operators.navigation import http_clients, http_downstream, route_handlers
 from weftgraph.sources.graphs import top_per_group
-from weftgraph.sources.storage import cut
+from weftgraph.sources.storage import cut, dealt, stored
 
 #: (phase, edge type, next phase): what each phase may follow.
 STEPS = (
@@ -42,39 +43,57 @@ def split_member(id: Column) -> tuple[Column, Column]:
     return F.when(member, F.regexp_extract(id, "(?s)^(.*)::.*?$", 1)), F.when(member, F.substring_index(id, "::", -1))
 
 
-def traversal_targets(graph: CodeGraph, calls: DataFrame) -> DataFrame:
-    """`calls` (id, call_type, file and more) with `target`, where a trace goes on, and `candidates`, the implementations of an abstract callee.
-
-    Static calls stay. A method of an interface, a trait, an implemented class or one named like a base goes to its one implementation in source code.
-    What has no file otherwise goes to the class above it that has the method; the rest stays.
-    """
+def _led(graph: CodeGraph, known: DataFrame) -> DataFrame:
+    """`known` (id, file), each once, with `_to`, where a trace that does not call it statically goes on, and `candidates`."""
     class_, method = split_member(F.col("id"))
-    known = cut(calls.select("id", "file").distinct().select("id", "file", class_.alias("class"), method.alias("method")))
+    known = stored(known.select("id", "file", class_.alias("class"), method.alias("method")))
     abstract = abstract_targets(graph).select(F.col("id").alias("class"), F.lit(True).alias("_abstract"))
     one = implementations(graph).select(F.col("interface").alias("class"), "method", F.col("target").alias("_target"), F.col("candidates"))
     marked = known.join(abstract, "class", "left").withColumn("_abstract", F.coalesce("_abstract", F.col("class").rlike(ABSTRACT_NAME), F.lit(False)))
     marked = marked.join(one, ["class", "method"], "left").withColumn("candidates", F.when(F.col("_abstract"), F.coalesce("candidates", F.lit(0).cast("long"))))
-    marked = cut(marked.withColumn("_target", F.when(F.col("candidates") == 1, F.col("_target"))))
+    marked = stored(marked.withColumn("_target", F.when(F.col("candidates") == 1, F.col("_target"))))
     orphan = marked.where("_target IS NULL AND file IS NULL AND class IS NOT NULL")
     above = resolve_through_inheritance(graph, orphan).select("class", "method", F.col("target").alias("_above"))
-    to = marked.join(above, ["class", "method"], "left").select("id", F.col("file").alias("_file"), F.coalesce("_target", F.when(F.col("file").isNull(), F.col("_above")), "id").alias("_to"), "candidates")
+    return marked.join(above, ["class", "method"], "left").select("id", "file", F.coalesce("_target", F.when(F.col("file").isNull(), F.col("_above")), "id").alias("_to"), "candidates")
+
+
+def _static() -> Column:
+    return F.coalesce(F.col("call_type") == "STATIC", F.lit(False))
+
+
+def traversal_targets(graph: CodeGraph, calls: DataFrame) -> DataFrame:
+    """`calls` (id, call_type, file and more) with `target`, where a trace goes on, and `candidates`, the implementations of an abstract callee.
+
+    Static calls stay. A method of an interface, a trait, an implemented class or one named like a base goes to its one implementation in source code.
+    What has no file otherwise goes to the class above it that has the method; the rest stays.
+    """
+    to = _led(graph, calls.select("id", "file").distinct()).withColumnRenamed("file", "_file")
     found = calls.join(to, (calls["id"] == to["id"]) & calls["file"].eqNullSafe(to["_file"]), "left").drop(to["id"]).drop("_file")
-    static = F.coalesce(F.col("call_type") == "STATIC", F.lit(False))
-    return found.withColumn("target", F.when(static, F.col("id")).otherwise(F.coalesce("_to", "id"))).withColumn("candidates", F.when(~static, F.col("candidates"))).drop("_to")
+    return found.withColumn("target", F.when(_static(), F.col("id")).otherwise(F.coalesce("_to", "id"))).withColumn("candidates", F.when(~_static(), F.col("candidates"))).drop("_to")
 
 
-def steps(graph: CodeGraph, include_resolved: bool = False) -> DataFrame:
-    """(node, phase, to, next, type, called, candidates): all steps that traces may take; `called` is the callee before it was rewritten."""
+def ways(graph: CodeGraph, include_resolved: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, to, type, called, candidates): where each edge that traces may follow leads, whatever their phase; `called` is the callee before it was rewritten.
+
+    With `nodes` (id), of the calls only those by them.
+    """
     e = graph.edges.where(F.col("type").isin(*{t for _, t, _ in STEPS}) & ((F.col("type") != "CALLS") | visible_call(include_resolved)))
-    files = graph.nodes.select(F.col("id").alias("to_id"), "file")
-    calls = e.where("type = 'CALLS'").join(files, "to_id").where(~framework_noise(F.col("to_id"))).select("from_id", F.col("to_id").alias("id"), "call_type", "file")
-    led = traversal_targets(graph, calls).select("from_id", F.col("target").alias("to"), F.lit("CALLS").alias("type"), F.col("id").alias("called"), "candidates")
+    calls = e.where("type = 'CALLS'").where(~framework_noise(F.col("to_id"))).select("from_id", F.col("to_id").alias("id"), "call_type")
+    if nodes is not None:
+        calls = stored(calls.join(nodes.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi").select("from_id", "id", "call_type"))
+    # what a callee leads to is found once for each, and brought to its calls by one join
+    to = _led(graph, graph.nodes.select("id", "file").join(calls.select("id").distinct(), "id", "left_semi"))
+    led = calls.join(to, "id").select(F.col("from_id").alias("node"), F.when(_static(), F.col("id")).otherwise(F.col("_to")).alias("to"), F.lit("CALLS").alias("type"), F.col("id").alias("called"), F.when(~_static(), F.col("candidates")).alias("candidates"))
     rest = e.where("type <> 'CALLS'").select("from_id", F.col("to_id").alias("to"), "type", F.col("to_id").alias("called"), F.lit(None).cast("long").alias("candidates"))
-    allowed = F.explode(F.array(*[F.struct(F.lit(a).alias("phase"), F.lit(t).alias("t"), F.lit(b).alias("next")) for a, t, b in STEPS]))
-    each = led.unionByName(rest).select("*", allowed.alias("s")).where("s.t = type")
     # members of a component act for it
-    acting = each.select(F.explode(F.when(F.col("type").isin("RENDERS_COMPONENT", "HTTP_REQUEST"), owners(F.col("from_id"))).otherwise(F.array("from_id"))).alias("node"), "s.phase", "to", "s.next", "type", "called", "candidates")
-    return acting.groupBy("node", "phase", "to", "next", "type").agg(F.min("called").alias("called"), F.max("candidates").alias("candidates"))
+    acting = rest.select(F.explode(F.when(F.col("type").isin("RENDERS_COMPONENT", "HTTP_REQUEST"), owners(F.col("from_id"))).otherwise(F.array("from_id"))).alias("node"), "to", "type", "called", "candidates")
+    parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return led.unionByName(acting).repartition(parts, "node").groupBy("node", "to", "type").agg(F.min("called").alias("called"), F.max("candidates").alias("candidates"))
+
+
+def _next() -> Column:
+    """The phase that follows `phase` along `type`; null where it may not go."""
+    return F.create_map(*[F.lit(x) for a, t, b in STEPS for x in (f"{a} {t}", b)])[F.concat_ws(" ", "phase", "type")]
 
 
 def start_states(graph: CodeGraph, starts: DataFrame) -> DataFrame:
@@ -90,25 +109,47 @@ def trace(graph: CodeGraph, starts: DataFrame, depth: int = 4, limit: int | None
     With a limit, each start keeps that many new states a step, those of the weightiest layers first; `dropped` counts the others of the step.
     The state that another comes from is the one whose node sorts first.
     """
-    ways = cut(steps(graph, include_resolved))
+    own = stored(start_states(graph, starts).distinct().select("*", F.monotonically_increasing_id().alias("_n")).select("start", "node", "phase", F.shiftright("_n", 6).alias("block"), F.expr("cast(_n % 64 AS int)").alias("bit")))
+    held = own.select("block", "start", "bit")
+    one = F.expr("shiftleft(1L, bit)")
+    seen = front = stored(own.groupBy("block", "node", "phase").agg(F.bit_or(one).alias("bits")))
     none = F.lit(None).cast("string")
-    seen = cut(start_states(graph, starts).select("start", F.lit(0).alias("hop"), "node", "phase", none.alias("type"), none.alias("called"), F.lit(None).cast("long").alias("candidates"), none.alias("parent"), none.alias("parent_phase"), F.lit(0).cast("long").alias("dropped")))
-    front = seen
-    for hop in range(1, depth + 1):
-        step = front.select("start", "node", "phase").join(ways, ["node", "phase"]).join(seen.select("start", F.col("node").alias("to"), F.col("phase").alias("next")), ["start", "to", "next"], "left_anti")
-        first = F.min_by(F.struct("type", "called", "candidates", F.col("node").alias("parent"), F.col("phase").alias("parent_phase")), F.struct("node", "phase", "type")).alias("b")
-        new = step.groupBy("start", F.col("to").alias("node"), F.col("next").alias("phase")).agg(first).select("start", F.lit(hop).alias("hop"), "node", "phase", "b.*")
-        if limit is not None:
-            new = cut(new)
-            counts = new.groupBy("start").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("dropped"))
-            new = top_per_group(new, ["start"], [F.desc(layer_priority(F.col("node"))), "node", "phase"], limit).join(counts, "start")
-        else:
-            new = new.withColumn("dropped", F.lit(0).cast("long"))
-        front = cut(new.select(*seen.columns))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    found = own.select("start", F.lit(0).alias("hop"), "node", "phase", none.alias("type"), none.alias("called"), F.lit(None).cast("long").alias("candidates"), none.alias("parent"), none.alias("parent_phase"), F.lit(0).cast("long").alias("dropped"))
+    # one step needs the calls of the starts alone
+    with dealt(ways(graph, include_resolved, own.select(F.col("node").alias("id")) if depth == 1 else None), "node") as table:
+        for hop in range(1, depth + 1):
+            new = _new_states(front, table, seen)
+            each = lambda new: new.join(held, "block").where(F.getbit("bits", F.col("bit")) == 1)  # noqa: E731, B023
+            if limit is not None:
+                rows = stored(each(new).select("start", "block", "bit", *STATE))
+                counts = rows.groupBy("start").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("dropped"))
+                rows = stored(top_per_group(rows, ["start"], [F.desc(layer_priority(F.col("node"))), "node", "phase"], limit).join(counts, "start"))
+                front = rows.select("block", "node", "phase", one.alias("bits"))
+            else:
+                new = stored(new)
+                rows, front = each(new).withColumn("dropped", F.lit(0).cast("long")), new
+            front = stored(front.groupBy("block", "node", "phase").agg(F.bit_or("bits").alias("bits")))
+            if front.isEmpty():
+                break
+            found, seen = found.unionByName(rows.select("start", F.lit(hop).alias("hop"), *STATE, "dropped")), seen.unionByName(front)
+    return found
+
+
+#: What is known of a state besides its start and hop.
+STATE = ("node", "phase", "type", "called", "candidates", "parent", "parent_phase")
+
+
+def _new_states(front: DataFrame, ways: DataFrame, seen: DataFrame) -> DataFrame:
+    """(block, bits, and `STATE`): the states one step from `front` that are not `seen` (block, node, phase, bits), by the first state that leads to each.
+
+    What leads to a state, and what was seen of it, is sorted and passed over once; a row keeps those starts that no earlier one had.
+    """
+    step = front.join(ways, "node").withColumn("next", _next()).where("next IS NOT NULL")
+    step = step.select("block", "bits", F.col("to").alias("node"), F.col("next").alias("phase"), "type", "called", "candidates", F.col("node").alias("parent"), F.col("phase").alias("parent_phase"))
+    all_ = seen.withColumn("_seen", F.lit(0)).unionByName(step.withColumn("_seen", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy("block", "node", "phase").orderBy("_seen", "parent", "parent_phase", "type").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(before), F.lit(0).cast("long"))))
+    return all_.withColumn("bits", fresh).where("_seen = 1 AND bits <> 0").select("block", "bits", *STATE)
 
 
 def _edges_by_section(graph: CodeGraph, include_resolved: bool) -> DataFrame:
