@@ -78,3 +78,17 @@ def test_surroundings_and_coverage(spark, flow):
     got = {r.id: (r.complete, r.partial, r.missing, r.warnings) for r in trace.coverage(trace.context_counts(flow, context, calls)).collect()}
     assert got["PayController::store"] == (["entry", "intake", "validation", "calls"], ["field flow to callees"], [], ["no_flow"])
     assert got["PayController::show"] == (["calls"], [], ["entry", "intake", "validation"], ["no_entry", "no_route", "no_fields"])
+
+
+def test_starts_travel_together(spark, monkeypatch):
+    """70 routes of one handler: more than a number's bits, all paths alike, and each call followed once for 64 starts."""
+    routes = [(f"api:GET:/{n}", None, "api_endpoint", None) for n in range(70)]
+    methods = [(f"m{n}", None, "method", "m") for n in range(31)]
+    graph = CodeGraph.of(spark.createDataFrame(routes + methods, "id string, parent string, type string, file string"), spark.createDataFrame([(r[0], "m0", "ROUTES_TO") for r in routes] + [("m0", f"m{n}", "CALLS") for n in range(1, 31)] + [("m1", "m0", "CALLS")], "from_id string, to_id string, type string"))
+    followed, new = [], trace._new_states
+    monkeypatch.setattr(trace, "_new_states", lambda *a: followed.append(new(*a).count()) or new(*a))
+    rows = trace.trace(graph, graph.nodes.where("type = 'api_endpoint'").select("id"), 4).collect()
+    want = {(r[0], h, n, p) for r in routes for h, n, p in [(0, r[0], "route"), (1, "m0", "handler"), *((2, f"m{n}", "call") for n in range(1, 31)), (3, "m0", "call")]}
+    assert {(r.start, r.hop, r.node, r.parent) for r in rows if r.hop == 3} == {(r[0], 3, "m0", "m1") for r in routes}
+    assert len(rows) == len(want) and {(r.start, r.hop, r.node, r.phase) for r in rows} == want
+    assert max(followed[1:]) <= 30 * spark.sparkContext.defaultParallelism < 30 * 70  # the hop to the handler comes from 70 routes
