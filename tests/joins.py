@@ -1,8 +1,8 @@
 """How many rows a query's joins give."""
 
 
-def most_rows(df):
-    """The most rows that a join of an executed plan gives."""
+def most_rows(df, step="Join"):
+    """The most rows that a join, or another step, of an executed plan gives."""
     df.collect()
     todo, most = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
@@ -11,7 +11,7 @@ def most_rows(df):
             p = p.executedPlan()
         if p.getClass().getSimpleName().endswith("QueryStageExec"):
             todo.append(p.plan())
-        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+        if step in p.nodeName() and p.metrics().contains("numOutputRows"):
             most = max(most, p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return most

@@ -100,3 +100,12 @@ def test_route_scoped_entries_meet_only_the_first_clients_and_callers(spark):
     rows = got.collect()
     assert len(rows) == 2000 and {(r.kind, r.from_id) for r in rows} == {("http_client", f"k00{i}") for i in range(5)}
     assert most_rows(got) <= 2000
+
+
+def test_warnings_count_only_edges_that_matter(spark):
+    """Resolved calls and dependencies make no rows, and an edge only those of the ends that it counts for."""
+    edges = [("a", "b", "CALLS", "OVERRIDE_RESOLVED")] * 50 + [("a", "b", "DEPENDS_ON", None)] * 50 + [("a", "b", "CALLS", None), ("r", "a", "ROUTES_TO", None)]
+    g = CodeGraph.of(spark.createDataFrame([("a",), ("b",), ("r",)], "id string"), spark.createDataFrame(edges, "from_id string, to_id string, type string, call_type string"))
+    counts = context.navigation_counts(g, g.nodes.select("id"))
+    assert {(r.id, r.routes, r.callers, r.callees) for r in counts.collect()} == {("a", 1, 0, 1), ("b", 0, 1, 0), ("r", 0, 0, 0)}
+    assert most_rows(counts, "Generate") <= 4

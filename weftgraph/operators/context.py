@@ -96,12 +96,14 @@ def navigation_counts(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     call = visible_call()
     kinds = {"routes": F.col("type") == "ROUTES_TO", "views": F.col("type") == "BLADE_USES_ACTION", "callers": call}
     outs = {"callees": call, "requests": F.col("type") == "HTTP_REQUEST", "fields": F.col("type").isin("ASSIGNS", "READS_FIELD"), "flows": F.col("type").isin("FLOWS_TO", "ARGUMENT_TO")}
-    yes = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-    inward = F.struct(F.col("to_id").alias("id"), *[yes(c).alias(k) for k, c in kinds.items()], *[F.lit(0).cast("long").alias(k) for k in outs])
-    outward = F.struct(F.col("from_id").alias("id"), *[F.lit(0).cast("long").alias(k) for k in kinds], *[yes(c).alias(k) for k, c in outs.items()])
     names = [*kinds, *outs]
-    sums = graph.edges.select(F.explode(F.array(inward, outward)).alias("e")).select("e.*").groupBy("id").agg(*[F.sum(k).alias(k) for k in names])
-    own = graph.nodes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "type", "parent")
+    # an end carries the place of its counter in `names`; ends that no counter counts make no row
+    place = lambda some: F.coalesce(*[F.when(c, names.index(k)) for k, c in some.items()])
+    end = lambda c, some: F.struct(F.col(c).alias("id"), place(some).alias("k"))
+    counted = graph.edges.where(place(kinds | outs).isNotNull())
+    ends = counted.select(F.explode(F.array(end("to_id", kinds), end("from_id", outs))).alias("e")).select("e.*").where("k IS NOT NULL")
+    sums = ends.groupBy("id").agg(*[F.count_if(F.col("k") == i).alias(name) for i, name in enumerate(names)])
+    own = graph.nodes.select("id", "type", "parent").join(ids.select("id"), "id", "left_semi")
     return own.join(sums, "id", "left").fillna(0, names)
 
 
