@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.joins import most_rows
 from weftgraph.functions import predicates, text
 from weftgraph.model import CodeGraph
 from weftgraph.operators import analyzers, inheritance, links, lookups, navigation, search, traversal
@@ -275,3 +276,13 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_call_chain_looks_at_reached_callers_only(spark, monkeypatch):
+    """Calls between others are not ranked."""
+    names = ["s", "a", "b", *(f"x{n}" for n in range(200))]
+    g = graph(spark, [(n, "method", "f") for n in names], [("s", "a", "CALLS"), ("a", "b", "CALLS"), *((f"x{n}", f"x{n + 1}", "CALLS") for n in range(199))])
+    ranked, first = [], traversal.top_per_group
+    monkeypatch.setattr(traversal, "top_per_group", lambda df, *a: ranked.append(df.count()) or first(df, *a))
+    assert {(r.id, r.depth, r.parent) for r in traversal.call_chain(g, ids(spark, "s"), 2).collect()} == {("a", 1, "s"), ("b", 2, "a")}
+    assert max(ranked) == 1

@@ -9,7 +9,7 @@ from weftgraph.functions.predicates import framework_noise, layer_priority, visi
 from weftgraph.model import CodeGraph
 from weftgraph.operators import components
 from weftgraph.sources.graphs import top_per_group
-from weftgraph.sources.storage import cut
+from weftgraph.sources.storage import cut, stored
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -48,19 +48,21 @@ def call_chain(graph: CodeGraph, starts: DataFrame, depth: int = 1, limit: int =
     """
     per_hop = per_hop or limit
     known = graph.nodes.select(F.col("id").alias("to_id"))
-    calls = graph.edges.where(visible_call(include_resolved) & ~framework_noise(F.col("to_id"))).join(known, "to_id", "left_semi").select("from_id", "to_id").distinct()
-    calls = cut(top_per_group(calls, ["from_id"], ["to_id"], per_hop))
-    seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
-    front = seen
+    calls = stored(graph.edges.where(visible_call(include_resolved) & ~framework_noise(F.col("to_id"))).select("from_id", "to_id"))
+    seen = front = stored(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
     for lvl in range(1, depth + 1):
-        step = front.select("start", F.col("id").alias("from_id")).join(calls, "from_id").join(seen.select("start", F.col("id").alias("to_id")), ["start", "to_id"], "left_anti")
+        at = front.select("start", F.col("id").alias("from_id"))
+        # only callers that the level has reached are looked at: their calls are few, if it is small
+        own = stored(calls.join(at.select("from_id"), "from_id", "left_semi").select("from_id", "to_id"))
+        first = top_per_group(own.join(known, "to_id").select("from_id", "to_id").distinct(), ["from_id"], ["to_id"], per_hop)
+        step = at.join(first, "from_id").join(seen.select("start", F.col("id").alias("to_id")), ["start", "to_id"], "left_anti")
         new = step.groupBy("start", "to_id").agg(F.min("from_id").alias("parent"))
         used = seen.where("depth > 0").groupBy("start").agg(F.count("*").alias("used"))
         left = F.lit(limit) - F.coalesce("used", F.lit(0))
         places = F.greatest(F.lit(1), left - F.least(left - 1, F.lit((depth - lvl) * 2)))
         ranked = new.join(used, "start", "left").where(left > 0).withColumn("places", places)
         order = Window.partitionBy("start").orderBy(F.desc(layer_priority(F.col("to_id"))), "to_id")
-        front = cut(ranked.withColumn("_n", F.row_number().over(order)).where("_n <= places").select("start", F.col("to_id").alias("id"), F.lit(lvl).alias("depth"), "parent"))
+        front = stored(ranked.withColumn("_n", F.row_number().over(order)).where("_n <= places").select("start", F.col("to_id").alias("id"), F.lit(lvl).alias("depth"), "parent"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
