@@ -286,3 +286,11 @@ def test_call_chain_looks_at_reached_callers_only(spark, monkeypatch):
     monkeypatch.setattr(traversal, "top_per_group", lambda df, *a: ranked.append(df.count()) or first(df, *a))
     assert {(r.id, r.depth, r.parent) for r in traversal.call_chain(g, ids(spark, "s"), 2).collect()} == {("a", 1, "s"), ("b", 2, "a")}
     assert max(ranked) == 1
+
+
+def test_impact_follows_equal_edges_once(spark):
+    """Edges of the first level are joined once, not again where scores are added up."""
+    g = graph(spark, [(n, "method", "f") for n in "tab"], [("a", "t", "CALLS")] * 500 + [("b", "a", "CALLS"), ("a", "gone", "CALLS"), ("gone", "t", "CALLS"), ("t", "gone", "CALLS")])
+    found = analyzers.change_impact(g, ids(spark, "t", "nowhere"), 2)
+    assert {(r.id, r.direction, r.score, r.distance) for r in found.collect()} == {("a", "caller", 2500.0, 1), ("b", "caller", 3.0, 2)}
+    assert most_rows(found) < 500

@@ -11,8 +11,7 @@ from weftgraph.functions.predicates import ENTRY_TYPES, LAYERS, feature_file_rol
 from weftgraph.functions.text import jaccard, split_terms
 from weftgraph.model import CodeGraph
 from weftgraph.operators.inheritance import lineage
-from weftgraph.operators.traversal import bfs_levels
-from weftgraph.sources.storage import cut
+from weftgraph.sources.storage import cut, stored
 
 # What an edge adds to the impact on its source, and on its target.
 WEIGHTS_IN = {"CALLS": 5, "DEPENDS_ON": 4, "EXTENDS": 3, "IMPLEMENTS": 2, "ROUTES_TO": 5, "BLADE_USES_ACTION": 4}
@@ -52,12 +51,16 @@ def _weight(table: dict[str, int]) -> Column:
     return out
 
 
+def _impact_kinds(graph: CodeGraph, include_resolved: bool, include_depends_on: bool) -> DataFrame:
+    """Edges that carry impact, whatever their ends."""
+    kinds = visible_call(include_resolved) | F.col("type").isin("EXTENDS", "IMPLEMENTS", *ENTRY_TYPES) | (F.lit(include_depends_on) & (F.col("type") == "DEPENDS_ON"))
+    return graph.edges.where(kinds).select("from_id", "to_id", "type")
+
+
 def impact_edges(graph: CodeGraph, include_resolved: bool = False, include_depends_on: bool = False) -> DataFrame:
     """Edges that carry impact and whose ends are both nodes."""
-    kinds = visible_call(include_resolved) | F.col("type").isin("EXTENDS", "IMPLEMENTS", *ENTRY_TYPES) | (F.lit(include_depends_on) & (F.col("type") == "DEPENDS_ON"))
     known = graph.nodes.select("id")
-    e = graph.edges.where(kinds).select("from_id", "to_id", "type")
-    return e.join(known.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return _impact_kinds(graph, include_resolved, include_depends_on).join(known.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
 def change_impact(graph: CodeGraph, targets: DataFrame, depth: int = 2, decay: str = "0.6", include_resolved: bool = False, include_depends_on: bool = False) -> DataFrame:
@@ -66,21 +69,33 @@ def change_impact(graph: CodeGraph, targets: DataFrame, depth: int = 2, decay: s
     Each edge into a node that is reached at level l adds its weight times decay ** l to its source, so nodes are
     expanded once and edges counted once. Scores are exact decimals until the end.
     """
-    e = cut(impact_edges(graph, include_resolved, include_depends_on))  # read once for each level, and for both directions
-    seeds = targets.select(F.col("id").alias("batch"), F.col("id").alias("node"))
-    levels = bfs_levels(e.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), seeds, depth - 1)
-    factor = F.lit(0).cast("decimal(18,6)")
+    if depth < 1:
+        raise ValueError("impact goes one level up at least")
+    nodes = graph.nodes.select("id")
+    # what an edge comes from is a node; what it leads to is a target, which is one too, or came before it
+    e = stored(_impact_kinds(graph, include_resolved, include_depends_on).join(nodes.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "type"))
+    own = stored(nodes.join(targets.select("id"), "id", "left_semi").distinct())
+    found = front = own.select(F.col("id").alias("batch"), F.col("id").alias("to_id"))
+    levels = None
     for lvl in range(depth):
-        factor = F.when(F.col("lvl") == lvl, F.lit(Decimal(decay) ** lvl).cast("decimal(18,6)")).otherwise(factor)
-    up = levels.withColumnRenamed("node", "to_id").join(e, "to_id").where("from_id <> batch")
-    # several edges of one level and type add up before they are weighed
-    callers = (
-        up.groupBy("batch", F.col("from_id").alias("id"), "lvl", "type").agg(F.count("*").alias("n"))
-        .groupBy("batch", "id").agg(F.sum(F.col("n") * _weight(WEIGHTS_IN) * factor).cast("double").alias("score"), (F.min("lvl") + 1).alias("distance"))
-        .select(F.col("batch").alias("target"), "id", F.lit("caller").alias("direction"), "score", "distance")
-    )
-    down = e.join(targets.select(F.col("id").alias("from_id")), "from_id", "left_semi").groupBy(F.col("from_id").alias("target"), F.col("to_id").alias("id"))
-    callees = down.agg(F.sum(_weight(WEIGHTS_OUT)).cast("double").alias("score")).select("target", "id", F.lit("callee").alias("direction"), "score", F.lit(1).alias("distance"))
+        # equal edges of one level and type count together
+        up = front.join(e, "to_id").where("from_id <> batch").groupBy("batch", F.col("from_id").alias("id")).agg(F.sum(_weight(WEIGHTS_IN)).alias("n"))
+        last = lvl == depth - 1
+        up = up if last else stored(up)
+        part = up.select("batch", "id", F.lit(lvl).alias("lvl"), "n")
+        levels = part if levels is None else levels.unionByName(part)
+        if not last:
+            front = stored(up.select("batch", F.col("id").alias("to_id")).join(found, ["batch", "to_id"], "left_anti"))
+            if front.isEmpty():
+                break
+            found = found.unionByName(front)
+    # whole numbers are added up level by level, and weighed at the end
+    at = [F.sum(F.when(F.col("lvl") == lvl, F.col("n"))).alias(f"n{lvl}") for lvl in range(depth)]
+    sums = levels.groupBy("batch", "id").agg(*at, (F.min("lvl") + 1).alias("distance"))
+    score = sum((F.coalesce(F.col(f"n{lvl}"), F.lit(0)).cast("decimal(20,0)") * F.lit(Decimal(decay) ** lvl).cast("decimal(18,6)") for lvl in range(1, depth)), F.coalesce("n0", F.lit(0)).cast("decimal(38,6)"))
+    callers = sums.select(F.col("batch").alias("target"), "id", F.lit("caller").alias("direction"), score.cast("double").alias("score"), "distance")
+    known = e.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi").groupBy(F.col("from_id").alias("target"), F.col("to_id").alias("id")).agg(F.sum(_weight(WEIGHTS_OUT)).cast("double").alias("score"))
+    callees = known.join(nodes, "id", "left_semi").select("target", "id", F.lit("callee").alias("direction"), "score", F.lit(1).alias("distance"))
     return callers.unionByName(callees)
 
 
