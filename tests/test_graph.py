@@ -294,3 +294,10 @@ def test_impact_follows_equal_edges_once(spark):
     found = analyzers.change_impact(g, ids(spark, "t", "nowhere"), 2)
     assert {(r.id, r.direction, r.score, r.distance) for r in found.collect()} == {("a", "caller", 2500.0, 1), ("b", "caller", 3.0, 2)}
     assert most_rows(found) < 500
+
+
+def test_feature_asks_for_the_types_of_shown_files_only(spark):
+    nodes = [("pay", "class", "pay.php"), *((f"n{n}", "class", f"n{n:03}.php") for n in range(100))]
+    found = navigation.feature(graph(spark, nodes, [("pay", f"n{n}", "CALLS") for n in range(100)]), "pay", 5)
+    assert [r.file for r in found.collect()] == ["pay.php", "n000.php", "n001.php", "n002.php", "n003.php"]
+    assert most_rows(found) < 100
