@@ -92,3 +92,11 @@ def test_starts_travel_together(spark, monkeypatch):
     assert {(r.start, r.hop, r.node, r.parent) for r in rows if r.hop == 3} == {(r[0], 3, "m0", "m1") for r in routes}
     assert len(rows) == len(want) and {(r.start, r.hop, r.node, r.phase) for r in rows} == want
     assert max(followed[1:]) <= 30 * spark.sparkContext.defaultParallelism < 30 * 70  # the hop to the handler comes from 70 routes
+
+
+def test_edges_of_other_subjects_go_first(spark):
+    """Only edges about what is asked for are kept, before callers are looked up."""
+    calls = [(f"x{n}", f"x{n + 1}", "CALLS") for n in range(100)] + [("x1", "M", "CALLS"), ("gone", "M", "CALLS")]
+    graph = CodeGraph.of(spark.createDataFrame([("M",), *((f"x{n}",) for n in range(101))], "id string"), spark.createDataFrame(calls, "from_id string, to_id string, type string"))
+    rows = trace._edges_by_section(graph, False, spark.createDataFrame([("m",), ("m",)], "subject string")).collect()
+    assert [(r.subject, r.section, r.from_id) for r in rows] == [("m", "calls", "x1")]

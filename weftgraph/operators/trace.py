@@ -18,7 +18,7 @@ from weftgraph.operators.inheritance import resolve_through_inheritance
 from weftgraph.operators.lookups import abstract_targets, implementations
 from weftgraph.operators.navigation import http_clients, http_downstream, route_handlers
 from weftgraph.sources.graphs import top_per_group
-from weftgraph.sources.storage import cut, dealt, stored
+from weftgraph.sources.storage import dealt, stored
 
 #: (phase, edge type, next phase): what each phase may follow.
 STEPS = (
@@ -152,8 +152,8 @@ def _new_states(front: DataFrame, ways: DataFrame, seen: DataFrame) -> DataFrame
     return all_.withColumn("bits", fresh).where("_seen = 1 AND bits <> 0").select("block", "bits", *STATE)
 
 
-def _edges_by_section(graph: CodeGraph, include_resolved: bool) -> DataFrame:
-    """(subject, section, kind, from_id, to_id, via): the edges that say something about a subject, from one pass over them."""
+def _edges_by_section(graph: CodeGraph, include_resolved: bool, wanted: DataFrame) -> DataFrame:
+    """(subject, section, kind, from_id, to_id, via): the edges that say something about a subject in `wanted`, from one pass over them."""
     row = lambda section, subject: F.struct(F.lit(section).alias("section"), subject.alias("subject"))
     at = lambda c: F.array(F.lower(F.col(c)))
     scoped = F.array_union(owners(F.lower("from_id")), owners(F.lower("to_id")))
@@ -171,13 +171,15 @@ def _edges_by_section(graph: CodeGraph, include_resolved: bool) -> DataFrame:
     out = F.when(F.col("type").isin("ASSIGNS", "FLOWS_TO", "ARGUMENT_TO"), F.array(row("out", F.lower("from_id")))).otherwise(F.array().cast("array<struct<section:string,subject:string>>"))
     all_ = F.concat(F.coalesce(kinds, F.array().cast("array<struct<section:string,subject:string>>")), out)
     each = graph.edges.select(F.explode(all_).alias("s"), F.col("type").alias("kind"), "from_id", "to_id", "via").select("s.*", "kind", "from_id", "to_id", "via")
+    # most edges are about other subjects: they go before anything else is asked of them
+    each = stored(each.join(wanted.select("subject"), "subject", "left_semi"))
     callers = graph.nodes.select(F.col("id").alias("from_id"))
     return each.where("section <> 'calls'").unionByName(each.where("section = 'calls'").join(callers, "from_id", "left_semi").select(*each.columns)).distinct()
 
 
 def _subjects(graph: CodeGraph, targets: DataFrame, limit: int) -> DataFrame:
     """(target, kind, subject, most): the methods, or other nodes, whose surroundings make up a target's."""
-    own = cut(graph.nodes.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target"), "type"))
+    own = stored(graph.nodes.join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("target"), "type"))
     end = F.col("type").isin("api_endpoint", "http_endpoint")
     kind = F.when(F.col("type") == "method", "method").when(F.col("type") == "class", "class").when(end, "endpoint").otherwise("other")
     own = own.select("target", kind.alias("kind"))
@@ -208,8 +210,8 @@ def navigation_context(graph: CodeGraph, targets: DataFrame, limit: int = 20, in
     endpoint takes the fields of its handler, its own route, and that route's clients; anything else has what it requests and passes on.
     Reads of a field that an assignment from the request continues, and flows that a known argument continues, are left out.
     """
-    subjects = cut(_subjects(graph, targets, limit))
-    by_edge = _edges_by_section(graph, include_resolved)
+    subjects = stored(_subjects(graph, targets, limit))
+    by_edge = _edges_by_section(graph, include_resolved, subjects.select(F.lower("subject").alias("subject")))
     requested = graph.edges.where("type = 'HTTP_REQUEST'").select(F.col("from_id").alias("client"), F.col("to_id").alias("endpoint"))
     asks = requested.join(route_handlers(graph, None), "endpoint").select(F.lower("handler").alias("subject"), F.lit("http_upstream").alias("section"), F.lit("HTTP_REQUEST").alias("kind"), F.col("client").alias("from_id"), F.col("endpoint").alias("to_id"), F.col("handler").alias("via"))
     asked = http_downstream(graph, limit).select(F.lower("client").alias("subject"), F.lit("http_downstream").alias("section"), F.lit("HTTP_REQUEST").alias("kind"), F.col("client").alias("from_id"), F.col("endpoint").alias("to_id"), F.col("handler").alias("via"))
@@ -218,7 +220,7 @@ def navigation_context(graph: CodeGraph, targets: DataFrame, limit: int = 20, in
     near = subjects.select("target", F.col("kind").alias("of"), F.col("subject").alias("own"), F.lower("subject").alias("subject"), "most").join(rows, "subject").where(F.array_contains(gives[F.col("section")], F.col("of")))
     out = F.col("section") == "out"
     near = near.withColumn("section", F.when(out & (F.col("kind") == "ASSIGNS"), "field_assignments").when(out, "field_flows").otherwise(F.col("section")))
-    kept = cut(_unread(cut(_first(near))))
+    kept = stored(_unread(stored(_first(near))))
     routed = _route_rows(graph, targets, limit, include_resolved)
     members = _class_routes(graph, subjects, limit)
     calls = kept.where("section = 'calls'")
@@ -256,7 +258,7 @@ def _route_rows(graph: CodeGraph, targets: DataFrame, limit: int, include_resolv
     ends = graph.nodes.where("type IN ('api_endpoint', 'http_endpoint')").join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("target"))
     routes = graph.edges.where("type = 'ROUTES_TO'").select(F.col("from_id").alias("route"), F.col("to_id").alias("handler"))
     resolved = graph.edges.where("type = 'RESOLVES_TO'").select(F.col("from_id").alias("target"), F.col("to_id").alias("route")).join(ends, "target", "left_semi").unionByName(ends.select("target", F.col("target").alias("route")))
-    pair = cut(resolved.join(routes, "route").groupBy("target").agg(F.min("route").alias("route"), F.min("handler").alias("handler")))
+    pair = stored(resolved.join(routes, "route").groupBy("target").agg(F.min("route").alias("route"), F.min("handler").alias("handler")))
     null = F.lit(None).cast("string").alias("via")
     own = pair.select("target", F.lit("route_entries").alias("section"), F.lit("ROUTES_TO").alias("kind"), F.col("route").alias("from_id"), F.col("handler").alias("to_id"), null)
     clients = top_per_group(http_clients(graph, None).select(F.col("endpoint").alias("route"), "client").join(pair, "route"), ["target"], ["client"], limit)
