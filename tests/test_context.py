@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from tests.joins import most_rows
 from weftgraph.functions import text
 from weftgraph.model import CodeGraph
-from weftgraph.operators import context
+from weftgraph.operators import context, navigation
+from weftgraph.plans import queries as graph_queries
+from weftgraph.plans import registry
 from weftgraph.sources import graphs
 
 
@@ -109,3 +111,16 @@ def test_warnings_count_only_edges_that_matter(spark):
     counts = context.navigation_counts(g, g.nodes.select("id"))
     assert {(r.id, r.routes, r.callers, r.callees) for r in counts.collect()} == {("a", 1, 0, 1), ("b", 0, 1, 0), ("r", 0, 0, 0)}
     assert most_rows(counts, "Generate") <= 4
+
+
+def test_every_handler_counts_for_the_data_layer(spark, monkeypatch):
+    """The last handler of many, and the last callee of many, decide as the first would; what reaches only itself does not."""
+    calls = [("api:a", f"C{i:02}::act", "ROUTES_TO") for i in range(30)] + [("C29::act", f"S::m{i:02}", "CALLS") for i in range(40)] + [("S::m39", "OrderRepository::load", "CALLS")]
+    own = [("api:b", "R1Repository::x", "ROUTES_TO"), ("R1Repository::x", "T::y", "CALLS"), ("T::y", "R1Repository::x", "CALLS")]
+    edges = spark.createDataFrame(calls + own, "from_id string, to_id string, type string")
+    ids = sorted({e[k] for e in calls + own for k in (0, 1)})
+    g = CodeGraph.of(spark.createDataFrame([(i, "api_endpoint" if i.startswith("api:") else "method") for i in ids], "id string, type string"), edges)
+    monkeypatch.setattr(graph_queries, "fx1", lambda spark, sf_dir: g)
+    assert [tuple(r) for r in registry.queries()["a17_data_layer_reach"](spark, "").collect()] == [(2, 1)]
+    starts = spark.createDataFrame([(i,) for i in ids], "id string")
+    assert {(r.start, r.depth) for r in navigation.data_layer_reach(g, starts, 3).collect()} == {("S::m39", 1), ("C29::act", 2), ("T::y", 1)}
