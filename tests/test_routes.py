@@ -104,3 +104,11 @@ def test_repeated_edges_do_not_multiply(spark):
     assert len(navigation.http_downstream(g, 2).collect()) == 6
     # no join gives more rows than there are edges
     assert most_rows(got) <= 9000
+
+
+def test_downstream_query_gives_all_of_every_client(spark, tmp_path):
+    """A client of fifty endpoints has a row for each, and one for each of an endpoint's handlers."""
+    spark.range(50).selectExpr("id AS l_partkey", "1 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "0 AS p_size", "'b' AS p_brand").unionByName(spark.range(39).selectExpr("150 * id AS p_partkey", "0 AS p_size", "'b' AS p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    rows = registry.queries()["j4_http_downstream"](spark, str(tmp_path)).collect()
+    assert len({r.endpoint for r in rows}) == 50 and len(rows) == 49 + 4

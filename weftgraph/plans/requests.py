@@ -121,11 +121,11 @@ def g24_http_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 , v AS (SELECT e.from_id AS client, e.to_id AS endpoint, a.alias, r.to_id AS handler FROM (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'HTTP_REQUEST') e JOIN alias a ON a.endpoint = e.to_id LEFT JOIN (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'ROUTES_TO') r ON r.from_id = a.alias),
 s AS (SELECT DISTINCT client, endpoint, handler, (CASE WHEN handler IS NULL THEN -200 ELSE 0 END + CASE WHEN alias LIKE '%/api/v1/%' THEN 100 ELSE 0 END)::INT AS score FROM v),
 t AS (SELECT *, max(score) OVER (PARTITION BY client, endpoint) AS top FROM s)
-SELECT client, endpoint, handler, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY endpoint, handler NULLS FIRST) AS n FROM t WHERE score = top) WHERE n <= 20
+SELECT client, endpoint, handler, score FROM t WHERE score = top
 """)
 def j4_http_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every client's requests reach."""
-    return navigation.http_downstream(http_graph(spark, sf_dir))
+    """All that every client's requests reach."""
+    return navigation.http_downstream(http_graph(spark, sf_dir), None)
 
 
 @register("g33_route_middleware", HTTP_WITH + "SELECT DISTINCT from_id AS endpoint, substr(to_id, 4) AS middleware FROM edges WHERE type = 'USES_MIDDLEWARE'")
