@@ -1,13 +1,16 @@
 """Resolving passes on small graphs with known answers, and their queries against DuckDB."""
 
+import random
 import re
 
 import duckdb
 import pytest
 
+from tests.joins import most_rows
 from tests.test_graph import graph
 from weftgraph.model import CodeGraph
 from weftgraph.operators import links, resolution
+from weftgraph.plans import queries as graph_queries
 from weftgraph.plans import registry
 from weftgraph.plans import resolution as plans  # noqa: F401  registers its queries
 
@@ -67,3 +70,26 @@ def test_new_calls_are_told_apart_by_their_ends(spark):
     assert sorted((r.id, r.from_id, r.to_id, r.type, r.call_type) for r in found.collect()) == [(f"A::x->C{i}::m", "A::x", f"C{i}::m", "CALLS", "OVERRIDE_RESOLVED") for i in (1, 2, 3)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.match(r"Aggregate \[from_id#\d+, to_id#\d+\]", plan)
+
+
+def test_counts_of_override_calls_without_pairs(spark):
+    """As many as there are pairs: under single parents, several, loops, methods of two classes, repeated calls and rows."""
+    rng = random.Random(7)
+    up = [(f"C{i}", f"C{i // 2}") for i in range(1, 40)] + [(f"D{i}", f"D{i - 1}") for i in range(1, 12)] + [("D5", "C3"), ("L1", "L2"), ("L2", "L1"), ("L3", "L1"), ("L4", "L3"), ("D11", "D11")]
+    classes = sorted({c for e in up for c in e})
+    nodes = [(f"{c}::{m}", c, m, "method") for c in classes for m in ("a", "b") if rng.random() < 0.8] * 2 + [("C30::a", "D3", "a", "method"), ("C9::x", "C9", "a", "method"), (None, "C4", "a", "method")]
+    calls = [(f"f{rng.randrange(9)}" if rng.random() < 0.9 else None, f"{rng.choice(classes)}::{rng.choice('abc')}", "CALLS") for _ in range(300)]
+    edges = spark.createDataFrame([(*e, "EXTENDS") for e in up * 2] + calls * 2, "from_id string, to_id string, type string")
+    g = CodeGraph.of(spark.createDataFrame(nodes, "id string, parent string, name string, type string"), edges)
+    want = links.override_calls(g).groupBy("to_id").count().collect()
+    assert sorted(map(repr, map(tuple, links.override_counts(g).collect()))) == sorted(repr(tuple(r)) for r in want) and len(want) > 60
+
+
+def test_override_query_makes_no_pairs(spark, monkeypatch):
+    """The calls of a chain's top are counted once, not once for each class below it."""
+    chain = spark.range(1, 60).selectExpr("concat('K', id) AS from_id", "concat('K', id - 1) AS to_id", "'EXTENDS' AS type")
+    top = spark.range(500).selectExpr("concat('f', id) AS from_id", "'K0::m' AS to_id", "'CALLS' AS type")
+    deep = CodeGraph.of(spark.range(60).selectExpr("concat('K', id, '::m') AS id", "concat('K', id) AS parent", "'m' AS name", "'method' AS type"), chain.unionByName(top))
+    monkeypatch.setattr(graph_queries, "fx1", lambda spark, sf_dir: deep)
+    found = registry.queries()["l9_override_calls"](spark, "")
+    assert {tuple(r) for r in found.collect()} == {(f"K{i}::m", 500) for i in range(1, 60)} and most_rows(found) < 2000

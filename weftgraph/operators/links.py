@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import comparable_path, endpoint_path, endpoint_verb
 from weftgraph.model import CodeGraph
-from weftgraph.operators.inheritance import lineage
+from weftgraph.operators.inheritance import chains, forest, lineage
+from weftgraph.sources.storage import stored
 
 
 def link_endpoints(clients: DataFrame, routes: DataFrame) -> DataFrame:
@@ -61,15 +62,78 @@ def interface_calls(graph: CodeGraph) -> DataFrame:
     return _resolved(_calls(graph, ()), impl.join(m, "owner"), "INTERFACE_RESOLVED")
 
 
+#: Calls that are no calls of what overrides their callee.
+_FIXED = ("STATIC", "EXTENDS_RESOLVED", "OVERRIDE_RESOLVED")
+
+
+def _overriding(graph: CodeGraph) -> DataFrame:
+    """(owner, method, target): the methods that may override others."""
+    return graph.nodes.where("type = 'method' AND coalesce(is_abstract, false) = false").select(F.col("parent").alias("owner"), F.col("name").alias("method"), F.col("id").alias("target"))
+
+
 def override_calls(graph: CodeGraph) -> DataFrame:
     """Calls of a class's method, also to the overriding methods of its descendants."""
-    calls = _calls(graph, ("STATIC", "EXTENDS_RESOLVED", "OVERRIDE_RESOLVED")).distinct()
-    m = graph.nodes.where("type = 'method' AND coalesce(is_abstract, false) = false").select(F.col("parent").alias("owner"), F.col("name").alias("method"), F.col("id").alias("target"))
-    m = m.join(calls.select("method").distinct(), "method", "left_semi")  # other names are called nowhere
+    calls = _calls(graph, _FIXED).distinct()
+    return _override_pairs(graph, calls, _overriding(graph).join(calls.select("method").distinct(), "method", "left_semi"))  # other names are called nowhere
+
+
+def _override_pairs(graph: CodeGraph, calls: DataFrame, m: DataFrame) -> DataFrame:
     up = lineage(graph, m.select(F.col("owner").alias("id")).distinct()).select(F.col("dst").alias("class"), F.col("src").alias("owner"))
     return _resolved(calls, up.join(m, "owner"), "OVERRIDE_RESOLVED")
 
 
+def override_counts(graph: CodeGraph) -> DataFrame:
+    """(to_id, n): how many calls `override_calls` gives each overriding method, counted without making them.
+
+    Where every class on the way up has one parent, the callers of a method's ancestors are counted at the topmost class that each calls: classes are numbered so
+    that those under a class follow it without a gap, a caller's calls are sorted by that number once, and one that lies under an earlier one is not new. What a
+    class adds is then summed along the ancestors of each method. Classes of several parents or in loops, what descends from them, and methods
+    that stand in several classes are counted by their pairs.
+    """
+    up, mixed = _spans(graph)
+    m = stored(_overriding(graph).join(up.select("id").unionByName(mixed).select(F.col("id").alias("owner")), "owner", "left_semi").distinct())
+    unlike = m.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target")
+    owners = mixed.select(F.col("id").alias("owner"))
+    other = m.join(owners, "owner", "left_anti")
+    rest = stored(m.join(owners, "owner", "left_semi").unionByName(other.join(unlike, "target", "left_semi")))
+    plain = other.join(unlike, "target", "left_anti")
+    above = stored(up.withColumnRenamed("id", "owner").join(plain, "owner").select("target", "method", "class", "tree", "first", "last"))
+    # only calls of what some method overrides matter
+    wanted = stored(above.select("class", "method", "tree", "first", "last").distinct())
+    calls = _calls(graph, _FIXED).join(wanted, ["class", "method"]).select("from_id", "method", "tree", "first", "last")
+    before = Window.partitionBy("from_id", "method", "tree").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    new = calls.withColumn("_end", F.max("last").over(before)).where("_end IS NULL OR _end < first").groupBy("tree", "first", "method").agg(F.count("*").alias("n"))
+    counts = above.select("target", "method", "tree", "first").join(stored(new), ["tree", "first", "method"]).groupBy(F.col("target").alias("to_id")).agg(F.sum("n").alias("n"))
+    if rest.isEmpty():
+        return counts
+    called = _calls(graph, _FIXED).join(rest.select("method").distinct(), "method", "left_semi").distinct()
+    return counts.unionByName(_override_pairs(graph, called, rest).groupBy("to_id").agg(F.count("*").alias("n")))
+
+
+def _spans(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
+    """(id, class, tree, first, last): of each class that descends by single parents the classes above it, with their numbers and the last number under each;
+    and (id): the classes that have several parents, run in loops, or descend from such."""
+    parents = stored(graph.edges.where("type = 'EXTENDS' AND from_id <> to_id").select(F.col("from_id").alias("id"), F.col("to_id").alias("up")).distinct())
+    several = stored(parents.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    trees = forest(parents.join(several, "id", "left_anti"))
+    straight = stored(parents.join(several, "id", "left_anti").join(trees.looped.select("id"), "id", "left_anti"))
+    pairs = stored(chains(trees, straight).join(trees.looped.select("id"), "id", "left_anti"))
+    under = pairs.join(several.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
+    mixed = stored(several.unionByName(trees.looped.select("id")).unionByName(under).distinct())
+    pairs = pairs.join(mixed, "id", "left_anti").select("id", "ancestor", "dist")
+    below = stored(pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("below")))
+    # a child's number is its parent's, and one more for each class at or under the children before it, and one
+    own = straight.join(mixed, "id", "left_anti").join(below, "id", "left").select("id", "up", (F.coalesce("below", F.lit(0)) + 1).alias("size"))
+    place = own.withColumn("place", F.sum("size").over(Window.partitionBy("up").orderBy("id")) - F.col("size") + 1).select(F.col("id").alias("ancestor"), "place")
+    way = pairs.unionByName(own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("dist"))).join(place, "ancestor", "left")
+    tops = below.join(own.select("id"), "id", "left_anti").select("id")
+    numbered = stored(tops.select(F.col("id").alias("top"), F.monotonically_increasing_id().alias("tree")))
+    at = way.groupBy("id").agg(F.sum("place").alias("first"), F.max_by("ancestor", "dist").alias("top"))
+    spans = at.unionByName(tops.select("id", F.lit(0).cast("long").alias("first"), F.col("id").alias("top"))).join(numbered, "top").join(below, "id")
+    spans = stored(spans.select(F.col("id").alias("class"), "tree", "first", (F.col("first") + F.col("below")).alias("last")))
+    return pairs.select("id", F.col("ancestor").alias("class")).join(spans, "class"), mixed
+
+
 def argument_edges(graph: CodeGraph) -> DataFrame:
     """(from_id, to_id, argument_index): flows into a method as flows into its parameter at that place."""
     flows = graph.edges.where("type = 'FLOWS_TO'").select("from_id", F.col("to_id").alias("method"), "argument_index")
