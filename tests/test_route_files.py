@@ -1,7 +1,9 @@
 """Routes of route files: nested groups, modifiers, imports, and what must count for nothing."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftgraph.functions.text import normalize_route_path
 from weftgraph.operators import route_files
 from weftgraph.plans import routing  # noqa: F401  registers its queries
 
@@ -85,3 +87,12 @@ def test_routes_are_not_joined(spark):
 def test_sql(spark, sf_dir, name):
     got, want = compared(spark, sf_dir, name)
     assert got == want and got
+
+
+def test_routes_are_read_in_one_pass(spark):
+    """No pattern is tried on rows of statements once files have met their groups, and a path is normalised by one expression of each kind."""
+    files = spark.createDataFrame([("a.php", HEAD + "Route::get('/x', A::class);")], "file string, text string")
+    plan = route_files.routes(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.split("Join LeftOuter")[0] and "Join LeftOuter" in plan
+    path = files.select(normalize_route_path(F.col("file")).alias("path"))._jdf.queryExecution().optimizedPlan().toString()
+    assert path.count("regexp_replace") <= 3

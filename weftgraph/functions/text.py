@@ -11,9 +11,9 @@ GENERIC_TERMS = "app apps src source packages clientpackages resources assets js
 
 def normalize_route_path(path: Column) -> Column:
     """`{x}` as `{param}`, single slashes, none at the ends; an empty path is `/`."""
-    p = F.regexp_replace(F.regexp_replace(path, r"\{[^}]+\}", "{param}"), "/+", "/")
-    p = F.regexp_replace(F.regexp_replace(p, "/$", ""), "^/", "")
-    return F.when(p == "", "/").otherwise(p)
+    p = F.btrim(F.regexp_replace(F.regexp_replace(path, r"\{[^}]+\}", "{param}"), "/{2,}", "/"), F.lit("/"))
+    # a condition on it would make it twice
+    return F.regexp_replace(p, r"\A\z", "/")
 
 
 def strip_api_prefix(path: Column) -> Column:

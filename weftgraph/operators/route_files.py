@@ -2,8 +2,8 @@
 
 Files are cut into statements, each up to its `;`, `{` or `}`; strings and comments are taken whole, so that brackets in either count for
 nothing. A group is a statement that opens a block. Only statements that open or close something become rows of windows: the depth of blocks is a running
-sum over them, and a block ends at the next brace of its level. What they give is one row for each file, which meets the file's text again. A statement
-then takes the prefixes and middleware of every group whose block it stands in, and its call is read where it stands: routes are never sorted or dealt out.
+sum over them, and a block ends at the next brace of its level. What they give is one row for each file, which meets the file's text again. Then each file is read
+in one pass in a task: a statement takes the prefixes and middleware of every group whose block it stands in, and its call is read where it stands: routes are never sorted or dealt out.
 
 A route without a controller class (closures, views) is none, nor is one without a path or in a comment. Blocks without an end give no
 group. Null texts and empty tables give no routes; repeated rows of a file count once.
@@ -11,6 +11,9 @@ group. Null texts and empty tables give no routes; repeated rows of a file count
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +87,14 @@ def statements(files: DataFrame) -> DataFrame:
 
 
 def _depths(said: Column) -> Column:
-    """(depth, least, place, end): parentheses open after a text, the fewest on the way, its length, and where the one that it begins with is closed (0: it is not)."""
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("depth", "least", "place", "end")])
+    """(depth, least): parentheses open after a text, and the fewest on the way."""
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("depth", "least")])
 
     def step(s: Column, token: Column) -> Column:
         depth = s["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
-        place = s["place"] + F.length(token)
-        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"), place.alias("place"), F.when((s["end"] == 0) & (depth == 0) & (token == ")"), place).otherwise(s["end"]).alias("end"))
-
-    return F.aggregate(F.regexp_extract_all(said, F.lit(rf"{_QUOTED}|[()]|[^'\"()]++"), F.lit(0)), zero, step)
+        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"))
 
-
-def _end(call: Column) -> Column:
-    """The place where the parenthesis that a text begins with is closed; 0 if it is not."""
-    near = F.length(F.regexp_extract(call, "^" + _CLOSED, 0))
-    return F.when(near > 0, near).otherwise(F.when(call != "", _depths(call)["end"]).otherwise(0))
+    return F.aggregate(F.regexp_extract_all(said, F.lit(rf"{_QUOTED}|[()]"), F.lit(0)), zero, step)
 
 
 def _once(value: Column) -> Column:
@@ -133,9 +129,105 @@ def brackets(files: DataFrame) -> DataFrame:
     return d.groupBy("file").agg(F.array_sort(F.collect_list(F.when(is_group, group))).alias("groups"), F.collect_list(F.when(unclosed & F.col("least").isNotNull(), F.struct("at", "least"))).alias("later"))
 
 
-def _joined_path(prefix: Column, path: Column) -> Column:
-    both = F.concat(F.regexp_replace(prefix, "/+$", ""), F.lit("/"), path)
-    return F.regexp_replace(both, "/+", "/")
+#: The patterns by which statements and calls are read in tasks. Classes and cases are those of ASCII, and ends of lines those that Java's patterns know, as in the columns above.
+_read = lambda pattern: re.compile(pattern.replace(r"\z", r"\Z"), re.ASCII)
+_STATEMENTS, _SAID = _read(STATEMENT), _read(rf"((?:{_QUOTED}|[^'\"/#\s]++|/(?![/*]))++)|{_COMMENT}|\s++")
+_ROUTES, _ENDS, _TOKENS = _read(rf"{_QUOTED}|{ROUTE_CALL}"), _read(_CLOSED), _read(rf"{_QUOTED}|[()]|[^'\"()]++")
+_ANY_ROUTE = _read(ROUTE_CALL)
+_STRINGS, _CLASSES = _read(_STRING.replace(r"\\.", r"\\[^\n\r\u0085\u2028\u2029]")), _read(_CLASS)
+_PAIR = _read(r"\[([A-Za-z0-9_\\]+)::class,['\"]([^'\"]+)['\"]\]")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_\\")
+_GUARDS, _LISTED = _read(r"(?i)(?:Route::|->)middleware" + _INSIDE), _read(r"['\"]([^'\"]+)['\"]")
+_CHOSEN = {name: _read(rf"->{name}\(([^)]*)\)") for name in ("only", "except")}
+_SLASHES, _LAST_SLASHES = re.compile("/+"), re.compile(r"/+(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)")
+
+ROUTES = "file string, at bigint, verb string, path string, controller string, action string, middleware array<string>, mount string"
+
+
+def _token_depths(text: str) -> tuple[int, int]:
+    """(depth, end): parentheses open after a text, and the place after the one that closes what it begins with (0: nothing does)."""
+    depth = place = end = 0
+    for token in _TOKENS.findall(text):
+        place += len(token)
+        depth += (token == "(") - (token == ")")
+        if token == ")" and depth == 0 and end == 0:
+            end = place
+    return depth, end
+
+
+def _calls_of(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(spot, nth, said, call) of the calls in a file that may define routes: `call` goes from its name to the end of its statement."""
+    for spot, m in enumerate(_STATEMENTS.finditer(text)):
+        said = "".join(_SAID.findall(m.group()))
+        lower = said.lower()
+        at = lower.find("route::")
+        if at < 0:
+            continue
+        if len(lower) == len(said) and lower.find("route::", at + 1) < 0 and "'" not in said[:at] and '"' not in said[:at]:
+            # one name, and no string before it
+            if (found := _ANY_ROUTE.search(said, at)) is not None:
+                yield spot, 0, said, found.group(1)
+            continue
+        for nth, found in enumerate(_ROUTES.finditer(said)):
+            if found.group(1):
+                yield spot, nth, said, found.group(1)
+
+
+def _first_class(args: str) -> str:
+    """The first name before `::class`; empty without one."""
+    end = args.find("::class")
+    while end >= 0:
+        start = end
+        while start and args[start - 1] in _NAME:
+            start -= 1
+        if start < end:
+            return args[start:end]
+        end = args.find("::class", end + 1)
+    return ""
+
+
+def _file_routes(file: str, text: str, mount: str | None, uses: list[dict], groups: list[dict] | None, later: list[dict] | None) -> Iterator[tuple]:
+    """The rows of `routes` for one file."""
+    imported = {u["alias"]: u["class"] for u in uses}
+    open_after = {x["at"]: x["least"] for x in reversed(later or [])}
+    around, prefix, above = None, "", []
+
+    def full(raw: str) -> str:
+        bare = raw.removeprefix("\\")
+        return bare if "\\" in bare else imported.get(bare, bare)
+
+    def guards(text: str) -> list[str]:
+        return [x for inner in _GUARDS.findall(text) for x in (*(s[1:-1] for s in _STRINGS.findall(inner)), *(map(full, _CLASSES.findall(inner)) if "::class" in inner else ()))]
+
+    for spot, nth, said, c in _calls_of(text):
+        at = c.index("(")
+        kind, call = c[:at].lower(), c[at:]
+        near = _ENDS.match(call)
+        closed = near.end() if near else _token_depths(call)[1]
+        # one that its statement leaves open counts if a later statement closes it
+        if not closed and not (spot in open_after and open_after[spot] <= _token_depths(said[: len(said) - len(c)])[0]):
+            continue
+        args, tail = (call[1 : closed - 1], call[closed:]) if closed else (call[1:], "")
+        pair, literal = _PAIR.search(args), _STRINGS.search(args)
+        raw = pair.group(1) if pair else _first_class(args)
+        if not raw or not literal or len(literal.group()) == 2:
+            continue
+        path = literal.group()[1:-1]
+        now = [n for n, g in enumerate(groups or ()) if g["start"] < spot <= g["end"]]
+        if now != around:
+            around, inside = now, [groups[n] for n in now]
+            prefix = _LAST_SLASHES.sub("", "/".join(p for p in (mount or "", *(g["prefix"] for g in inside)) if p))
+            above = list(dict.fromkeys(m for g in inside for m in g["middleware"] if m))
+        middleware = list(dict.fromkeys((*above, *(m for m in guards(tail) if m)))) if "middleware" in tail.lower() else above
+        rows = ((kind.upper(), "", pair.group(2) if pair else "__invoke"),)
+        if kind in ("resource", "apiresource"):
+            chosen = {name: _LISTED.findall(m.group(1)) if (m := pattern.search(tail)) else [] for name, pattern in _CHOSEN.items()}
+            rows = [r for r in RESOURCE_ROUTES if (kind == "resource" or r[2] not in ("create", "edit")) and (not chosen["only"] or r[2] in chosen["only"]) and r[2] not in chosen["except"]]
+            path = "/{param}/".join(x for x in path.split(".") if x)
+        base, controller = f"{prefix}/{path}", full(raw)
+        for verb, suffix, does in rows:
+            whole = base + suffix
+            yield file, (spot << 32) + nth, verb, _SLASHES.sub("/", whole) if "//" in whole else whole, controller, does, middleware, mount
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -147,40 +239,19 @@ def routes(files: DataFrame) -> DataFrame:
     # dealt out by file once; the text is that of the file's greatest row
     one = files.where("file IS NOT NULL AND text IS NOT NULL").select("file", "text", mount.alias("mount")).repartition("file").groupBy("file").agg(F.max(F.struct("text", "mount")).alias("f"))
     one = one.select("file", "f.text", "f.mount").withColumn("uses", imports(F.col("text")))
-    said = statements(one.join(brackets(one.select("file", "text", "uses")), "file", "left")).where(F.col("said").rlike(ROUTE_CALL))
-    calls = F.transform(F.regexp_extract_all("said", F.lit(rf"{_QUOTED}|{ROUTE_CALL}"), F.lit(1)), lambda c: F.struct(c.alias("text"), F.substr(c, F.locate("(", c)).alias("call"), _end(F.substr(c, F.locate("(", c))).alias("closed")))
-    found = said.select("file", F.col("at").alias("spot"), "said", "mount", "uses", "groups", "later", F.posexplode_outer(calls).alias("nth", "c")).where("c.text <> ''")
-    found = found.select("*", "c.call", "c.closed", F.lower(F.substring_index("c.text", "(", 1)).alias("kind"), F.left("said", F.length("said") - F.length("c.text")).alias("ahead"))
-    # one that its statement leaves open counts if a later statement closes it
-    later = F.get(F.filter("later", lambda x: x["at"] == F.col("spot")), F.lit(0))["least"]
-    found = found.where((F.col("closed") > 0) | F.coalesce(later <= _depths(F.col("ahead"))["depth"], F.lit(False)))
-    args = F.when(F.col("closed") > 0, F.substr("call", F.lit(2), F.col("closed") - 2)).otherwise(F.substr("call", F.lit(2)))
-    read = found.select(
-        "file", F.expr("shiftleft(cast(spot AS bigint), 32) + nth").alias("at"), "kind", "mount", "uses", args.alias("args"), F.when(F.col("closed") > 0, F.substr("call", F.col("closed") + 1)).otherwise("").alias("tail"),
-        F.filter("groups", lambda g: (g["start"] < F.col("spot")) & (F.col("spot") <= g["end"])).alias("around"),
-    )
+    names = [c.split()[0] for c in ROUTES.split(", ")]
 
-    args, tail, by = F.col("args"), F.col("tail"), F.col("uses")
-    pair = r"\[([A-Za-z0-9_\\]+)::class,['\"]([^'\"]+)['\"]\]"
-    paired = F.regexp_extract(args, pair, 1)
-    raw = F.when(paired != "", paired).otherwise(F.regexp_extract(args, r"([A-Za-z0-9_\\]+)::class", 1))
-    action = F.when(paired != "", F.regexp_extract(args, pair, 2)).otherwise("__invoke")
-    prefixes = F.concat(F.array(F.coalesce("mount", F.lit(""))), F.coalesce(F.col("around.prefix"), F.array().cast("array<string>")))
-    above = F.coalesce(F.flatten(F.col("around.middleware")), F.array().cast("array<string>"))
-    chosen = lambda name: F.regexp_extract_all(F.regexp_extract(tail, rf"->{name}\(([^)]*)\)", 1), F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-    parts = F.struct(
-        raw.alias("raw"), action.alias("action"), F.get(_strings(args), F.lit(0)).alias("said"), chosen("only").alias("only"), chosen("except").alias("except"),
-        F.array_join(F.filter(prefixes, lambda p: p != ""), "/").alias("prefix"), _some(F.concat(above, _middleware(tail, by))).alias("middleware"),
-    )
-    each = read.select("file", "at", "kind", "mount", "uses", _once(parts).alias("p")).where("p.raw <> '' AND p.said <> ''").select("file", "at", "kind", "mount", "uses", "p.*")
-    resource = F.col("kind").isin("resource", "apiresource")
-    row = lambda verb, suffix, does: F.struct(verb.alias("verb"), suffix.alias("suffix"), does.alias("does"))
-    all_ = F.array(*[row(F.lit(v), F.lit(x), F.lit(a)) for v, x, a in RESOURCE_ROUTES])
-    asked = lambda r: ((F.col("kind") == "resource") | ~r["does"].isin("create", "edit")) & ((F.size("only") == 0) | F.array_contains("only", r["does"])) & ~F.array_contains("except", r["does"])
-    rows = F.when(resource, F.filter(all_, asked)).otherwise(F.array(row(F.upper("kind"), F.lit(""), F.col("action"))))
-    base = F.when(resource, F.array_join(F.filter(F.split("said", r"\."), lambda x: x != ""), "/{param}/")).otherwise(F.col("said"))
-    wide = each.select("file", "at", F.explode_outer(rows).alias("r"), _joined_path(F.col("prefix"), base).alias("base"), _class(F.col("raw"), by).alias("controller"), "middleware", "mount").where("r IS NOT NULL")
-    return wide.select("file", "at", "r.verb", F.regexp_replace(F.concat("base", "r.suffix"), "/+", "/").alias("path"), "controller", F.col("r.does").alias("action"), "middleware", "mount")
+    def read(table):  # noqa: ANN001, ANN202
+        """The routes of a group of one file: no more than that file is held at once."""
+        import pyarrow as pa
+
+        kinds = pa.schema([(n, pa.int64() if n == "at" else pa.list_(pa.string()) if n == "middleware" else pa.string()) for n in names])
+        rows = [r for f in table.to_pylist() for r in _file_routes(**f)]
+        return pa.Table.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=kinds) if rows else kinds.empty_table()
+
+    # an expression for each of their parts costs several times the processor time of one pass over the text
+    whole = one.join(brackets(one.select("file", "text", "uses")), "file", "left").select("file", "text", "mount", "uses", "groups", "later")
+    return whole.groupBy("file").applyInArrow(read, ROUTES)
 
 
 def route_graph(found: DataFrame) -> CodeGraph:
