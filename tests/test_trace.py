@@ -100,3 +100,15 @@ def test_edges_of_other_subjects_go_first(spark):
     graph = CodeGraph.of(spark.createDataFrame([("M",), *((f"x{n}",) for n in range(101))], "id string"), spark.createDataFrame(calls, "from_id string, to_id string, type string"))
     rows = trace._edges_by_section(graph, False, spark.createDataFrame([("m",), ("m",)], "subject string")).collect()
     assert [(r.subject, r.section, r.from_id) for r in rows] == [("m", "calls", "x1")]
+
+
+def test_plain_callees_meet_the_abstract_classes_alone(spark):
+    """What has a file and no abstract class goes on where it is, without meeting implementations and inheritance."""
+    nodes = [(f"P{i}::m", f"P{i}", "method", "m", "p.php") for i in range(300)] + [("OneInterface::m", "OneInterface", "method", "m", "i.php"), ("Impl::m", "Impl", "method", "m", "a.php"), ("Test::m", "Test", "method", "m", "tests/ATest.php"), ("Sub::m", "Sub", "external", "m", None), ("Impl", None, "class", "Impl", "a.php")]
+    edges = [("Impl", "OneInterface", "IMPLEMENTS"), ("Test", "OneInterface", "IMPLEMENTS"), ("Sub", "Impl", "EXTENDS")]
+    g = CodeGraph.of(spark.createDataFrame(nodes, "id string, parent string, type string, name string, file string"), spark.createDataFrame(edges, "from_id string, to_id string, type string"))
+    led = trace._led(g, g.nodes.select("id", "file"))
+    got = {r.id: (r._to, r.candidates) for r in led.collect()}
+    assert got == {i: (i, None) for i, *_ in nodes} | {"OneInterface::m": ("Impl::m", 1), "Sub::m": ("Impl::m", None)}
+    plan = led._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan

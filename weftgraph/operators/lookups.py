@@ -66,11 +66,15 @@ def scoped_edges(graph: CodeGraph, ids: DataFrame, types: list[str]) -> DataFram
     return e.join(touched.join(own, "k", "left_semi").select("id").distinct(), "id", "left_semi").select("id", "from_id", "to_id", "type")
 
 
-def implementations(graph: CodeGraph) -> DataFrame:
-    """(interface, method, target, candidates): methods by which source classes implement those of an interface or parent; resolved where there is one candidate."""
+def implementations(graph: CodeGraph, interfaces: DataFrame | None = None) -> DataFrame:
+    """(interface, method, target, candidates): methods by which source classes implement those of an interface or parent, or of those of `interfaces` (class); resolved where there is one candidate."""
     e = graph.edges.where(F.col("type").isin("IMPLEMENTS", "EXTENDS")).select(F.col("to_id").alias("interface"), F.col("from_id").alias("class")).distinct()
-    m = graph.nodes.where((F.col("type") == "method") & (file_role(F.col("file")) == "source")).select(F.col("parent").alias("class"), F.col("name").alias("method"), F.col("id").alias("target"))
-    return e.join(m, "class").groupBy("interface", "method").agg(F.min("target").alias("target"), F.countDistinct("target").alias("candidates"))
+    if interfaces is not None:
+        e = e.join(interfaces.select(F.col("class").alias("interface")), "interface", "left_semi")
+    m = graph.nodes.where("type = 'method'").select(F.col("parent").alias("class"), F.col("name").alias("method"), F.col("id").alias("target"), "file")
+    # the role of a file is found where its class implements something
+    source = F.when(file_role(F.col("file")) == "source", F.col("target"))
+    return e.join(m, "class").groupBy("interface", "method").agg(F.min(source).alias("target"), F.countDistinct(source).alias("candidates")).where("candidates > 0")
 
 
 def abstract_targets(graph: CodeGraph) -> DataFrame:

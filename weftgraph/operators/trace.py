@@ -44,17 +44,25 @@ def split_member(id: Column) -> tuple[Column, Column]:
 
 
 def _led(graph: CodeGraph, known: DataFrame) -> DataFrame:
-    """`known` (id, file), each once, with `_to`, where a trace that does not call it statically goes on, and `candidates`."""
+    """`known` (id, file) with `_to`, where a trace that does not call it statically goes on, and `candidates`.
+
+    Most go on where they are; only those of abstract classes or without a file meet implementations and inheritance, once for each.
+    """
     class_, method = split_member(F.col("id"))
-    known = stored(known.select("id", "file", class_.alias("class"), method.alias("method")))
-    abstract = abstract_targets(graph).select(F.col("id").alias("class"), F.lit(True).alias("_abstract"))
-    one = implementations(graph).select(F.col("interface").alias("class"), "method", F.col("target").alias("_target"), F.col("candidates"))
+    known = known.select("id", "file", class_.alias("class"), method.alias("method"))
+    # written down, so that Spark knows how few they are before it deals out what is known
+    abstract = stored(abstract_targets(graph).select(F.col("id").alias("class"), F.lit(True).alias("_abstract")))
     marked = known.join(abstract, "class", "left").withColumn("_abstract", F.coalesce("_abstract", F.col("class").rlike(ABSTRACT_NAME), F.lit(False)))
-    marked = marked.join(one, ["class", "method"], "left").withColumn("candidates", F.when(F.col("_abstract"), F.coalesce("candidates", F.lit(0).cast("long"))))
-    marked = stored(marked.withColumn("_target", F.when(F.col("candidates") == 1, F.col("_target"))))
-    orphan = marked.where("_target IS NULL AND file IS NULL AND class IS NOT NULL")
+    other = F.col("_abstract") | F.col("file").isNull()
+    plain = marked.where(~other).select("id", "file", F.col("id").alias("_to"), F.lit(None).cast("long").alias("candidates"))
+    special = stored(marked.where(other).distinct())
+    one = implementations(graph, special.where("_abstract").select("class")).select(F.col("interface").alias("class"), "method", F.col("target").alias("_target"), F.col("candidates"))
+    led = special.join(one, ["class", "method"], "left").withColumn("candidates", F.when(F.col("_abstract"), F.coalesce("candidates", F.lit(0).cast("long"))))
+    led = stored(led.withColumn("_target", F.when(F.col("candidates") == 1, F.col("_target"))))
+    orphan = led.where("_target IS NULL AND file IS NULL AND class IS NOT NULL")
     above = resolve_through_inheritance(graph, orphan).select("class", "method", F.col("target").alias("_above"))
-    return marked.join(above, ["class", "method"], "left").select("id", "file", F.coalesce("_target", F.when(F.col("file").isNull(), F.col("_above")), "id").alias("_to"), "candidates")
+    led = stored(led.join(above, ["class", "method"], "left").select("id", "file", F.coalesce("_target", F.when(F.col("file").isNull(), F.col("_above")), "id").alias("_to"), "candidates"))
+    return plain.unionByName(led)
 
 
 def _static() -> Column:
@@ -82,7 +90,7 @@ def ways(graph: CodeGraph, include_resolved: bool = False, nodes: DataFrame | No
     if nodes is not None:
         calls = stored(calls.join(nodes.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi").select("from_id", "id", "call_type"))
     # what a callee leads to is found once for each, and brought to its calls by one join
-    to = _led(graph, graph.nodes.select("id", "file").join(calls.select("id").distinct(), "id", "left_semi"))
+    to = _led(graph, graph.nodes.select("id", "file"))
     led = calls.join(to, "id").select(F.col("from_id").alias("node"), F.when(_static(), F.col("id")).otherwise(F.col("_to")).alias("to"), F.lit("CALLS").alias("type"), F.col("id").alias("called"), F.when(~_static(), F.col("candidates")).alias("candidates"))
     rest = e.where("type <> 'CALLS'").select("from_id", F.col("to_id").alias("to"), "type", F.col("to_id").alias("called"), F.lit(None).cast("long").alias("candidates"))
     # members of a component act for it
