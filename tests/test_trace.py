@@ -1,7 +1,10 @@
 """Traces, rewritten callees and surroundings of a small flow."""
 
+from collections import Counter
+
 import pytest
 
+from tests.joins import most_rows
 from weftgraph.model import CodeGraph
 from weftgraph.operators import trace
 
@@ -112,3 +115,15 @@ def test_plain_callees_meet_the_abstract_classes_alone(spark):
     assert got == {i: (i, None) for i, *_ in nodes} | {"OneInterface::m": ("Impl::m", 1), "Sub::m": ("Impl::m", None)}
     plan = led._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
+def test_calls_make_no_lists_of_subjects(spark, monkeypatch):
+    """A call is about its callee alone: only other edges are taken apart."""
+    calls = [(f"a::x{i}", "b::m", "CALLS") for i in range(400)] + [("r", "b::m", "ROUTES_TO"), ("b::m::p", "c::m", "FLOWS_TO")]
+    nodes = sorted({(x, "method", x.split("::")[-1]) for e in calls for x in e[:2]})
+    g = CodeGraph.of(spark.createDataFrame(nodes, "id string, type string, name string"), spark.createDataFrame(calls, "from_id string, to_id string, type string"))
+    made, real = [], trace.stored
+    monkeypatch.setattr(trace, "stored", lambda df: (made.append(most_rows(df, "Generate")), real(df))[1])
+    found = trace._edges_by_section(g, False, spark.createDataFrame([("b::m",)], "subject string"))
+    assert sorted((r.section, r.kind, n) for r, n in Counter(found.select("section", "kind").collect()).items()) == [("calls", "CALLS", 400), ("field_flows", "FLOWS_TO", 1), ("route_entries", "ROUTES_TO", 1)]
+    assert max(made) < 20

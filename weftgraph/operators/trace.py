@@ -167,8 +167,7 @@ def _edges_by_section(graph: CodeGraph, include_resolved: bool, wanted: DataFram
     scoped = F.array_union(owners(F.lower("from_id")), owners(F.lower("to_id")))
     of = lambda section, subjects: F.transform(subjects, lambda s: row(section, s))
     kinds = (
-        F.when(visible_call(include_resolved), of("calls", at("to_id")))
-        .when(F.col("type") == "ROUTES_TO", of("route_entries", at("to_id")))
+        F.when(F.col("type") == "ROUTES_TO", of("route_entries", at("to_id")))
         .when(F.col("type") == "BLADE_USES_ACTION", of("blade_entries", at("to_id")))
         .when(F.col("type").isin("ASSIGNS", "READS_FIELD"), of("field_assignments", scoped))
         .when(F.col("type").isin("FLOWS_TO", "ARGUMENT_TO"), of("field_flows", scoped))
@@ -178,7 +177,10 @@ def _edges_by_section(graph: CodeGraph, include_resolved: bool, wanted: DataFram
     )
     out = F.when(F.col("type").isin("ASSIGNS", "FLOWS_TO", "ARGUMENT_TO"), F.array(row("out", F.lower("from_id")))).otherwise(F.array().cast("array<struct<section:string,subject:string>>"))
     all_ = F.concat(F.coalesce(kinds, F.array().cast("array<struct<section:string,subject:string>>")), out)
-    each = graph.edges.select(F.explode(all_).alias("s"), F.col("type").alias("kind"), "from_id", "to_id", "via").select("s.*", "kind", "from_id", "to_id", "via")
+    columns = [F.col("type").alias("kind"), "from_id", "to_id", "via"]
+    # most edges are calls, which are about their callee alone and need no list of subjects
+    each = graph.edges.where(visible_call(include_resolved)).select(F.lit("calls").alias("section"), F.lower("to_id").alias("subject"), *columns)
+    each = each.unionByName(graph.edges.where("type <> 'CALLS'").select(F.explode(all_).alias("s"), *columns).select("s.*", "kind", "from_id", "to_id", "via"))
     # most edges are about other subjects: they go before anything else is asked of them
     each = stored(each.join(wanted.select("subject"), "subject", "left_semi"))
     callers = graph.nodes.select(F.col("id").alias("from_id"))
